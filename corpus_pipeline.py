@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quorumlake.llm import mixing, piece_bpe
+from quorumlake.llm import jaccard, mixing, piece_bpe, toxicity
 from quorumlake.llm.registry import tokenizer_path
 from quorumlake.session import scratch
 
 
+def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go; it is fitted on the labelled ones among ``docs``."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, out="__score").where("__score < 0.5").select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the least id.
+    Rows without words are kept; rows of one id count as one document."""
+    found = jaccard.jaccard_components(docs, k=5, num=80, den=100)
+    gone = found.where("component_id is not null and doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti").select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources move towards their target weights: documents are repeated or go."""
     return mixing.mix_sources(docs, seed=3).select(*docs.columns)
@@ -21,6 +36,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", detoxify),
+    ("near duplicates", deduplicate),
     ("mix sources", mix),
     ("tokenize", tokenize),
 ]

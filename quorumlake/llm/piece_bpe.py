@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -347,7 +348,7 @@ def piece_round_trip(docs: DataFrame, model_path: str, *, text: str = "text", ke
         for batch in batches:
             begin, held = 0, 0
             texts = batch.column(len(kept))
-            size = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
+            size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
                 held += size[i]
                 if held >= BLOCK_CHARS or i == batch.num_rows - 1:

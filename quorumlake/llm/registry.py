@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlake.llm import licenses, mixing, piece_bpe, shards, url_filter
+from quorumlake.llm import jaccard, licenses, mixing, piece_bpe, shards, toxicity, url_filter
 
 # The rules that the url query applies.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -44,6 +44,8 @@ def queries() -> dict:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_url_filter": op4_url_filter,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op8_jaccard": jaccard.op8_jaccard,
         "op9_shards": shards.op9_shards,
         "op10_licenses": licenses.op10_licenses,
     }
