@@ -18,10 +18,15 @@ def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the least id.
-    Rows without words are kept; rows of one id count as one document."""
+    Rows without words are kept; repeated rows (one id and text) become one."""
     found = jaccard.jaccard_components(docs, k=5, num=80, den=100)
     gone = found.where("component_id is not null and doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti").select(*docs.columns)
+    kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, kept["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept["doc_id"] == F.col("__id"), "left_anti").unionByName(repeated)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
