@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlake.llm import jaccard, licenses, mips, mixing, piece_bpe, shards, toxicity, url_filter
+from quorumlake.llm import jaccard, licenses, mips, mixing, piece_bpe, shards, toxicity, url_filter, warc
 
 # The rules that the url query applies.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -41,6 +41,7 @@ select page_id, host, path, rule, coalesce(rv, 'allow') as verdict from best whe
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_url_filter": op4_url_filter,
@@ -53,4 +54,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_mix_sources": mixing.SQL, "op4_url_filter": OP4_SQL, "op10_licenses": licenses.SQL}
+    return {"op1_warc": warc.SQL, "op3_mix_sources": mixing.SQL, "op4_url_filter": OP4_SQL, "op10_licenses": licenses.SQL}
