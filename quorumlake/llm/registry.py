@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlake.llm import jaccard, licenses, mips, mixing, piece_bpe, shards, toxicity, url_filter, warc
+from quorumlake.llm import image_copies, jaccard, licenses, mips, mixing, piece_bpe, shards, toxicity, url_filter, warc
 
 # The rules that the url query applies.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -45,6 +45,7 @@ def queries() -> dict:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_url_filter": op4_url_filter,
+        "op5_image_copies": image_copies.op5_image_copies,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_mips": mips.op7_mips,
         "op8_jaccard": jaccard.op8_jaccard,
