@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +40,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python finds it already
+    (it is on PYTHONPATH or in the working folder)."""
+    root = Path(__file__).resolve().parent.parent
+    seen = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    app = spark.sparkContext.applicationId
+    if root in seen or app in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="quorumlake-")  # served from here as long as the session lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    pack = Path(folder, "quorumlake-package.zip")
+    with zipfile.ZipFile(pack, "w") as z:
+        for f in sorted((root / "quorumlake").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(pack))
+    _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
