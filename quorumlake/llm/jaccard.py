@@ -7,17 +7,17 @@ shingles under any common order of all shingles (prefix rule), so rows
 that many documents have last, so that a passage or line in a third of all rows
 routes next to nothing.
 
-In each route the sets form signature trees: nodes hold OR-combined token
-bitmaps, size ranges and component labels, and a dual traversal drops pairs of
-nodes whose largest possible overlap is too small or that are linked already.
-Two rounds: the first links each set with one leader of its route (all pairs in
-small routes), the second traverses the trees of routes that still hold several
-components.  Candidates are confirmed on whole shingle sets.  The result is
-exact: every pair of linked sets is confirmed or lies in one component already.
-
-Large routes (groups of near copies) are cut into blocks of bounded size; sets
-of other labels than the route's most frequent one go to all of its blocks.
-Equal sets are one node, whatever their number.
+Sets that routes bring together form clusters (connected components of
+candidate edges).  Each set travels once, to its cluster, and there the sets
+form a signature tree: nodes hold OR-combined token bitmaps and size ranges, and
+a dual traversal drops pairs of nodes whose largest possible overlap is too
+small or whose sets are linked by then; what is left is confirmed on whole
+shingle sets.  The result is exact: of every pair of linked sets, both lie in one
+cluster and are confirmed or in one component already.
+
+Clusters of any size are cut into blocks.  A few sets stand in all blocks and tie
+them; then sets of other components than the cluster's largest go to all of its
+blocks.  Equal sets are one node, whatever their number.
 
 Defined results: null, empty and blank texts have 0 shingles and link with
 nothing; a text of fewer words than a shingle has one, the whole sequence;
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.operators.cluster import connected_components
@@ -49,8 +49,10 @@ COUNT_BLOCK, FREQUENT_LEAST = 2_000_000, 4
 FREQUENT_MOST = 1 << 19
 #: Sets of a route that meet in one task.
 ROUTE_BLOCK = 1024
-#: Routes of up to so many sets give all their pairs in the first round.
+#: Routes of up to so many sets give the pairs themselves.
 SMALL_ROUTE = 8
+#: Sets of a cluster that are compared in one task; of larger clusters about LEADERS sets stand in every block.
+CLUSTER_BLOCK, LEADERS = 1024, 16
 FANOUT = 16
 #: Ids that are broadcast to fetch the texts of candidates; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -102,15 +104,6 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Token bitmap of the least power of two of bits, 64 or more, that is not below the size."""
-    width = max(64, 1 << max(0, int(len(tokens)) - 1).bit_length())
-    words = np.zeros(width // 64, np.uint64)
-    bit = tokens & (width - 1)
-    np.bitwise_or.at(words, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
-    return words
-
-
 def _texts(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
 
@@ -157,7 +150,7 @@ def frequent_shingles(docs: DataFrame, k: int, *, text: str = "text") -> np.ndar
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, set_id, route array<struct<token, block, pos>>) of every row."""
+    """(id, n_shingles, set_id, route array<struct<token, block, cut, pos>>) of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent)  # FREQUENT_MOST entries at most
     kind = docs.schema[id_col].dataType.simpleString()
@@ -165,7 +158,7 @@ def describe(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
         for part in _blocks(batches):
-            sizes, ids, tokens, blocks, lengths = [], [], [], [], []
+            sizes, ids, tokens, blocks, cuts, lengths = [], [], [], [], [], []
             for s in shingle_sets(part.column(1).to_pylist(), k):
                 n = len(s)
                 sid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
@@ -180,14 +173,15 @@ def describe(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray,
                 ids.append(sid)
                 tokens.append(s[head])
                 blocks.append(np.where(many > 1, (_mix((s[head] ^ np.int64(sid)).astype(np.uint64)) % many), 0))
+                cuts.append(many > 1)
                 lengths.append(len(head))
             ends = np.concatenate(([0], np.cumsum(lengths)))
             pos = np.concatenate([np.arange(x) for x in lengths])
-            route = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(blocks), pa.int32()), pa.array(pos, pa.int32())], ["token", "block", "pos"])
+            route = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(blocks), pa.int32()), pa.array(np.concatenate(cuts), pa.bool_()), pa.array(pos, pa.int32())], ["token", "block", "cut", "pos"])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
                                               pa.ListArray.from_arrays(pa.array(ends, pa.int32()), route)], [id_col, "n_shingles", "set_id", "route"])
 
-    return _texts(docs, text, id_col).mapInArrow(work, f"`{id_col}` {kind}, n_shingles long, set_id long, route array<struct<token:long,block:int,pos:int>>")
+    return _texts(docs, text, id_col).mapInArrow(work, f"`{id_col}` {kind}, n_shingles long, set_id long, route array<struct<token:long,block:int,cut:boolean,pos:int>>")
 
 
 def _needed(nx: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -203,182 +197,182 @@ def _route_rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> dict[str
     return {c: table.column(c).to_numpy() for c in names}
 
 
-def _first_round(num: int, den: int):
+def _candidate_edges(num: int, den: int):
+    """Edges between sets of one route that may link.  Small routes give each
+    pair that sizes and positions allow; in large ones neighbours in size are
+    chained, so that all that are near enough in size hang together.  Blocks of
+    one route hang together by a node of the route (below zero)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = _route_rows(batches, ["token", "block", "set_id", "n", "pos"])
+        r = _route_rows(batches, ["token", "block", "cut", "set_id", "n", "pos"])
         if r is None:
             return
         order = np.lexsort((r["set_id"], r["n"], r["block"], r["token"]))
-        t, b, s, n, p = (r[c][order] for c in ("token", "block", "set_id", "n", "pos"))
+        t, b, c, s, n, p = (r[x][order] for x in ("token", "block", "cut", "set_id", "n", "pos"))
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1])
-        t, b, s, n, p = t[new], b[new], s[new], n[new], p[new]
+        t, b, c, s, n, p = t[new], b[new], c[new], s[new], n[new], p[new]
         start = np.ones(len(t), bool)
         start[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1])
         begin = np.flatnonzero(start)
         size = np.diff(np.append(begin, len(t)))
         group = np.repeat(np.arange(len(begin)), size)
-        small = (size <= SMALL_ROUTE)[group]
+        small = (size <= SMALL_ROUTE)[group] & ~c
         left, right = [], []
         for d in range(1, SMALL_ROUTE):
             i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
             left.append(i)
             right.append(i + d)
-        for g in np.flatnonzero(size > SMALL_ROUTE).tolist():
-            i, end = begin[g], begin[g] + size[g]
-            while i < end:  # a leader and all sets near enough in size
-                stop = i + np.searchsorted(n[i:end], n[i] * den // num, "right")
-                left.append(np.full(stop - i - 1, i))
-                right.append(np.arange(i + 1, stop))
-                i = stop
         x, y = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
         fits = (1 + np.minimum(n[x] - 1 - p[x], n[y] - 1 - p[y])) >= _needed(n[x], n[y], num, den)
-        a, c = s[x[fits]], s[y[fits]]
-        pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        none = np.zeros(len(pairs), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(none), pa.array(none), pa.array(np.zeros(len(pairs), bool))], ["a", "b", "n", "pos", "open"])
-        rest = np.flatnonzero(~small)
-        yield pa.RecordBatch.from_arrays([pa.array(t[rest]), pa.array(s[rest]), pa.array(n[rest].astype(np.int64)), pa.array(p[rest].astype(np.int64)), pa.array(np.ones(len(rest), bool))], ["a", "b", "n", "pos", "open"])
+        i = np.flatnonzero(~small[:-1] & (group[:-1] == group[1:]) & (n[1:] * num <= n[:-1] * den))
+        opens = np.flatnonzero(~small & c)
+        opens = opens[start[opens] | ~np.isin(opens, i + 1)]  # the first of each chain
+        e = np.unique(np.stack([np.concatenate([s[x[fits]], s[i], s[opens]]), np.concatenate([s[y[fits]], s[i + 1], -t[opens] - 1])], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
     return work
 
 
 class Node:
-    """A run of sets in a signature tree."""
-
-    __slots__ = ("bits", "loose", "low", "high", "label", "kids", "at")
+    """A run of sets in a signature tree: OR-combined bitmap, size range, and
+    the most tokens that a set of it has beyond its own bits."""
 
-    def __init__(self, bits, loose, low, high, label, kids, at):
-        self.bits, self.loose, self.low, self.high, self.label, self.kids, self.at = bits, loose, low, high, label, kids, at
+    __slots__ = ("bits", "loose", "low", "high", "kids", "members")
 
+    def __init__(self, bits, loose, low, high, kids, members):
+        self.bits, self.loose, self.low, self.high, self.kids, self.members = bits, loose, low, high, kids, members
 
-def _fold(bits: np.ndarray, words: int) -> np.ndarray:
-    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
-
-def signature_tree(sizes: np.ndarray, bits: list[np.ndarray], labels: np.ndarray) -> Node:
-    """Tree over sets sorted by size.  A node's bitmap is folded to its least
-    width; ``loose`` is the largest number of tokens beyond a set's bits."""
-    level = []
-    for i, (n, m) in enumerate(zip(sizes.tolist(), bits)):
-        level.append(Node(m, n - int(np.bitwise_count(m).sum()), n, n, int(labels[i]), None, i))
+def signature_tree(sets: list[np.ndarray], order: list[int], bits: np.ndarray, loose: np.ndarray) -> Node:
+    """Tree over sets in the given order; bits: one equally wide bitmap a set."""
+    level = [Node(bits[i], int(loose[i]), len(sets[i]), len(sets[i]), None, [i]) for i in order]
     while len(level) > 1:
-        up = []
-        for i in range(0, len(level), FANOUT):
-            kids = level[i:i + FANOUT]
-            words = min(len(k.bits) for k in kids)
-            both = np.bitwise_or.reduce([_fold(k.bits, words) for k in kids], axis=0)
-            # folding may join bits of one set: what it hides counts as loose
-            loose = max(k.loose + (int(np.bitwise_count(k.bits).sum()) - int(np.bitwise_count(_fold(k.bits, words)).sum()) if k.kids is None else 0) if k.kids is None or len(k.bits) == words else k.high for k in kids)
-            label = kids[0].label if len({k.label for k in kids}) == 1 and kids[0].label is not None else None
-            up.append(Node(both, loose, min(k.low for k in kids), max(k.high for k in kids), label, kids, -1))
-        level = up
+        level = [Node(np.bitwise_or.reduce([k.bits for k in kids]), max(k.loose for k in kids), min(k.low for k in kids), max(k.high for k in kids), kids, [m for k in kids for m in k.members])
+                 for kids in (level[i:i + FANOUT] for i in range(0, len(level), FANOUT))]
     return level[0]
 
 
-def dual_traversal(root: Node, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of sets with different labels whose largest possible overlap is enough."""
-    found, stack = [], [(root, root)]
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def link_sets(sets: list[np.ndarray], labels: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of linked sets that, with sets of equal labels, join all that are
+    linked in these.  A dual traversal of the signature tree drops pairs of
+    nodes whose largest possible overlap is too small, and pairs of nodes whose
+    sets are all in one component by then; leaves are compared whole."""
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), labels[i]))
+    width = max(1, 1 << max(0, max(map(len, sets)) * 8 // 64 - 1).bit_length())  # words: eight bits a token or more
+    width = min(width, 1 << 14)
+    bits = np.zeros((len(sets), width), np.uint64)
+    for i, s in enumerate(sets):
+        at = s & (width * 64 - 1)
+        np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    loose = np.array([len(s) for s in sets]) - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    seen: dict[int, int] = {}
+    for i, v in enumerate(labels):
+        parent[i] = seen.setdefault(v, i)
+    found, top = [], signature_tree(sets, order, bits, loose)
+    # near neighbours first: what they join is not compared again
+    rounds = [(order[i], order[i + d]) for d in (1, 2, 3) for i in range(len(order) - d)]
+
+    def compare(i: int, j: int) -> None:
+        a, b = root(i), root(j)
+        if a == b:
+            return
+        n, m = len(sets[i]), len(sets[j])
+        if num * max(n, m) > den * min(n, m):
+            return
+        need = -((-num * (n + m)) // (num + den))
+        if int(np.bitwise_count(bits[i] & bits[j]).sum()) + min(int(loose[i]), int(loose[j])) < need:
+            return
+        if common(sets[i], sets[j]) >= need:
+            parent[max(a, b)] = min(a, b)
+            found.append((i, j))
+
+    if len(sets) > 2:
+        for i, j in rounds:
+            compare(i, j)
+    stack = [(top, top)]
     while stack:
         x, y = stack.pop()
-        if x.label is not None and x.label == y.label:
-            continue
         if x is not y:
-            if x.low * den > 0 and (num * y.low > den * x.high or num * x.low > den * y.high):
+            if num * y.low > den * x.high or num * x.low > den * y.high:
                 continue
-            words = min(len(x.bits), len(y.bits))
-            fx, fy = _fold(x.bits, words), _fold(y.bits, words)
-            lx = x.loose if len(x.bits) == words else x.high
-            ly = y.loose if len(y.bits) == words else y.high
-            most = min(int(np.bitwise_count(fx & fy).sum()) + min(lx, ly), x.high, y.high)
-            if most < _needed(x.low, y.low, num, den):
+            most = min(int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.loose, y.loose), x.high, y.high)
+            if most < -((-num * (x.low + y.low)) // (num + den)):
                 continue
         if x.kids is None and y.kids is None:
             if x is not y:
-                found.append((x.at, y.at))
-        elif x is y:
-            stack += [(a, b) for i, a in enumerate(x.kids) for b in x.kids[i:]]
-        elif x.kids is None or (y.kids is not None and y.high - y.low > x.high - x.low):
-            stack += [(x, b) for b in y.kids]
+                compare(x.members[0], y.members[0])
+            continue
+        if len({root(i) for i in x.members} | ({root(i) for i in y.members} if x is not y else set())) == 1:
+            continue
+        if x is y:
+            stack += [(p, q) for i, p in enumerate(x.kids) for q in x.kids[i:]]
+        elif x.kids is None or (y.kids is not None and len(y.members) > len(x.members)):
+            stack += [(x, q) for q in y.kids]
         else:
-            stack += [(a, y) for a in x.kids]
+            stack += [(p, y) for p in x.kids]
     return found
 
 
-def _second_round(num: int, den: int):
+def _link_groups(num: int, den: int):
+    """Links inside each (cluster, block)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        r = {c: table.column(c).to_numpy() for c in ("token", "block", "set_id", "n", "label")}
-        bits = table.column("bits").to_pylist()
-        order = np.lexsort((r["label"], r["n"], r["block"], r["token"]))
-        t, b = r["token"][order], r["block"][order]
-        begin = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (b[1:] != b[:-1]))))
-        pairs: set[tuple[int, int]] = set()
-        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(t)]):
+        c, b, s, v = (table.column(x).to_numpy() for x in ("cluster", "block", "set_id", "label"))
+        raw = table.column("tokens")
+        order = np.lexsort((s, b, c))
+        begin = np.flatnonzero(np.concatenate(([True], (c[order][1:] != c[order][:-1]) | (b[order][1:] != b[order][:-1]))))
+        links = []
+        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
             at = order[i:j]
-            at = at[np.sort(np.unique(r["set_id"][at], return_index=True)[1])]
-            if len(at) < 2 or len(set(r["label"][at].tolist())) < 2:
-                continue
-            tree = signature_tree(r["n"][at], [np.frombuffer(bits[k], np.uint64) for k in at], r["label"][at])
-            for x, y in dual_traversal(tree, num, den):
-                u, v = int(r["set_id"][at[x]]), int(r["set_id"][at[y]])
-                pairs.add((min(u, v), max(u, v)))
-        if pairs:
-            a = np.array(sorted(pairs), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+            at = at[np.concatenate(([True], s[at][1:] != s[at][:-1]))]
+            if len(at) > 1:
+                sets = [np.frombuffer(raw[k].as_buffer(), np.int64) for k in at.tolist()]
+                links += [(int(s[at[x]]), int(s[at[y]])) for x, y in link_sets(sets, v[at].tolist(), num, den)]
+        if links:
+            e = np.array(links, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
     return work
 
 
-def _linked(sx: Column, sy: Column, nx: Column, ny: Column, num: int, den: int) -> Column:
-    both = F.size(F.array_intersect(sx, sy)).cast("long")
-    return both * den >= (nx + ny - both) * num
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that link: bitmaps first, then whole shingle sets."""
-    def side(name: str, *cols: str) -> DataFrame:
-        return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-
-    wide = F.greatest(F.size("map_a"), F.size("map_b"))
-    # tokens of one set that the other surely lacks: bits of equally wide maps
-    lack = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
-    most = F.when(F.size("map_a") == F.size("map_b"), F.least(F.col("n_a") - lack("map_a", "map_b"), F.col("n_b") - lack("map_b", "map_a"))).otherwise(F.least("n_a", "n_b"))
-    near = (pairs.join(side("a", "n", "map"), "a").join(side("b", "n", "map"), "b")
-            .where((most.cast("long") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num) & (wide > 0)).select("a", "b"))
-    near = written(near, "near")
-    return (near.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b")
-            .where(_linked(F.col("tokens_a"), F.col("tokens_b"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b"))
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
-    """(set_id, n, map, bits, tokens) of the wanted (set_id, id)."""
+    """(set_id, cluster, n, tokens as bytes) of the wanted (set_id, cluster, id)."""
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _blocks(batches):
-            sets = shingle_sets(part.column(1).to_pylist(), k)
-            maps = [bitmap(s) for s in sets]
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
-            mends = pa.array(np.concatenate(([0], np.cumsum([len(m) for m in maps]))), pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.ListArray.from_arrays(mends, pa.array(np.concatenate(maps).view(np.int64))),
-                                              pa.array([m.tobytes() for m in maps], pa.binary()),
-                                              pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["set_id", "n", "map", "bits", "tokens"])
+            sets = shingle_sets(part.column(2).to_pylist(), k)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             ["set_id", "cluster", "n", "tokens"])
 
     rows = docs.join(wanted.withColumnRenamed(id_col, "__id"), F.col(f"`{id_col}`") == F.col("__id"))
-    found = _texts(rows, text, "set_id").mapInArrow(work, "set_id long, n long, map array<long>, bits binary, tokens array<long>")
-    # ids may repeat: keep one row of each set
-    return written(found.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("n", "map", "bits", "tokens")]) if _repeats(wanted, docs, id_col) else found, "sets")
+    return _texts(rows, text, "set_id", "cluster").mapInArrow(work, "set_id long, cluster long, n long, tokens binary")
 
 
-def _repeats(wanted: DataFrame, docs: DataFrame, id_col: str) -> bool:
-    ids = docs.select(F.col(f"`{id_col}`").alias("__id")).groupBy("__id").count().where("count > 1")
-    return not ids.isEmpty()
+def _least(facts: DataFrame, id_col: str) -> DataFrame:
+    """(set_id, least id) of sets with shingles; a null id counts as none."""
+    return facts.where("n_shingles > 0").groupBy("set_id").agg(F.min(id_col).alias(id_col))
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -386,51 +380,44 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     id reachable by links of ``k``-word shingle sets with a Jaccard similarity
     of at least num / den."""
     spark = docs.sparkSession
-    # null ids have no place in the sets that represent others
     base = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias(text))
     facts = written(describe(base, k, num, den, frequent_shingles(base, k, text=text), id_col=id_col, text=text), "facts")
     routed = facts.select(F.sum(F.size("route"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), math.ceil(routed / 1_000_000))
-    rows = facts.select("set_id", F.col("n_shingles").alias("n"), F.explode("route").alias("r")).select("r.token", "r.block", "set_id", "n", "r.pos")
-    first = written(rows.repartition(parts, "token", "block").mapInArrow(_first_round(num, den), "a long, b long, n long, pos long, open boolean"), "first")
-    pairs = first.where("not open").select("a", "b").distinct()
-    opened = first.where("open").select(F.col("a").alias("token"), F.col("b").alias("set_id"), "n")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(opened.select("set_id")).distinct()
-    wanted = written(facts.where(F.col(id_col).isNotNull()).groupBy("set_id").agg(F.min(id_col).alias(id_col)).join(nodes, "set_id"), "wanted")
-    sets = _sets_of(base, wanted, k, id_col, text)
-    links = written(_confirm(pairs, sets, num, den), "links")
-    labels = connected_components(links, "a", "b")
-    more = _open_pairs(opened, labels, sets, num, den)
-    if more is not None:
-        again = written(_confirm(more.join(pairs, ["a", "b"], "left_anti"), sets, num, den), "links")
-        if not again.isEmpty():
-            labels = connected_components(links.unionByName(again), "a", "b")
+    rows = facts.select("set_id", F.col("n_shingles").alias("n"), F.explode("route").alias("r")).select("r.token", "r.block", "r.cut", "set_id", "n", "r.pos")
+    edges = rows.repartition(parts, "token", "block").mapInArrow(_candidate_edges(num, den), "a long, b long")
+    clusters = connected_components(edges, "a", "b").where("node >= 0").select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    wanted = written(_least(facts, id_col).join(clusters, "set_id"), "wanted")
+    sets = written(_sets_of(base, wanted.where(F.col(id_col).isNotNull()), k, id_col, text), "sets")
+    sizes = wanted.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    dealt = written(wanted.join(sizes, "cluster").select("set_id", "cluster", F.ceil(F.col("size") / CLUSTER_BLOCK).cast("int").alias("blocks")), "dealt")
+
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+
+    def links(plan: DataFrame) -> DataFrame:
+        placed = sets.join(plan, ["set_id", "cluster"]).select("cluster", F.explode("places").alias("block"), "set_id", "label", "tokens")
+        return written(placed.repartition(parts, "cluster", "block").mapInArrow(_link_groups(num, den), "a long, b long").distinct(), "links")
+
+    # about LEADERS sets of a cluster of several blocks stand in all of them
+    leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit("leader"), "set_id"), F.col("blocks") * F.lit(CLUSTER_BLOCK // LEADERS)) == 0)
+    found = links(dealt.select("set_id", "cluster", F.when(leads, everywhere).otherwise(F.array(own)).alias("places"), F.col("set_id").alias("label")))
+    labels = connected_components(found, "a", "b").withColumnRenamed("node", "set_id")
+    wide = dealt.where("blocks > 1")
+    if not wide.isEmpty():
+        named = wide.join(labels, "set_id", "left").withColumn("label", F.coalesce("component", "set_id")).drop("component")
+        main = (named.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster")
+                .agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("cluster", F.col("top.label").alias("main")))
+        rest = written(named.join(main, "cluster").select("set_id", "cluster", F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(everywhere).alias("places"), "label"), "rest")
+        if not rest.isEmpty():
+            found = found.unionByName(links(rest))
+            labels = connected_components(found, "a", "b").withColumnRenamed("node", "set_id")
     # the least id of each set, then of each component of sets
-    least = facts.where("n_shingles > 0").groupBy("set_id").agg(F.min(id_col).alias("least"))
-    named = least.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    named = _least(facts, id_col).withColumnRenamed(id_col, "least").join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     low = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = named.select("set_id", "component").join(low, "component").select("set_id", "component_id")
-    out = facts.select(id_col, "n_shingles", "set_id").join(by_set, "set_id", "left")
-    return out.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.col(id_col))).otherwise(F.col(id_col)).alias("component_id"))
-
-
-def _open_pairs(opened: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
-    """Candidates of the second round: sets that share a large route and have
-    different labels so far."""
-    spark = opened.sparkSession
-    one = opened.distinct().join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("component", "set_id")).drop("component")
-    one = written(one, "open")
-    routes = one.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
-        F.sum("c").alias("rows"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label")).alias("top"))
-    mixed = written(routes.where("labels > 1").select("token", F.col("top.label").alias("main"), F.ceil(F.col("rows") / ROUTE_BLOCK).cast("int").alias("blocks")), "mixed")
-    if mixed.isEmpty():
-        return None
-    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    dealt = (one.join(mixed, "token")
-             .withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))))
-    rows = dealt.select("token", "block", "set_id", "n", "label").join(sets.select("set_id", "bits"), "set_id")
-    found = rows.repartition(shuffle_partitions(spark), "token", "block").mapInArrow(_second_round(num, den), "a long, b long")
-    return written(found.distinct(), "pairs")
+    by_set = named.join(low, "component").select("set_id", "component_id")
+    return (facts.select(id_col, "n_shingles", "set_id").join(by_set, "set_id", "left")
+            .select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", F.col(id_col))).otherwise(F.col(id_col)).alias("component_id")))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
