@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quorumlake.plans import queries_consensus, queries_ingest, queries_keys, queries_lexical, queries_link, queries_publish, queries_stats, queries_text  # noqa: F401
+from quorumlake.plans.base import QUERIES, SQLS
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQLS)
