@@ -9,25 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters of the standard alphabet that fold to one, and to two letters.
-ONE = ("àáâãåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľłñńņňòóôõōŏőŕŗřśŝşšţťùúûũūŭůűųŵýÿŷźżž",
-       "aaaaaaaacccccdeeeeeeeeegggghiiiiiiiijkllllnnnnooooooorrrssssttuuuuuuuuuwyyyzzz")
-TWO = [("đ", "dž"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "oe"), ("ð", "dh"), ("þ", "th")]
+# Flavoured letters and the standard ones that they fold to.
+FLAVOURED = ("ćěęėǫȯųńŕśťďĺľůåăąõ", "čeeeoounrstdlluaaao")
+# Letters with diacritics and their ASCII letters.
+ACCENTED = ("čćçšśşžźżđďńňľĺłřŕťáàâāǎåéèêēěęíìîīóòôōȯǫúùûūůųýỳŷȳ",
+            "cccssszzzddnnlllrrtaaaaaaeeeeeeiiiioooooouuuuuuyyyy")
 VOWELS = "aeiouyj'ьъ"
 
 def to_standard(s: Column) -> Column:
     """Diacritic fold to the standard alphabet: one letter for one by
     translation, one for two by replacement."""
-    s = F.translate(s, "ćęėǫȯųńŕśťďĺľůåăąõ", "čeeoounrstdlluaaao")
-    return F.replace(s, F.lit("đ"), F.lit("dž"))
+    return F.replace(F.translate(s, *FLAVOURED), F.lit("đ"), F.lit("dž"))
 
 
 def ascii_skeleton(s: Column) -> Column:
-    """Lower-cased ASCII form: all accents go."""
-    s = F.lower(s)
-    for found, put in TWO:
-        s = F.replace(s, F.lit(found), F.lit(put))
-    return F.translate(F.replace(s, F.lit("ž"), F.lit("z")), *ONE)
+    """Lower-cased standard form without accents; other letters stay."""
+    return F.translate(to_standard(F.lower(s)), *ACCENTED)
 
 
 def consonant_key(s: Column) -> Column:
@@ -85,20 +82,38 @@ def is_holdout(id_text: Column) -> Column:
 
 def split_cell(cell: Column) -> Column:
     """array<struct<variant, flagged>> of a cell: bracketed spans go, ``, ; /``
-    split, ``!`` flags, quotes and dots at the edges go, pieces without letters too."""
+    split, leading ``!`` flags, quotes, dots and blanks at the edges go, pieces
+    without letters too."""
     s = cell
-    for _ in range(3):  # nested brackets, innermost first
-        s = F.regexp_replace(s, r"\([^()]*\)|\[[^\[\]]*\]", "")
+    for _ in range(4):  # nested brackets, innermost first
+        s = F.regexp_replace(s, r"[(\[{][^()\[\]{}]*[)\]}]", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?s)[(\[{].*$", ""), r"[)\]}]", "")
     piece = F.transform(F.split(s, r"[,;/]"), lambda p: F.struct(
-        F.regexp_replace(F.trim(F.replace(p, F.lit("!"), F.lit(""))), r"""^["'.]+|["'.]+$""", "").alias("variant"), F.contains(p, F.lit("!")).alias("flagged")))
+        F.regexp_replace(F.regexp_replace(p, r"^[\s!]+", ""), r"""^[."'’ ]+|[."'’\s]+$""", "").alias("variant"), F.trim(p).startswith("!").alias("flagged")))
     return F.filter(piece, lambda p: p["variant"].rlike(r"\p{L}"))
 
 
 def citation_forms(raw: Column) -> Column:
-    """Distinct forms split at top-level commas, without parentheses; flagged ones go."""
-    guarded = F.regexp_replace(raw, r",(?=[^()]*\))", "\u0001")
-    forms = F.transform(F.split(guarded, ","), lambda p: F.trim(F.regexp_replace(p, r"\s*\([^()]*\)", "")))
-    return F.array_distinct(F.filter(forms, lambda p: (p != "") & ~p.rlike(r"[#!*]")))
+    """Distinct forms split at top-level commas, without parentheses; flagged and
+    reconstructed ones go."""
+    guarded = F.regexp_replace(raw, r",(?=[^()\[\]{}]*[)\]}])", "\u0001")
+    parts = F.filter(F.transform(F.split(guarded, ","), F.trim), lambda p: (p != "") & ~p.rlike("[#!]"))
+    clean = F.transform(parts, lambda p: F.trim(F.split(F.replace(F.regexp_replace(p, r"\([^()]*\)", ""), F.lit("\u0001"), F.lit(",")), ",")[0]))
+    return F.array_distinct(F.filter(clean, lambda p: (p != "") & ~p.rlike(r"[#!*()]")))
+
+
+# Group codes of languages and their members; branch letters stand for a branch.
+LANGUAGE_GROUPS = {"ub": ["be", "uk"], "cz": ["cs", "sk"], "sb": ["dsb", "hsb"], "bm": ["bg", "mk"], "yu": ["bs", "hr", "sl", "sr"], "sh": ["bs", "hr", "sr"],
+                   "v": ["be", "ru", "uk"], "z": ["cs", "pl", "sk"], "j": ["bg", "hr", "mk", "sl", "sr"]}
+LANGUAGES = ["be", "bg", "bs", "cs", "csb", "cu", "dsb", "hr", "hsb", "mk", "pl", "ru", "rue", "sk", "sl", "sr", "uk"]
+
+
+def expand_groups(codes: Column, groups: dict[str, list[str]], known: list[str]) -> Column:
+    """Sorted distinct members of blank-separated codes: group codes by their
+    members, known codes as they are, marks at the edges and others go."""
+    table = F.create_map(*[x for k in sorted({*groups, *known}) for x in (F.lit(k), F.array(*map(F.lit, groups.get(k, [k]))))])
+    plain = F.transform(F.split(codes, r"\s+"), lambda c: F.regexp_replace(c, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+    return F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(plain, lambda c: F.try_element_at(table, c)), lambda m: m.isNotNull()))))
 
 
 def first_of(text: Column, rules: list[tuple[str, str]], default: str) -> Column:

@@ -14,19 +14,16 @@ STOP = ["the", "and", "of", "to", "in", "for", "with", "that"]
 
 
 def sql_standard(x: str) -> str:
-    return f"replace(translate({x}, 'ćęėǫȯųńŕśťďĺľůåăąõ', 'čeeoounrstdlluaaao'), 'đ', 'dž')"
+    return f"replace(translate({x}, '{K.FLAVOURED[0]}', '{K.FLAVOURED[1]}'), 'đ', 'dž')"
 
 
 def sql_skeleton(x: str) -> str:
-    x = f"lower({x})"
-    for a, b in K.TWO:
-        x = f"replace({x}, '{a}', '{b}')"
-    return f"translate({x}, '{K.ONE[0]}', '{K.ONE[1]}')"
+    return f"translate({sql_standard(f'lower({x})')}, '{K.ACCENTED[0]}', '{K.ACCENTED[1]}')"
 
 
 def sql_consonants(x: str) -> str:
     x = f"translate({sql_skeleton(x)}, 'hw', 'gv')"
-    for c in "bcdfghklmnpqrstvwxz":
+    for c in "bcdfgklmnpqrstvxzñßäöüëï-":
         x = f"regexp_replace({x}, '{c}{c}+', '{c}', 'g')"
     return f"regexp_replace({x}, '[aeiouyj''ьъ]', '', 'g')"
 
@@ -104,21 +101,20 @@ def p7(spark, sf):
     return V.lexicon(spark, sf).select("lang", "token", cascade.transliterate(F.col("token"), F.col("lang"), SPELL).alias("common"))
 
 
-CELL = "form || ' (' || lang || ')! / ' || pos || '; 42, \"' || lang || '.\"'"
+CELL = "'!' || form || ' (' || lang || ') / ' || pos || '.; 42, \"' || lang || '.\" {x (y) z}'"
+PIECES = rf"list_filter(regexp_split_to_array(regexp_replace(regexp_replace({CELL}, '\([^()]*\)', '', 'g'), '[{{][^{{}}]*[}}]', '', 'g'), '[,;/]'), lambda x: regexp_matches(x, '\pL'))"
 
 
-@query("p8_split_cell", V.sql("parts") + rf"""select id, k::int as k, trim(regexp_replace(trim(replace(piece, '!', '')), '^["''.]+|["''.]+$', '', 'g')) as variant, contains(piece, '!') as flagged
-from (select id, unnest(list_filter(regexp_split_to_array(regexp_replace({CELL}, '\([^()]*\)|\[[^\[\]]*\]', '', 'g'), '[,;/]'), lambda x: regexp_matches(x, '\pL'))) as piece, 
-generate_subscripts(list_filter(regexp_split_to_array(regexp_replace({CELL}, '\([^()]*\)|\[[^\[\]]*\]', '', 'g'), '[,;/]'), lambda x: regexp_matches(x, '\pL')), 1) - 1 as k from parts)""")
+@query("p8_split_cell", V.sql("parts") + rf"""select id, k::int as k, regexp_replace(regexp_replace(piece, '^[\s!]+', ''), '^[."''’ ]+|[."''’\s]+$', '', 'g') as variant, starts_with(trim(piece), '!') as flagged
+from (select id, unnest({PIECES}) as piece, generate_subscripts({PIECES}, 1) - 1 as k from parts)""")
 def p8(spark, sf):
-    cell = F.concat("form", F.lit(" ("), "lang", F.lit(")! / "), "pos", F.lit('; 42, "'), "lang", F.lit('."'))
+    cell = F.concat(F.lit("!"), "form", F.lit(" ("), "lang", F.lit(") / "), "pos", F.lit('.; 42, "'), "lang", F.lit('." {x (y) z}'))
     return V.parts(spark, sf).select("id", F.posexplode(K.split_cell(cell)).alias("k", "v")).select("id", "k", "v.variant", "v.flagged")
 
 
-@query("p9_citation_forms", r"""select distinct doc_id, trim(regexp_replace(form, '\s*\([^()]*\)', '', 'g')) as form from (
-select doc_id, unnest(string_split(left(text, 20000000), ',')) as form from documents where not contains(text, '(')) where trim(form) <> '' and not regexp_matches(form, '[#!*]')""")
+@query("p9_citation_forms", r"""select distinct doc_id, trim(form) as form from (select doc_id, unnest(string_split(text, ',')) as form from documents where not regexp_matches(text, '[()\[\]{}]')) where trim(form) <> '' and not regexp_matches(form, '[#!*]')""")
 def p9(spark, sf):
-    docs = V.table(spark, sf, "documents").where(~F.contains("text", F.lit("(")))
+    docs = V.table(spark, sf, "documents").where(~F.col("text").rlike(r"[()\[\]{}]"))
     return docs.select("doc_id", F.explode(K.citation_forms(F.col("text"))).alias("form"))
 
 
@@ -147,10 +143,16 @@ def p12(spark, sf):
     return docs.select("doc_id", "token", K.light_stem(F.col("token")).alias("stem"))
 
 
-@query("p13_group_expansion", V.sql("att") + "select item, string_agg(distinct source, ',' order by source) as members, count(distinct branch) as branches from att group by item")
+GROUPS = {"west": ["EUROPE", "AMERICA"], "east": ["ASIA", "MIDDLE EAST"], "all": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}
+
+
+@query("p13_group_expansion", V.sql("att") + """, c as (select item, case when item % 3 = 0 then 'west' when item % 3 = 1 then 'east AFRICA~' else '#all zz' end as codes from att group by 1),
+m as (select distinct item, unnest(case when item % 3 = 0 then ['EUROPE', 'AMERICA'] when item % 3 = 1 then ['ASIA', 'MIDDLE EAST', 'AFRICA'] else ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'] end) as member from c)
+select item, string_agg(member, ',' order by member) as members from m group by item""")
 def p13(spark, sf):
-    """Group codes expanded through a dimension: branch -> member sources."""
-    return V.attestations(spark, sf).groupBy("item").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("members"), F.count_distinct("branch").alias("branches"))
+    a = V.attestations(spark, sf).select("item").distinct()
+    codes = F.when(F.col("item") % 3 == 0, "west").when(F.col("item") % 3 == 1, "east AFRICA~").otherwise("#all zz")
+    return a.select("item", F.array_join(K.expand_groups(codes, GROUPS, GROUPS["all"]), ",").alias("members"))
 
 
 @query("p14_json_distillation", "select event_id as id, (props->>'k')::int as k, case when (props->>'k')::int >= 66 then 'high' when (props->>'k')::int >= 33 then 'middle' else 'low' end as pick from events")
