@@ -7,13 +7,13 @@ shingles under any common order of all shingles (prefix rule), so rows
 that many documents have last, so that a passage or line in a third of all rows
 routes next to nothing.
 
-Sets that routes bring together form clusters (connected components of
-candidate edges).  Each set travels once, to its cluster, and there the sets
-form a signature tree: nodes hold OR-combined token bitmaps and size ranges, and
-a dual traversal drops pairs of nodes whose largest possible overlap is too
-small or whose sets are linked by then; what is left is confirmed on whole
-shingle sets.  The result is exact: of every pair of linked sets, both lie in one
-cluster and are confirmed or in one component already.
+In each route the sets form a signature tree: nodes hold OR-combined token
+bitmaps and size ranges, and a dual traversal drops pairs of nodes whose largest
+possible overlap is too small or whose sets hang together already.  Sets that
+bitmaps do not tell apart form clusters (connected components).  Each set then
+travels once, to its cluster, where the same traversal confirms what is left on
+whole shingle sets.  The result is exact: of every pair of linked sets, both lie
+in one cluster and are confirmed or in one component already.
 
 Clusters of any size are cut into blocks.  A few sets stand in all blocks and tie
 them; then sets of other components than the cluster's largest go to all of its
@@ -41,8 +41,6 @@ from quorumlake.operators.cluster import connected_components
 from quorumlake.session import shuffle_partitions, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Distinct words whose hashes a worker keeps.
-CACHE_WORDS = 400_000
 #: Shingles counted at once; those seen fewer than FREQUENT_LEAST times of so many don't count as frequent.
 COUNT_BLOCK, FREQUENT_LEAST = 2_000_000, 4
 #: Frequent shingles known everywhere: at most so many (16 bytes each).  It bounds memory, not results: the order may be any.
@@ -57,18 +55,48 @@ FANOUT = 16
 #: Ids that are broadcast to fetch the texts of candidates; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
-_WORDS: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    global _WORDS
-    new = set(words).difference(_WORDS)
-    if new:
-        if len(_WORDS) + len(new) > CACHE_WORDS:
-            _WORDS = {}
-            new = set(words)
-        _WORDS.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for w in new)
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+BASE = 0x9E3779B97F4A7C15
+#: Bytes of texts that are hashed at once; longer single texts are hashed word by word.
+HASH_BYTES = 1 << 24
+
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS.get("up", ())) < n:
+        size = 1 << max(22, int(n - 1).bit_length())
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
+            x = np.ones(size, np.uint64)
+            x[1:] = np.uint64(base)
+            _POWERS[name] = np.cumprod(x)
+    return _POWERS["up"], _POWERS["down"]
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, end to end, and how many each has: a
+    polynomial over the bytes of a word, from differences of running sums."""
+    if len(texts) == 1 and len(texts[0]) >= HASH_BYTES:
+        out = []
+        for w in texts[0].translate(LOWER).split():
+            up, _ = _powers(len(w))
+            out.append(int(((np.frombuffer(w, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:len(w)]).sum()))
+        return np.array(out, np.uint64), np.array([len(out)])
+    data = b"\n" + b"\n".join(texts).translate(LOWER) + b"\n"
+    x = np.frombuffer(data, np.uint8)
+    up, down = _powers(len(x))
+    blank = _BLANK[x]
+    begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    run = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:len(x)], out=run[1:])
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    upto = np.searchsorted(begin, np.cumsum(size) + 1)
+    return (run[end] - run[begin]) * down[begin], np.diff(np.concatenate(([0], upto)))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -79,31 +107,53 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """Sorted distinct 63-bit hashes of the k-word shingles of each text."""
-    split = [t.encode().translate(LOWER).split() for t in texts]
-    flat = word_hashes([w for s in split for w in s])
-    factor = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3)) | 1 for i in range(k)], object)
-    factor = [np.uint64(f & (2**64 - 1)) for f in factor]
+    raw, out, held, size = [t.encode() for t in texts], [], [], 0
+    for i, t in enumerate(raw):
+        held.append(t)
+        size += len(t) + 1
+        if i + 1 == len(raw) or size + len(raw[i + 1]) >= HASH_BYTES - 2:
+            out += _shingles(*word_hashes(held), k)
+            held, size = [], 0
+    return out
+
+
+def _shingles(flat: np.ndarray, count: np.ndarray, k: int) -> list[np.ndarray]:
+    factor = [np.uint64(((BASE * (2 * i + 3)) | 1) & (2**64 - 1)) for i in range(k)]
     rolled = np.zeros(max(0, len(flat) - k + 1), np.uint64)
     for i in range(k):
         rolled += flat[i:len(rolled) + i] * factor[i]
     rolled = _mix(rolled)
     out, at = [], 0
-    for s in split:
-        n = len(s)
+    for n in count.tolist():
         if n >= k:
-            out.append(np.unique(rolled[at:at + n - k + 1]))
+            s = np.sort(rolled[at:at + n - k + 1])
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            out.append(s[new])
         elif n:
-            h = np.uint64(n)
-            with np.errstate(over="ignore"):
-                for i in range(n):
-                    h = h + flat[at + i] * factor[i]
-            out.append(_mix(np.array([h])))
+            h = np.array([n], np.uint64)
+            for i in range(n):
+                h = h + flat[at + i:at + i + 1] * factor[i]
+            out.append(_mix(h))
         else:
             out.append(np.zeros(0, np.int64))
         at += n
     return out
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Token bitmap: the power of two of bits that is two to four to a token, 64 to 65536."""
+    width = min(1 << 16, max(64, 1 << (2 * max(1, len(tokens)) - 1).bit_length()))
+    words = np.zeros(width // 64, np.uint64)
+    bit = tokens & (width - 1)
+    np.bitwise_or.at(words, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+    return words
+
+
+def set_digest(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
+
+
 def _texts(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
 
@@ -150,7 +200,10 @@ def frequent_shingles(docs: DataFrame, k: int, *, text: str = "text") -> np.ndar
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, set_id, route array<struct<token, block, cut, pos>>) of every row."""
+    """(id, n_shingles, set_id, bits, route array<struct<key, place, token>>) of every
+    row.  key: where the set goes for a shingle (the shingle, or the shingle and
+    a block of its sets); place: the shingle's place in the set's order; token:
+    the shingle itself if its sets are cut into blocks, else null."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent)  # FREQUENT_MOST entries at most
     kind = docs.schema[id_col].dataType.simpleString()
@@ -158,10 +211,10 @@ def describe(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
         for part in _blocks(batches):
-            sizes, ids, tokens, blocks, cuts, lengths = [], [], [], [], [], []
+            sizes, ids, bits, tokens, goes, cuts, lengths = [], [], [], [], [], [], []
             for s in shingle_sets(part.column(1).to_pylist(), k):
                 n = len(s)
-                sid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
+                sid = set_digest(s)
                 take = n - (num * n + den - 1) // den + 1 if n else 0
                 at = np.searchsorted(known, s)
                 at[at == len(known)] = 0
@@ -171,17 +224,20 @@ def describe(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray,
                 many = np.where(hot[head], count[at[head]] // ROUTE_BLOCK + 1, 1) if len(known) else np.ones(len(head), np.int64)
                 sizes.append(n)
                 ids.append(sid)
+                bits.append(bitmap(s).tobytes())
                 tokens.append(s[head])
-                blocks.append(np.where(many > 1, (_mix((s[head] ^ np.int64(sid)).astype(np.uint64)) % many), 0))
+                block = _mix((s[head] ^ np.int64(sid)).astype(np.uint64)) % many
+                goes.append(np.where(many > 1, _mix(s[head].astype(np.uint64) * np.uint64(3) + block.astype(np.uint64)), s[head]))
                 cuts.append(many > 1)
                 lengths.append(len(head))
             ends = np.concatenate(([0], np.cumsum(lengths)))
             pos = np.concatenate([np.arange(x) for x in lengths])
-            route = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(blocks), pa.int32()), pa.array(np.concatenate(cuts), pa.bool_()), pa.array(pos, pa.int32())], ["token", "block", "cut", "pos"])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
-                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), route)], [id_col, "n_shingles", "set_id", "route"])
+            route = pa.StructArray.from_arrays([pa.array(np.concatenate(goes), pa.int64()), pa.array(pos, pa.int32()),
+                                                pa.array(np.concatenate(tokens), pa.int64(), mask=~np.concatenate(cuts))], ["key", "place", "token"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()),
+                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), route)], [id_col, "n_shingles", "set_id", "bits", "route"])
 
-    return _texts(docs, text, id_col).mapInArrow(work, f"`{id_col}` {kind}, n_shingles long, set_id long, route array<struct<token:long,block:int,cut:boolean,pos:int>>")
+    return _texts(docs, text, id_col).mapInArrow(work, f"`{id_col}` {kind}, n_shingles long, set_id long, bits binary, route array<struct<key:long,place:int,token:long>>")
 
 
 def _needed(nx: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -189,46 +245,38 @@ def _needed(nx: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-num * (nx + ny)) // (num + den))
 
 
-def _route_rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray] | None:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return None
-    table = pa.Table.from_batches(held)
-    return {c: table.column(c).to_numpy() for c in names}
-
-
-def _candidate_edges(num: int, den: int):
-    """Edges between sets of one route that may link.  Small routes give each
-    pair that sizes and positions allow; in large ones neighbours in size are
-    chained, so that all that are near enough in size hang together.  Blocks of
-    one route hang together by a node of the route (below zero)."""
+def _memberships(num: int, den: int):
+    """Rows (key, set_id, n, token) of routes where the set has a partner that
+    sizes (in small routes: and positions) allow."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = _route_rows(batches, ["token", "block", "cut", "set_id", "n", "pos"])
-        if r is None:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        order = np.lexsort((r["set_id"], r["n"], r["block"], r["token"]))
-        t, b, c, s, n, p = (r[x][order] for x in ("token", "block", "cut", "set_id", "n", "pos"))
+        table = pa.Table.from_batches(held)
+        t, s, size = (table.column(x).to_numpy() for x in ("key", "set_id", "size"))
+        token = table.column("token").combine_chunks()
+        c, token = ~token.is_null().to_numpy(zero_copy_only=False), token.fill_null(0).to_numpy()
+        n, p = size >> 32, size & (2**32 - 1)
+        order = np.lexsort((s, n, t))
+        t, s, n, p, c, token = (x[order] for x in (t, s, n, p, c, token))
         new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1])
-        t, b, c, s, n, p = t[new], b[new], c[new], s[new], n[new], p[new]
+        new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+        t, s, n, p, c, token = (x[new] for x in (t, s, n, p, c, token))
         start = np.ones(len(t), bool)
-        start[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1])
+        start[1:] = t[1:] != t[:-1]
         begin = np.flatnonzero(start)
         size = np.diff(np.append(begin, len(t)))
         group = np.repeat(np.arange(len(begin)), size)
         small = (size <= SMALL_ROUTE)[group] & ~c
-        left, right = [], []
+        keep = c.copy()
         for d in range(1, SMALL_ROUTE):
-            i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
-            left.append(i)
-            right.append(i + d)
-        x, y = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
-        fits = (1 + np.minimum(n[x] - 1 - p[x], n[y] - 1 - p[y])) >= _needed(n[x], n[y], num, den)
+            x = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
+            y = x + d
+            fits = (1 + np.minimum(n[x] - 1 - p[x], n[y] - 1 - p[y])) >= _needed(n[x], n[y], num, den)
+            keep[x[fits]] = keep[y[fits]] = True
         i = np.flatnonzero(~small[:-1] & (group[:-1] == group[1:]) & (n[1:] * num <= n[:-1] * den))
-        opens = np.flatnonzero(~small & c)
-        opens = opens[start[opens] | ~np.isin(opens, i + 1)]  # the first of each chain
-        e = np.unique(np.stack([np.concatenate([s[x[fits]], s[i], s[opens]]), np.concatenate([s[y[fits]], s[i + 1], -t[opens] - 1])], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+        keep[i] = keep[i + 1] = True
+        yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(s[keep]), pa.array(n[keep]), pa.array(token[keep], mask=~c[keep])], ["key", "set_id", "n", "token"])
 
     return work
 
@@ -243,38 +291,45 @@ class Node:
         self.bits, self.loose, self.low, self.high, self.kids, self.members = bits, loose, low, high, kids, members
 
 
-def signature_tree(sets: list[np.ndarray], order: list[int], bits: np.ndarray, loose: np.ndarray) -> Node:
-    """Tree over sets in the given order; bits: one equally wide bitmap a set."""
-    level = [Node(bits[i], int(loose[i]), len(sets[i]), len(sets[i]), None, [i]) for i in order]
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap brought to fewer words."""
+    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def signature_tree(sizes: list[int], order: list[int], bits: list[np.ndarray]) -> Node:
+    """Tree over sets in the given order (by size); a node's bitmap has the
+    least width of its sets'."""
+    level = [Node(bits[i], sizes[i] - int(np.bitwise_count(bits[i]).sum()), sizes[i], sizes[i], None, [i]) for i in order]
     while len(level) > 1:
-        level = [Node(np.bitwise_or.reduce([k.bits for k in kids]), max(k.loose for k in kids), min(k.low for k in kids), max(k.high for k in kids), kids, [m for k in kids for m in k.members])
-                 for kids in (level[i:i + FANOUT] for i in range(0, len(level), FANOUT))]
+        up = []
+        for at in range(0, len(level), FANOUT):
+            kids = level[at:at + FANOUT]
+            words = min(len(k.bits) for k in kids)
+            members = [m for k in kids for m in k.members]
+            loose = max(k.loose for k in kids) if all(len(k.bits) == words for k in kids) else max(sizes[m] - int(np.bitwise_count(_fold(bits[m], words)).sum()) for m in members)
+            up.append(Node(np.bitwise_or.reduce([_fold(k.bits, words) for k in kids], axis=0), loose, min(k.low for k in kids), max(k.high for k in kids), kids, members))
+        level = up
     return level[0]
 
 
-def common(x: np.ndarray, y: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(x) > len(y):
+def _most(x: Node, y: Node) -> int:
+    """The largest overlap that sets of two nodes can have."""
+    if len(x.bits) > len(y.bits):
         x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum())
+    words = len(x.bits)
+    loose = min(x.loose, y.loose) if len(y.bits) == words else x.loose
+    return min(int(np.bitwise_count(x.bits & _fold(y.bits, words)).sum()) + loose, x.high, y.high)
+
 
+def link_sets(sizes: list[int], bits: list[np.ndarray], labels: list[int], num: int, den: int, overlap=None) -> list[tuple[int, int]]:
+    """Pairs of sets that, with sets of equal labels, join all that are linked:
+    by ``overlap(i, j)``, or, without it, all that bitmaps do not tell apart.
 
-def link_sets(sets: list[np.ndarray], labels: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of linked sets that, with sets of equal labels, join all that are
-    linked in these.  A dual traversal of the signature tree drops pairs of
-    nodes whose largest possible overlap is too small, and pairs of nodes whose
-    sets are all in one component by then; leaves are compared whole."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), labels[i]))
-    width = max(1, 1 << max(0, max(map(len, sets)) * 8 // 64 - 1).bit_length())  # words: eight bits a token or more
-    width = min(width, 1 << 14)
-    bits = np.zeros((len(sets), width), np.uint64)
-    for i, s in enumerate(sets):
-        at = s & (width * 64 - 1)
-        np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    loose = np.array([len(s) for s in sets]) - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-    parent = list(range(len(sets)))
+    A dual traversal of the signature tree drops pairs of nodes whose largest
+    possible overlap is too small, and nodes whose sets are all in one component
+    by then."""
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], labels[i]))
+    parent = list(range(len(sizes)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -285,39 +340,39 @@ def link_sets(sets: list[np.ndarray], labels: list[int], num: int, den: int) ->
     seen: dict[int, int] = {}
     for i, v in enumerate(labels):
         parent[i] = seen.setdefault(v, i)
-    found, top = [], signature_tree(sets, order, bits, loose)
-    # near neighbours first: what they join is not compared again
-    rounds = [(order[i], order[i + d]) for d in (1, 2, 3) for i in range(len(order) - d)]
+    found, top = [], signature_tree(sizes, order, bits)
+    leaf: dict[int, Node] = {}
 
-    def compare(i: int, j: int) -> None:
+    def leaves(x: Node) -> None:
+        if x.kids is None:
+            leaf[x.members[0]] = x
+        for k in x.kids or ():
+            leaves(k)
+
+    leaves(top)
+
+    def compare(x: Node, y: Node) -> None:
+        i, j = x.members[0], y.members[0]
         a, b = root(i), root(j)
-        if a == b:
-            return
-        n, m = len(sets[i]), len(sets[j])
-        if num * max(n, m) > den * min(n, m):
+        if a == b or num * max(x.low, y.low) > den * min(x.low, y.low):
             return
-        need = -((-num * (n + m)) // (num + den))
-        if int(np.bitwise_count(bits[i] & bits[j]).sum()) + min(int(loose[i]), int(loose[j])) < need:
-            return
-        if common(sets[i], sets[j]) >= need:
+        need = -((-num * (x.low + y.low)) // (num + den))
+        if _most(x, y) >= need and (overlap is None or overlap(i, j) >= need):
             parent[max(a, b)] = min(a, b)
             found.append((i, j))
 
-    if len(sets) > 2:
-        for i, j in rounds:
-            compare(i, j)
+    # near neighbours first: what they join is not compared again
+    for d in (1, 2, 3) if len(order) > 2 else ():
+        for i in range(len(order) - d):
+            compare(leaf[order[i]], leaf[order[i + d]])
     stack = [(top, top)]
     while stack:
         x, y = stack.pop()
-        if x is not y:
-            if num * y.low > den * x.high or num * x.low > den * y.high:
-                continue
-            most = min(int(np.bitwise_count(x.bits & y.bits).sum()) + min(x.loose, y.loose), x.high, y.high)
-            if most < -((-num * (x.low + y.low)) // (num + den)):
-                continue
+        if x is not y and (num * y.low > den * x.high or num * x.low > den * y.high or _most(x, y) < -((-num * (x.low + y.low)) // (num + den))):
+            continue
         if x.kids is None and y.kids is None:
             if x is not y:
-                compare(x.members[0], y.members[0])
+                compare(x, y)
             continue
         if len({root(i) for i in x.members} | ({root(i) for i in y.members} if x is not y else set())) == 1:
             continue
@@ -330,6 +385,44 @@ def link_sets(sets: list[np.ndarray], labels: list[int], num: int, den: int) ->
     return found
 
 
+def _route_edges(num: int, den: int):
+    """Edges that join, in each route, the sets that bitmaps do not tell apart;
+    the sets of a route that is cut into blocks hang on a node of the route
+    (below zero)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        t, s, n = (table.column(x).to_numpy() for x in ("key", "set_id", "n"))
+        token = table.column("token").combine_chunks()
+        cut, token = ~token.is_null().to_numpy(zero_copy_only=False), token.fill_null(0).to_numpy()
+        raw = table.column("bits")
+        edges = set(zip(s[cut].tolist(), (-token[cut] - 1).tolist()))
+        rest = np.flatnonzero(~cut)
+        order = rest[np.lexsort((s[rest], t[rest]))]
+        begin = np.flatnonzero(np.concatenate(([True], t[order][1:] != t[order][:-1]))) if len(order) else order
+        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
+            at = order[i:j].tolist()
+            if len(at) > 1:
+                bits = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in at]
+                edges.update((int(s[at[x]]), int(s[at[y]])) for x, y in link_sets(n[at].tolist(), bits, list(range(len(at))), num, den))
+        if edges:
+            e = np.array(sorted(edges), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+
+    return work
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
 def _link_groups(num: int, den: int):
     """Links inside each (cluster, block)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +440,8 @@ def _link_groups(num: int, den: int):
             at = at[np.concatenate(([True], s[at][1:] != s[at][:-1]))]
             if len(at) > 1:
                 sets = [np.frombuffer(raw[k].as_buffer(), np.int64) for k in at.tolist()]
-                links += [(int(s[at[x]]), int(s[at[y]])) for x, y in link_sets(sets, v[at].tolist(), num, den)]
+                found = link_sets([len(x) for x in sets], [bitmap(x) for x in sets], v[at].tolist(), num, den, lambda x, y, sets=sets: common(sets[x], sets[y]))
+                links += [(int(s[at[x]]), int(s[at[y]])) for x, y in found]
         if links:
             e = np.array(links, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
@@ -355,19 +449,24 @@ def _link_groups(num: int, den: int):
     return work
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
-    """(set_id, cluster, n, tokens as bytes) of the wanted (set_id, cluster, id)."""
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+def _linked_within(docs: DataFrame, plan: DataFrame, k: int, num: int, den: int, id_col: str, text: str, parts: int) -> DataFrame:
+    """Links (a, b) within the blocks of ``plan`` (set_id, id, cluster, places,
+    label): the texts of its ids are fetched, each set goes to its places."""
+    if plan.count() <= BROADCAST_IDS:
+        plan = F.broadcast(plan)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _blocks(batches):
-            sets = shingle_sets(part.column(2).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                             ["set_id", "cluster", "n", "tokens"])
+            sets = shingle_sets(part.column(4).to_pylist(), k)
+            batch = pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "cluster", "places", "label", "tokens"])
+            # an id may have several texts: only that of the set counts
+            own = [set_digest(s) == i for s, i in zip(sets, part.column(0).to_pylist())]
+            yield batch if all(own) else batch.filter(pa.array(own))
 
-    rows = docs.join(wanted.withColumnRenamed(id_col, "__id"), F.col(f"`{id_col}`") == F.col("__id"))
-    return _texts(rows, text, "set_id", "cluster").mapInArrow(work, "set_id long, cluster long, n long, tokens binary")
+    rows = docs.join(plan.withColumnRenamed(id_col, "__id"), F.col(f"`{id_col}`") == F.col("__id"))
+    sets = _texts(rows, text, "set_id", "cluster", "places", "label").mapInArrow(work, "set_id long, cluster long, places array<int>, label long, tokens binary")
+    placed = sets.select("cluster", F.explode("places").alias("block"), "set_id", "label", "tokens")
+    return written(placed.repartition(parts, "cluster", "block").mapInArrow(_link_groups(num, den), "a long, b long").distinct(), "links")
 
 
 def _least(facts: DataFrame, id_col: str) -> DataFrame:
@@ -384,33 +483,31 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     facts = written(describe(base, k, num, den, frequent_shingles(base, k, text=text), id_col=id_col, text=text), "facts")
     routed = facts.select(F.sum(F.size("route"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), math.ceil(routed / 1_000_000))
-    rows = facts.select("set_id", F.col("n_shingles").alias("n"), F.explode("route").alias("r")).select("r.token", "r.block", "r.cut", "set_id", "n", "r.pos")
-    edges = rows.repartition(parts, "token", "block").mapInArrow(_candidate_edges(num, den), "a long, b long")
+    size = F.shiftleft("n_shingles", 32) + F.col("r.place")
+    rows = facts.select("set_id", "n_shingles", F.explode("route").alias("r")).select("r.key", "set_id", size.alias("size"), "r.token")
+    members = written(rows.repartition(parts, "key").mapInArrow(_memberships(num, den), "key long, set_id long, n long, token long"), "members")
+    maps = facts.groupBy("set_id").agg(F.first("bits").alias("bits"))
+    edges = members.join(maps, "set_id").repartition(parts, "key").mapInArrow(_route_edges(num, den), "a long, b long")
     clusters = connected_components(edges, "a", "b").where("node >= 0").select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
-    wanted = written(_least(facts, id_col).join(clusters, "set_id"), "wanted")
-    sets = written(_sets_of(base, wanted.where(F.col(id_col).isNotNull()), k, id_col, text), "sets")
-    sizes = wanted.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    dealt = written(wanted.join(sizes, "cluster").select("set_id", "cluster", F.ceil(F.col("size") / CLUSTER_BLOCK).cast("int").alias("blocks")), "dealt")
+    near = written(_least(facts, id_col).where(F.col(id_col).isNotNull()).join(clusters, "set_id"), "near")
+    sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    dealt = written(near.join(sizes, "cluster").select("set_id", id_col, "cluster", F.ceil(F.col("size") / CLUSTER_BLOCK).cast("int").alias("blocks")), "dealt")
 
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-
-    def links(plan: DataFrame) -> DataFrame:
-        placed = sets.join(plan, ["set_id", "cluster"]).select("cluster", F.explode("places").alias("block"), "set_id", "label", "tokens")
-        return written(placed.repartition(parts, "cluster", "block").mapInArrow(_link_groups(num, den), "a long, b long").distinct(), "links")
-
     # about LEADERS sets of a cluster of several blocks stand in all of them
     leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit("leader"), "set_id"), F.col("blocks") * F.lit(CLUSTER_BLOCK // LEADERS)) == 0)
-    found = links(dealt.select("set_id", "cluster", F.when(leads, everywhere).otherwise(F.array(own)).alias("places"), F.col("set_id").alias("label")))
+    plan = dealt.select("set_id", id_col, "cluster", F.when(leads, everywhere).otherwise(F.array(own)).alias("places"), F.col("set_id").alias("label"))
+    found = _linked_within(base, plan, k, num, den, id_col, text, parts)
     labels = connected_components(found, "a", "b").withColumnRenamed("node", "set_id")
     wide = dealt.where("blocks > 1")
     if not wide.isEmpty():
         named = wide.join(labels, "set_id", "left").withColumn("label", F.coalesce("component", "set_id")).drop("component")
         main = (named.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster")
                 .agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("cluster", F.col("top.label").alias("main")))
-        rest = written(named.join(main, "cluster").select("set_id", "cluster", F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(everywhere).alias("places"), "label"), "rest")
+        rest = written(named.join(main, "cluster").select("set_id", id_col, "cluster", F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(everywhere).alias("places"), "label"), "rest")
         if not rest.isEmpty():
-            found = found.unionByName(links(rest))
+            found = found.unionByName(_linked_within(base, rest, k, num, den, id_col, text, parts))
             labels = connected_components(found, "a", "b").withColumnRenamed("node", "set_id")
     # the least id of each set, then of each component of sets
     named = _least(facts, id_col).withColumnRenamed(id_col, "least").join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
