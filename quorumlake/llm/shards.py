@@ -23,17 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quorumlake.session import scratch, shuffle_partitions
+from quorumlake.session import scratch, shuffle_partitions, written
 
 #: Bytes of records that a bucket holds on average.
 BUCKET_BYTES = 16 << 20
 
 
 def write_shards(docs: DataFrame, path: str, *, shards: int, seed: int = 0, text: str = "text", overhead: int = 16,
-                 bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                 bucket_bytes: int = BUCKET_BYTES, stable: bool = False) -> DataFrame:
     """Write ``docs`` as Parquet folders shard=0 … below ``path`` and return
-    them as read back: (record: the input's columns, size, slot, shard)."""
+    them as read back: (record: the input's columns, size, slot, shard).
+
+    stable: whether ``docs`` is a plain scan of files, so that each row has the
+    same place in every pass; any other plan is written as a table first.
+    """
     spark = docs.sparkSession
+    if not stable:
+        docs = written(docs, "records")
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + overhead
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), size.alias("size"),
                        F.monotonically_increasing_id().alias("place"))
@@ -58,7 +64,7 @@ def write_shards(docs: DataFrame, path: str, *, shards: int, seed: int = 0, text
 
 def op9_shards(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = write_shards(docs, scratch(spark, "shards"), shards=40, seed=9)
+    out = write_shards(docs, scratch(spark, "shards"), shards=40, seed=9, stable=True)
     crc = F.crc32(F.coalesce(F.col("record.text"), F.lit("")).cast("binary"))
     return out.select("record.doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
