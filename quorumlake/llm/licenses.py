@@ -2,9 +2,10 @@
 
 A text is brought to a canonical form (case, punctuation, copyright lines and
 equivalent spellings), and the SHA-256 of the form is hash-joined with those of
-known licence texts.  The join compares entire texts: of each document, and of
-each of its lines, since notices stand on lines of their own.  DataFrame
-functions only.
+known licence texts.  The join compares entire texts: of each document, of each
+of its lines, since notices stand on lines of their own, and of its runs of
+blocks between blank lines, as long as known texts are.  DataFrame functions
+only.
 
 Defined results: null and empty texts, and such as have only copyright lines,
 have the empty form, which is no licence.  Repeated rows stay.  Several names
@@ -13,6 +14,8 @@ with one canonical form: the least name.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,9 @@ KNOWN = [
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("All-Rights-Reserved", "All rights reserved."),
@@ -49,11 +55,29 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
+def full_texts() -> list[tuple[str, str]]:
+    """Full licence texts with their names, and each without its title or a line
+    of reserved rights."""
+    out = []
+    for path in sorted(Path(__file__).with_name("licence_texts").glob("*.txt")):
+        text = path.read_text()
+        out.append((path.stem, text))
+        if path.stem == "MIT":
+            out.append((path.stem, text.removeprefix("MIT License\n")))
+        if path.stem.startswith("BSD"):
+            out.append((path.stem, text.replace("All rights reserved.\n", "")))
+    return out
+
+
+#: Copyright lines, and those that no sentence wrapped before "copyright" makes.
+NOTICE, STRICT_NOTICE = r"copyright|\(c\)|©", r"copyright[ \t]*(?:\(c\)|©|[0-9<\[])|\(c\)|©"
+
+
+def canonical(text: Column, notice: str = NOTICE) -> Column:
     """Canonical form: copyright lines go, A-Z are lower-cased, every run of
     ASCII characters other than letters and digits is one blank, and equivalent
     spellings become one.  Other characters stay as they are."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?im)^[ \t]*(copyright|\(c\)|©)[^\n]*$", "")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?im)^[ \t]*({notice})[^\n]*$", "")
     t = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     t = F.regexp_replace(t, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ")
     for found, put in SPELLINGS:
@@ -62,28 +86,46 @@ def canonical(text: Column) -> Column:
     return F.trim(t)
 
 
-def licence_table(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, licence) of known texts."""
-    rows = spark.createDataFrame(known, "licence string, text string")
-    return rows.withColumn("form", canonical(F.col("text"))).where("form <> ''").groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("licence").alias("licence"))
+def _blocks(text: Column) -> Column:
+    """Canonical forms of the blocks between blank lines, without empty ones;
+    sentences may be wrapped anywhere."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n(?:[ \t\r\f]*\n)+"), lambda x: canonical(x, STRICT_NOTICE)), lambda x: x != "")
+
+
+def _runs(blocks: Column, n: int) -> Column:
+    """All n blocks that follow each other, joined."""
+    starts = F.sequence(F.lit(1), F.size(blocks) - (n - 1))
+    return F.when(F.size(blocks) >= n, F.transform(starts, lambda i: F.array_join(F.slice(blocks, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def licence_table(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, licence, blocks) of known texts, by default KNOWN and the full texts."""
+    rows = spark.createDataFrame(KNOWN + full_texts() if known is None else known, "licence string, text string")
+    rows = rows.withColumn("split", _blocks(F.col("text"))).withColumn("form", F.explode(F.array(canonical(F.col("text")), F.array_join("split", " "))))
+    return rows.where("form <> ''").groupBy(F.sha2("form", 256).alias("digest"), F.size("split").alias("blocks")).agg(F.min("licence").alias("licence"))
 
 
 def scan_licences(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text_digest, licence, line_licences): the licence whose entire text
-    the document is, and the sorted names of those that one of its lines is.
+    the document is, and the sorted names of those that one of its lines, or a run
+    of its blocks, is.
 
-    Lines are digested where they lie; only distinct digests of lines meet the
+    Units are digested where they lie; only distinct digests of units meet the
     licence table, once for each document and digest, and no text is shuffled.
     """
+    lengths = sorted(r[0] for r in licences.select("blocks").distinct().collect())
+    licences = licences.groupBy("digest").agg(F.min("licence").alias("licence"))
     if licences.count() <= BROADCAST_LICENCES:
         licences = F.broadcast(licences)
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias("__text"), F.monotonically_increasing_id().alias("__row"))
     form = canonical(F.col("__text"))
     lines = F.filter(F.array_distinct(F.transform(F.split(F.coalesce("__text", F.lit("")), "\n"), canonical)), lambda x: x != "")
-    digests = F.transform(lines, lambda x: F.sha2(x, 256))
-    units = rows.select(id_col, "__row", F.sha2(form, 256).alias("text_digest"), digests.alias("__lines"))
-    # one row a line, with the document's own digest on the first
-    each = units.select(id_col, "__row", "text_digest", F.posexplode(F.concat(F.array("text_digest"), "__lines")).alias("__at", "digest"))
+    split = rows.withColumn("__lines", lines).withColumn("__blocks", F.when(F.contains("__text", F.lit("\n")), _blocks(F.col("__text"))).otherwise(F.array().cast("array<string>")))
+    runs = [_runs(F.col("__blocks"), n) for n in lengths]
+    digests = F.transform(F.array_distinct(F.concat("__lines", *runs)), lambda x: F.sha2(x, 256))
+    units = split.select(id_col, "__row", F.sha2(form, 256).alias("text_digest"), digests.alias("__units"))
+    # one row a unit, with the document's own digest on the first
+    each = units.select(id_col, "__row", "text_digest", F.posexplode(F.concat(F.array("text_digest"), "__units")).alias("__at", "digest"))
     hit = each.join(licences, "digest", "left").where("__at = 0 or licence is not null")
     return (hit.groupBy("__row").agg(F.min(id_col).alias(id_col), F.min("text_digest").alias("text_digest"),
                                      F.max(F.when(F.col("__at") == 0, F.col("licence"))).alias("licence"),
