@@ -9,11 +9,16 @@ routes next to nothing.
 
 In each route the sets form a signature tree: nodes hold OR-combined token
 bitmaps and size ranges, and a dual traversal drops pairs of nodes whose largest
-possible overlap is too small or whose sets hang together already.  Sets that
-bitmaps do not tell apart form clusters (connected components).  Each set then
-travels once, to its cluster, where the same traversal confirms what is left on
-whole shingle sets.  The result is exact: of every pair of linked sets, both lie
-in one cluster and are confirmed or in one component already.
+possible overlap is too small or whose sets hang together already.  Routes carry
+bitmaps of a fixed share of the tokens, which shows already that sets with
+chance shingles in common do not link.  Sets that bitmaps do not tell apart form
+clusters (connected components).  Each set then travels once, to its cluster,
+where the same traversal confirms what is left on whole shingle sets.  Of every
+pair of linked sets, both lie in one cluster and are confirmed or in one
+component already, so no link is lost.  Shingles stand for themselves as 63-bit
+hashes and sets as digests of as many bits; only equal hashes of different
+shingles or sets, which no input brings about but by chance, could change a
+result.
 
 Clusters of any size are cut into blocks.  A few sets stand in all blocks and tie
 them; then sets of other components than the cluster's largest go to all of its
@@ -52,51 +57,51 @@ SMALL_ROUTE = 8
 #: Sets of a cluster that are compared in one task; of larger clusters about LEADERS sets stand in every block.
 CLUSTER_BLOCK, LEADERS = 1024, 16
 FANOUT = 16
+#: Of 256 tokens so many stand in the bitmaps of routes; the rest count as shared.  Sets that share little
+#: differ by more than links allow on these already.
+ROUTE_SHARE = 102
 #: Ids that are broadcast to fetch the texts of candidates; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
-BASE = 0x9E3779B97F4A7C15
-#: Bytes of texts that are hashed at once; longer single texts are hashed word by word.
-HASH_BYTES = 1 << 24
-
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(22, int(n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            x = np.ones(size, np.uint64)
-            x[1:] = np.uint64(base)
-            _POWERS[name] = np.cumprod(x)
-    return _POWERS["up"], _POWERS["down"]
-
+#: Bytes of texts that are hashed at once.
+HASH_BYTES = 1 << 22
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 128
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Masks of the first 0 .. 8 bytes of a little-endian number.
+_FIRST = np.array([2**(8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def _scatter(h: np.ndarray) -> np.ndarray:
+    """A one-to-one mixing of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, end to end, and how many each has: a
-    polynomial over the bytes of a word, from differences of running sums."""
-    if len(texts) == 1 and len(texts[0]) >= HASH_BYTES:
-        out = []
-        for w in texts[0].translate(LOWER).split():
-            up, _ = _powers(len(w))
-            out.append(int(((np.frombuffer(w, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:len(w)]).sum()))
-        return np.array(out, np.uint64), np.array([len(out)])
+    """Hashes of the words of all texts, end to end, and how many each has.  A
+    word is mixed eight bytes at a time, so that no sum of letters cancels out."""
     data = b"\n" + b"\n".join(texts).translate(LOWER) + b"\n"
     x = np.frombuffer(data, np.uint8)
-    up, down = _powers(len(x))
     blank = _BLANK[x]
     begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    run = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:len(x)], out=run[1:])
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    upto = np.searchsorted(begin, np.cumsum(size) + 1)
-    return (run[end] - run[begin]) * down[begin], np.diff(np.concatenate(([0], upto)))
+    padded = data + bytes(8)
+    eight = np.ndarray(len(x), "<u8", padded, strides=(1,))
+    size = end - begin
+    h = _scatter((eight[begin] & _FIRST[np.minimum(size, 8)]) ^ size.astype(np.uint64) * _STEP)
+    rest, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(rest):
+        h[rest] = _scatter(h[rest] * _STEP ^ (eight[begin[rest] + at] & _FIRST[np.minimum(size[rest] - at, 8)]))
+        at += 8
+        rest = rest[size[rest] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[begin[i]:end[i]], digest_size=8).digest(), "little")
+    upto = np.searchsorted(begin, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) + 1)
+    return h, np.diff(np.concatenate(([0], upto)))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -111,17 +116,16 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     for i, t in enumerate(raw):
         held.append(t)
         size += len(t) + 1
-        if i + 1 == len(raw) or size + len(raw[i + 1]) >= HASH_BYTES - 2:
+        if i + 1 == len(raw) or size + len(raw[i + 1]) >= HASH_BYTES:
             out += _shingles(*word_hashes(held), k)
             held, size = [], 0
     return out
 
 
 def _shingles(flat: np.ndarray, count: np.ndarray, k: int) -> list[np.ndarray]:
-    factor = [np.uint64(((BASE * (2 * i + 3)) | 1) & (2**64 - 1)) for i in range(k)]
-    rolled = np.zeros(max(0, len(flat) - k + 1), np.uint64)
+    rolled = np.full(max(0, len(flat) - k + 1), k, np.uint64)
     for i in range(k):
-        rolled += flat[i:len(rolled) + i] * factor[i]
+        rolled = _scatter(rolled * _STEP ^ flat[i:len(rolled) + i])
     rolled = _mix(rolled)
     out, at = [], 0
     for n in count.tolist():
@@ -133,7 +137,7 @@ def _shingles(flat: np.ndarray, count: np.ndarray, k: int) -> list[np.ndarray]:
         elif n:
             h = np.array([n], np.uint64)
             for i in range(n):
-                h = h + flat[at + i:at + i + 1] * factor[i]
+                h = _scatter(h * _STEP ^ flat[at + i:at + i + 1])
             out.append(_mix(h))
         else:
             out.append(np.zeros(0, np.int64))
@@ -142,14 +146,21 @@ def _shingles(flat: np.ndarray, count: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Token bitmap: the power of two of bits that is two to four to a token, 64 to 65536."""
-    width = min(1 << 16, max(64, 1 << (2 * max(1, len(tokens)) - 1).bit_length()))
+    """Token bitmap: the least power of two of bits that is 1.25 or more to a token, 64 to 65536."""
+    width = min(1 << 16, max(64, 1 << (-(-5 * len(tokens) // 4) - 1).bit_length() if len(tokens) else 64))
     words = np.zeros(width // 64, np.uint64)
-    bit = tokens & (width - 1)
+    bit = (tokens >> 8) & (width - 1)
     np.bitwise_or.at(words, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
     return words
 
 
+def route_bitmap(tokens: np.ndarray) -> bytes:
+    """The bitmap that travels along routes: of ROUTE_SHARE of the tokens (by
+    their hash), after the number of these."""
+    inside = tokens[(tokens & 255) < ROUTE_SHARE]
+    return len(inside).to_bytes(8, "little") + bitmap(inside).tobytes()
+
+
 def set_digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
 
@@ -172,10 +183,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterat
 
 def frequent_shingles(docs: DataFrame, k: int, *, text: str = "text") -> np.ndarray:
     """Shingles that many documents have, counted over all of them, with their
-    counts: two rows, sorted by shingle.  Counts are of the lower half of the
-    hash range: prefixes hold the least hashes, hence hardly any of the others."""
-    half = np.int64(2**62)
-
+    counts: two rows, sorted by shingle."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -186,7 +194,7 @@ def frequent_shingles(docs: DataFrame, k: int, *, text: str = "text") -> np.ndar
 
         for part in _blocks(batches):
             for s in shingle_sets(part.column(0).to_pylist(), k):
-                held.append(s[:np.searchsorted(s, half)])
+                held.append(s)
                 size += len(held[-1])
             if size >= COUNT_BLOCK:
                 yield flush()
@@ -224,7 +232,7 @@ def describe(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray,
                 many = np.where(hot[head], count[at[head]] // ROUTE_BLOCK + 1, 1) if len(known) else np.ones(len(head), np.int64)
                 sizes.append(n)
                 ids.append(sid)
-                bits.append(bitmap(s).tobytes())
+                bits.append(route_bitmap(s))
                 tokens.append(s[head])
                 block = _mix((s[head] ^ np.int64(sid)).astype(np.uint64)) % many
                 goes.append(np.where(many > 1, _mix(s[head].astype(np.uint64) * np.uint64(3) + block.astype(np.uint64)), s[head]))
@@ -245,9 +253,29 @@ def _needed(nx: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-num * (nx + ny)) // (num + den))
 
 
+def _ranges(t: np.ndarray) -> np.ndarray:
+    """Number of the run of equal values that each place of a sorted array is in."""
+    new = np.ones(len(t), bool)
+    new[1:] = t[1:] != t[:-1]
+    return np.cumsum(new) - 1
+
+
+def _paired(group: np.ndarray, n: np.ndarray, p: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether a set has a partner in its route (groups sorted, by size n within)
+    that sizes and places p allow: the smaller of two linked sets has their first
+    common shingle among the first ``n - needed(n, n) + 1``."""
+    lead = n - p >= _needed(n, n, num, den)
+    at = group << 33
+    first, last = np.searchsorted(at + n, at + n), np.searchsorted(at + n, at + n, "right")
+    low, high = np.searchsorted(at + n, at - (-num * n // den)), np.searchsorted(at + n, at + den * n // num, "right")
+    leads = np.concatenate(([0], np.cumsum(lead)))
+    return (leads[last] - leads[low] - lead > 0) | (lead & (high - first > 1))
+
+
 def _memberships(num: int, den: int):
     """Rows (key, set_id, n, token) of routes where the set has a partner that
-    sizes (in small routes: and positions) allow."""
+    sizes and places allow.  Routes of many sets are cut into blocks here, if they
+    were not before."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -261,34 +289,37 @@ def _memberships(num: int, den: int):
         t, s, n, p, c, token = (x[order] for x in (t, s, n, p, c, token))
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-        t, s, n, p, c, token = (x[new] for x in (t, s, n, p, c, token))
-        start = np.ones(len(t), bool)
-        start[1:] = t[1:] != t[:-1]
-        begin = np.flatnonzero(start)
-        size = np.diff(np.append(begin, len(t)))
-        group = np.repeat(np.arange(len(begin)), size)
-        small = (size <= SMALL_ROUTE)[group] & ~c
-        keep = c.copy()
+        for _ in range(2):  # what is left of a route may be small enough for the second test
+            t, s, n, p, c, token = (x[new] for x in (t, s, n, p, c, token))
+            group = _ranges(t)
+            size = np.bincount(group, minlength=1)[group] if len(group) else group
+            new = c | _paired(group, n, p, num, den)
+        few = (size <= SMALL_ROUTE) & ~c
+        keep = new & ~few
         for d in range(1, SMALL_ROUTE):
-            x = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
+            x = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]))
             y = x + d
             fits = (1 + np.minimum(n[x] - 1 - p[x], n[y] - 1 - p[y])) >= _needed(n[x], n[y], num, den)
             keep[x[fits]] = keep[y[fits]] = True
-        i = np.flatnonzero(~small[:-1] & (group[:-1] == group[1:]) & (n[1:] * num <= n[:-1] * den))
-        keep[i] = keep[i + 1] = True
-        yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(s[keep]), pa.array(n[keep]), pa.array(token[keep], mask=~c[keep])], ["key", "set_id", "n", "token"])
+        t, s, n, c, token, group = (x[keep] for x in (t, s, n, c, token, group))
+        if len(t):
+            many = np.where(c, 1, np.bincount(group)[group] // ROUTE_BLOCK + 1)
+            block = _mix((t ^ s).astype(np.uint64)) % many
+            token, c = np.where(many > 1, t, token), c | (many > 1)
+            t = np.where(many > 1, _mix(t.astype(np.uint64) * np.uint64(3) + block.astype(np.uint64)), t)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s), pa.array(n), pa.array(token, mask=~c)], ["key", "set_id", "n", "token"])
 
     return work
 
 
 class Node:
-    """A run of sets in a signature tree: OR-combined bitmap, size range, and
-    the most tokens that a set of it has beyond its own bits."""
+    """A run of sets in a signature tree: OR-combined bitmap, size range, and the
+    most tokens that a set of it has beyond its own bits, and outside the bitmap."""
 
-    __slots__ = ("bits", "loose", "low", "high", "kids", "members")
+    __slots__ = ("bits", "loose", "out", "low", "high", "kids", "members")
 
-    def __init__(self, bits, loose, low, high, kids, members):
-        self.bits, self.loose, self.low, self.high, self.kids, self.members = bits, loose, low, high, kids, members
+    def __init__(self, bits, loose, out, low, high, kids, members):
+        self.bits, self.loose, self.out, self.low, self.high, self.kids, self.members = bits, loose, out, low, high, kids, members
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -296,18 +327,18 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
-def signature_tree(sizes: list[int], order: list[int], bits: list[np.ndarray]) -> Node:
+def signature_tree(sizes: list[int], inside: list[int], order: list[int], bits: list[np.ndarray]) -> Node:
     """Tree over sets in the given order (by size); a node's bitmap has the
     least width of its sets'."""
-    level = [Node(bits[i], sizes[i] - int(np.bitwise_count(bits[i]).sum()), sizes[i], sizes[i], None, [i]) for i in order]
+    level = [Node(bits[i], inside[i] - int(np.bitwise_count(bits[i]).sum()), sizes[i] - inside[i], sizes[i], sizes[i], None, [i]) for i in order]
     while len(level) > 1:
         up = []
         for at in range(0, len(level), FANOUT):
             kids = level[at:at + FANOUT]
             words = min(len(k.bits) for k in kids)
             members = [m for k in kids for m in k.members]
-            loose = max(k.loose for k in kids) if all(len(k.bits) == words for k in kids) else max(sizes[m] - int(np.bitwise_count(_fold(bits[m], words)).sum()) for m in members)
-            up.append(Node(np.bitwise_or.reduce([_fold(k.bits, words) for k in kids], axis=0), loose, min(k.low for k in kids), max(k.high for k in kids), kids, members))
+            loose = max(k.loose for k in kids) if all(len(k.bits) == words for k in kids) else max(inside[m] - int(np.bitwise_count(_fold(bits[m], words)).sum()) for m in members)
+            up.append(Node(np.bitwise_or.reduce([_fold(k.bits, words) for k in kids], axis=0), loose, max(k.out for k in kids), min(k.low for k in kids), max(k.high for k in kids), kids, members))
         level = up
     return level[0]
 
@@ -318,12 +349,13 @@ def _most(x: Node, y: Node) -> int:
         x, y = y, x
     words = len(x.bits)
     loose = min(x.loose, y.loose) if len(y.bits) == words else x.loose
-    return min(int(np.bitwise_count(x.bits & _fold(y.bits, words)).sum()) + loose, x.high, y.high)
+    return min(int(np.bitwise_count(x.bits & _fold(y.bits, words)).sum()) + loose + min(x.out, y.out), x.high, y.high)
 
 
-def link_sets(sizes: list[int], bits: list[np.ndarray], labels: list[int], num: int, den: int, overlap=None) -> list[tuple[int, int]]:
+def link_sets(sizes: list[int], bits: list[np.ndarray], labels: list[int], num: int, den: int, overlap=None, inside: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs of sets that, with sets of equal labels, join all that are linked:
     by ``overlap(i, j)``, or, without it, all that bitmaps do not tell apart.
+    inside: how many tokens of a set its bitmap stands for (by default all).
 
     A dual traversal of the signature tree drops pairs of nodes whose largest
     possible overlap is too small, and nodes whose sets are all in one component
@@ -340,7 +372,7 @@ def link_sets(sizes: list[int], bits: list[np.ndarray], labels: list[int], num:
     seen: dict[int, int] = {}
     for i, v in enumerate(labels):
         parent[i] = seen.setdefault(v, i)
-    found, top = [], signature_tree(sizes, order, bits)
+    found, top = [], signature_tree(sizes, inside or sizes, order, bits)
     leaf: dict[int, Node] = {}
 
     def leaves(x: Node) -> None:
@@ -385,6 +417,41 @@ def link_sets(sizes: list[int], bits: list[np.ndarray], labels: list[int], num:
     return found
 
 
+class _Bitmaps:
+    """Bitmaps of rows, as one matrix for each width."""
+
+    def __init__(self, raw: pa.ChunkedArray):
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
+        self.inside = np.array([int(x[0]) for x in raw], np.int64)
+        self.bits = [x[1:] for x in raw]
+        self.words = np.array([len(x) for x in self.bits], np.int64)
+        self.row, self.of = np.zeros(len(raw), np.int64), {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.row[at], self.of[w] = np.arange(len(at)), np.stack([self.bits[i] for i in at.tolist()])
+
+    def folded(self, at: np.ndarray, words: int) -> np.ndarray:
+        out = np.zeros((len(at), words), np.uint64)
+        for w, m in self.of.items():
+            own = np.flatnonzero(self.words[at] == w)
+            if len(own):
+                out[own] = np.bitwise_or.reduce(m[self.row[at[own]]].reshape(len(own), -1, words), axis=1)
+        return out
+
+    def most(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The largest overlap that rows x and y can have; n: sizes of the sets."""
+        out, m = np.zeros(len(x), np.int64), self.inside
+        width = np.minimum(self.words[x], self.words[y])
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            for part in np.array_split(own, len(own) * w // 1_000_000 + 1):
+                i, j = x[part], y[part]
+                a, b = self.folded(i, w), self.folded(j, w)
+                loose = np.minimum(m[i] - np.bitwise_count(a).sum(1), m[j] - np.bitwise_count(b).sum(1))
+                out[part] = np.minimum(np.bitwise_count(a & b).sum(1) + loose, np.minimum(m[i], m[j])) + np.minimum(n[i] - m[i], n[j] - m[j])
+        return out
+
+
 def _route_edges(num: int, den: int):
     """Edges that join, in each route, the sets that bitmaps do not tell apart;
     the sets of a route that is cut into blocks hang on a node of the route
@@ -397,19 +464,29 @@ def _route_edges(num: int, den: int):
         t, s, n = (table.column(x).to_numpy() for x in ("key", "set_id", "n"))
         token = table.column("token").combine_chunks()
         cut, token = ~token.is_null().to_numpy(zero_copy_only=False), token.fill_null(0).to_numpy()
-        raw = table.column("bits")
-        edges = set(zip(s[cut].tolist(), (-token[cut] - 1).tolist()))
-        rest = np.flatnonzero(~cut)
-        order = rest[np.lexsort((s[rest], t[rest]))]
-        begin = np.flatnonzero(np.concatenate(([True], t[order][1:] != t[order][:-1]))) if len(order) else order
-        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
-            at = order[i:j].tolist()
-            if len(at) > 1:
-                bits = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in at]
-                edges.update((int(s[at[x]]), int(s[at[y]])) for x, y in link_sets(n[at].tolist(), bits, list(range(len(at))), num, den))
-        if edges:
-            e = np.array(sorted(edges), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+        maps = _Bitmaps(table.column("bits"))
+        edges = [np.unique(np.stack([s[cut], -token[cut] - 1], 1), axis=0)]
+        order = np.flatnonzero(~cut)
+        order = order[np.lexsort((s[order], t[order]))]
+        group = _ranges(t[order])
+        count = np.bincount(group, minlength=1)
+        few = count[group] <= SMALL_ROUTE if len(group) else np.zeros(0, bool)
+        # routes of few sets: their pairs at once
+        for d in range(1, SMALL_ROUTE):
+            i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]))
+            x, y = order[i], order[i + d]
+            fits = num * np.maximum(n[x], n[y]) <= den * np.minimum(n[x], n[y])
+            x, y = x[fits], y[fits]
+            near = maps.most(x, y, n) >= _needed(n[x], n[y], num, den)
+            edges.append(np.stack([s[x[near]], s[y[near]]], 1))
+        # others: a signature tree each
+        for at in np.split(order, np.cumsum(count)[:-1]) if len(order) else ():
+            if len(at) > SMALL_ROUTE:
+                at = at.tolist()
+                found = link_sets(n[at].tolist(), [maps.bits[k] for k in at], list(range(len(at))), num, den, inside=maps.inside[at].tolist())
+                edges.append(np.array([(s[at[x]], s[at[y]]) for x, y in found], np.int64).reshape(-1, 2))
+        e = np.unique(np.concatenate(edges), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
     return work
 
@@ -485,8 +562,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     parts = max(shuffle_partitions(spark), math.ceil(routed / 1_000_000))
     size = F.shiftleft("n_shingles", 32) + F.col("r.place")
     rows = facts.select("set_id", "n_shingles", F.explode("route").alias("r")).select("r.key", "set_id", size.alias("size"), "r.token")
-    members = written(rows.repartition(parts, "key").mapInArrow(_memberships(num, den), "key long, set_id long, n long, token long"), "members")
-    maps = facts.groupBy("set_id").agg(F.first("bits").alias("bits"))
+    members = rows.repartition(parts, "key").mapInArrow(_memberships(num, den), "key long, set_id long, n long, token long")
+    maps = facts.where("n_shingles > 0").groupBy("set_id").agg(F.first("bits").alias("bits"))
     edges = members.join(maps, "set_id").repartition(parts, "key").mapInArrow(_route_edges(num, den), "a long, b long")
     clusters = connected_components(edges, "a", "b").where("node >= 0").select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
     near = written(_least(facts, id_col).where(F.col(id_col).isNotNull()).join(clusters, "set_id"), "near")
