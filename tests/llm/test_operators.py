@@ -229,9 +229,10 @@ def test_inner_products_against_brute_force(spark, monkeypatch):
     bad = [(2000, None), (2020, []), (2040, [0.0] * 19), (2060, [float("nan")] + [1.0] * 18), (2080, [None] + [1.0] * 18), (2100, [float("inf")] * 19), (2120, [1.0] * 7), (None, [1.0] * 19)]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + bad + [(40, x[40].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("code", F.lit("c"))
-    index, book = mips.build_index(df)
-    assert index.count() == 901
-    got = mips.search(index, book, index.where("id % 20 = 0").select("id", "vector"), 20).toPandas()
+    kept = mips.sound_rows(df)
+    index, book = mips.build_index(kept)
+    assert kept.count() == 901 and index.count() == 840
+    got = mips.search(index, book, kept.where("id % 20 = 0"), 20).toPandas()
     hit, y = 0, x.astype(np.float64)
     for q, g in got.groupby("query_id"):
         s = y @ y[q]
@@ -243,13 +244,57 @@ def test_inner_products_against_brute_force(spark, monkeypatch):
     assert got["query_id"].nunique() == 45 and hit / 900 > 0.97
 
 
+def recall(spark, monkeypatch, x, reach):
+    """Share of the true 20 nearest that are found, for every twentieth row."""
+    monkeypatch.setattr(mips, "REACH", reach)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    kept = mips.sound_rows(df)
+    index, book = mips.build_index(kept)
+    got = mips.search(index, book, kept.where("id % 20 = 0"), 20).toPandas()
+    y = x.astype(np.float32).astype(np.float64)
+    found = {q: set(g["vec_id"]) for q, g in got.groupby("query_id")}
+    hit = []
+    for q in range(0, len(x), 20):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hit.append(len(found[q] & set(np.lexsort((np.arange(len(s)), -s))[:20].tolist())) / 20)
+    return np.array(hit)
+
+
+def test_recall_against_brute_force_with_a_dense_group(spark, monkeypatch):
+    """A third of the rows are one dense group, far more than are reranked."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x[::3] = rng.normal(size=64) + 0.08 * rng.normal(size=(2000, 64))
+    hit = recall(spark, monkeypatch, x / np.linalg.norm(x, axis=1, keepdims=True), 400)
+    assert hit.mean() >= 0.95 and hit[::3].mean() >= 0.9
+
+
+def test_recall_with_uneven_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 48)) * rng.lognormal(0, 0.5, (6000, 1))
+    assert recall(spark, monkeypatch, x, 200).mean() >= 0.95
+
+
+def test_estimates_are_near():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 15))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    book = mips.Codebook.fit(x)
+    own, size, code = book.encode(x)
+    e = book.estimates(x[:50], own, np.ones(len(x), np.float32), size.astype(np.float32), mips.pack(code))
+    assert e.shape == (2000, 50) and np.abs(e - x @ x[:50].T).mean() < 0.05
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>")
-    index, book = mips.build_index(df)
-    got = [tuple(r) for r in mips.search(index, book, index.select("id", "vector"), 20).orderBy("query_id", "rank").collect()]
+    kept = mips.sound_rows(df)
+    index, book = mips.build_index(kept)
+    got = [tuple(r) for r in mips.search(index, book, kept, 20).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 2, 5.0), (0, 2, 1, 4.0), (1, 1, 0, 4.0), (1, 2, 2, 4.0), (2, 1, 0, 5.0), (2, 2, 1, 4.0)]
-    index, book = mips.build_index(df.limit(0))
-    assert mips.search(index, book, index.select("id", "vector"), 20).count() == 0
+    kept = mips.sound_rows(df.limit(0))
+    index, book = mips.build_index(kept)
+    assert mips.search(index, book, kept, 20).count() == 0
 
 
 # ---- shards ----------------------------------------------------------------------------------------------
