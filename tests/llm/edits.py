@@ -26,5 +26,9 @@ EDITS = {
     "turned by 90 degrees": lambda x, rng: np.rot90(x).copy(),
     "scaled by 0.7": lambda x, rng: warped(x, 0, 0.7),
     "scaled by 1.4": lambda x, rng: warped(x, 0, 1.4),
+    "turned by 45 degrees": lambda x, rng: warped(x, 45),
+    "scaled by 0.8": lambda x, rng: warped(x, 0, 0.8),
+    "scaled by 1.5": lambda x, rng: warped(x, 0, 1.5),
+    "half": lambda x, rng: x[:, 10:60].copy(),
     "quarter": lambda x, rng: x[18:54, 18:54].copy(),
 }
