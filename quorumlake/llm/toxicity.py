@@ -1,16 +1,18 @@
 """Toxicity from a subsequence string kernel.
 
-Words are compared with landmark strings by the gap-weighted subsequence kernel,
-so that insults with gaps or inserted characters still come close; the kernel
-values, mapped by the Nyström rule and pooled over the words of a text, feed a
-linear support vector machine with a logistic link.  Landmarks and weights come
-from a bounded sample of labelled rows; scoring is one pass over all rows with
-no shuffle.
+Words are compared by the gap-weighted subsequence kernel, normalised and raised
+to a power (which is a kernel again), so that insults with gaps or inserted
+characters still come close.  A text's kernel with a string is that of its
+closest word; the Nyström rule maps the values with the landmarks by the inverse
+root of the landmarks' own Gram matrix, and the mapped text feeds a linear support
+vector machine with a logistic link.  Landmarks and weights come from a bounded
+sample of labelled rows; scoring is one pass over all rows with no shuffle.
 
 Defined results: null and empty texts are scored like a text without words;
 ids, language and source are no inputs; repeated rows get equal scores; without
-labelled rows of both classes every score is 0.  Words of any length count
-(long ones in overlapping windows), texts are read whole.
+labelled rows of both classes every score is 0; an empty table gives no rows.  Words
+of any length count (long ones in overlapping windows), texts are read whole.
+Other columns are kept as they are; a column with the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -23,24 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ORDER, DECAY = 3, 0.7
-LANDMARKS = 48
+#: Characters of a common subsequence, weight of each step that it spans, and power of the normalised kernel.
+ORDER, DECAY, POWER = 3, 0.7, 8
+#: Landmarks, and cost of a margin's loss.
+LANDMARKS, COST = 48, 0.1
 WINDOW, STRIDE = 32, 16
 #: A worker's words are forgotten beyond so many.
-CACHE_WORDS = 400_000
-#: Bounds of the sample that the classifier is fitted on: rows of each class, and bytes of a text in it.
-TRAIN_ROWS, TRAIN_TEXT_BYTES = 2000, 200_000
-
-# Characters that stand for letters.
-ALIKE = str.maketrans("0134578@$€", "oieastbase")
-
+CACHE_WORDS = 200_000
+#: Bounds of the sample that the classifier is fitted on: rows of each class, and bytes of a text in it (64 MB in all).
+TRAIN_ROWS, TRAIN_TEXT_BYTES = 2000, 16_000
 
 def plain(word: str) -> str:
-    """A lower-case word without marks; digits and signs among letters count as the letters that they stand for."""
-    kept = word if word.isalpha() else "".join(c for c in word if c.isalnum() or c in "@$€")
-    if kept and not kept.isalpha() and any(c.isalpha() for c in kept):
-        kept = kept.translate(ALIKE)
-    return kept
+    """A lower-case word's letters and digits."""
+    return word if word.isalnum() else "".join(c for c in word if c.isalnum())
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -49,20 +46,19 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return flat.reshape(len(words), width)
 
 
-def subsequence_kernel(words: np.ndarray, landmark: str, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted subsequence kernel of padded words with one landmark, over
-    common subsequences of ``order`` characters."""
-    t = [ord(c) for c in landmark]
-    n, m = len(words), len(t)
+def subsequence_kernel(words: np.ndarray, others: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """Gap-weighted subsequence kernel of padded words with one other string, or
+    each with its own, over common subsequences of ``order`` characters."""
+    n, m = len(words), others.shape[1]
     one = np.float32(decay)
-    prime = np.zeros((order, m + 1, n), np.float32)  # sums over subsequences, by length and landmark prefix
+    prime = np.zeros((order, m + 1, n), np.float32)  # sums over subsequences, by length and beginning of the other
     prime[0] = 1
     total = np.zeros(n, np.float32)
     for p in range(words.shape[1]):
         x = words[:, p]
         if not x.any():
             break
-        same = [(x == c).astype(np.float32) * (one * one) for c in t]
+        same = [((x == others[:, j]) & (x > 0)).astype(np.float32) * (one * one) for j in range(m)]
         for j in range(m):
             total += same[j] * prime[order - 1, j]
         for i in range(order - 1, 0, -1):
@@ -95,42 +91,46 @@ class Landmarks:
 
     def __init__(self, landmarks: list[str]):
         self.z = landmarks
-        width = max(map(len, landmarks))
-        codes = _codes(landmarks, width)
-        gram = np.array([subsequence_kernel(codes, z) for z in landmarks], np.float64)
-        self.own = np.diag(gram).copy()
-        scale = np.sqrt(self.own)
-        values, vectors = np.linalg.eigh(gram / np.outer(scale, scale))
+        codes = _codes(landmarks, max(map(len, landmarks)))
+        self.codes = [codes[j:j + 1, :len(z)] for j, z in enumerate(landmarks)]
+        self.own = subsequence_kernel(codes, codes)
+        values, vectors = np.linalg.eigh(self.kernel(codes))
         keep = values > 1e-6
         self.root = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
         self._forget()
 
     def _forget(self) -> None:
-        #: word: -1 if near no landmark, -2 if a single character, else its row
+        #: word: -1 if its kernel with all landmarks is zero, -2 if a single character, else its row
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.z)), np.float32)
         self.used = 0
 
+    def kernel(self, codes: np.ndarray) -> np.ndarray:
+        """The normalised kernel, raised to POWER, of padded words with each
+        landmark; where no subsequence of ORDER characters is common it is zero."""
+        out, own = np.zeros((len(codes), len(self.z))), np.zeros(len(codes))
+        bit = np.bitwise_or.reduce(np.where(codes > 0, np.uint64(1) << (codes % 61).astype(np.uint64), np.uint64(0)), axis=1)
+        for j, z in enumerate(self.z):
+            place = Counter(ord(c) % 61 for c in z)
+            need = np.uint64(sum(1 << b for b in place))
+            # ORDER common characters fall on so many bits at least
+            at = np.flatnonzero(np.bitwise_count(need & bit) >= -(-ORDER // max(place.values())))
+            at = at[common_in_order(codes[at], z) >= ORDER]
+            if len(at):
+                out[at, j] = subsequence_kernel(codes[at], self.codes[j])
+        some = np.flatnonzero(out.any(axis=1))
+        own[some] = subsequence_kernel(codes[some], codes[some])
+        out[some] = (out[some] / np.sqrt(own[some, None] * self.own)) ** POWER
+        return out
+
     def similar(self, words: list[str]) -> np.ndarray:
-        """Kernel with each landmark over the landmark's own, at most 1; 0 where
-        not all of the landmark's characters (of more than six: all but one) are
-        met in order."""
+        """The kernel of words of up to WINDOW characters."""
         out = np.zeros((len(words), len(self.z)), np.float32)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((0, 10), (10, 16), (16, WINDOW + 2)):
+        for low, high in ((ORDER - 1, 8), (8, 12), (12, 18), (18, WINDOW)):
             group = np.flatnonzero((size > low) & (size <= high))
-            if not len(group):
-                continue
-            codes = _codes([words[i] for i in group], high)
-            bit = np.bitwise_or.reduce(np.where(codes > 0, np.uint64(1) << (codes % 61).astype(np.uint64), np.uint64(0)), axis=1)
-            for j, z in enumerate(self.z):
-                need, miss = np.uint64(0), int(len(z) > 6)
-                for c in z:
-                    need |= np.uint64(1) << np.uint64(ord(c) % 61)
-                at = np.flatnonzero((np.bitwise_count(need & ~bit) <= miss) & (size[group] >= len(z) - miss))
-                at = at[common_in_order(codes[at], z) >= len(z) - miss]
-                if len(at):
-                    out[group[at], j] = np.minimum(subsequence_kernel(codes[at], z) / self.own[j], 1)
+            if len(group):
+                out[group] = self.kernel(_codes([words[i] for i in group], high))
         return out
 
     def learn(self, raw: list[str]) -> None:
@@ -142,11 +142,11 @@ class Landmarks:
             if len(w) <= 1:
                 self.known[r] = -2 if len(r) <= 2 and len(w) == 1 else -1
             elif len(w) <= WINDOW:
-                strings.append(f"^{w}$")
+                strings.append(w)
                 owner.append(r)
             else:
                 parts = range(0, len(w) - STRIDE, STRIDE)
-                strings += [("^" if i == 0 else "") + w[i:i + WINDOW] + ("$" if i + WINDOW >= len(w) else "") for i in parts]
+                strings += [w[i:i + WINDOW] for i in parts]
                 owner += [r] * len(parts)
         if not strings:
             return
@@ -165,9 +165,8 @@ class Landmarks:
                 self.rows[row] = 0
             self.rows[row] = np.maximum(self.rows[row], values[i])
 
-    def pooled(self, texts: list[str]) -> np.ndarray:
-        """Of each text: the largest kernel value with each landmark, mapped by
-        Nyström; the damped sum of high values; and how many words it has."""
+    def mapped(self, texts: list[str]) -> np.ndarray:
+        """The Nyström map of each text."""
         split = [t.lower().split() for t in texts]
         new = set().union(*split).difference(self.known)
         if new:
@@ -175,24 +174,21 @@ class Landmarks:
                 self._forget()
                 new = set().union(*split)
             self.learn(sorted(new))
-        m = len(self.z)
-        best, much, size = np.zeros((len(texts), m)), np.zeros((len(texts), m)), np.zeros(len(texts))
+        best = np.zeros((len(texts), len(self.z)))
         find = self.known.__getitem__
         for k, words in enumerate(split):
-            size[k] = len(words)
             at = np.fromiter(map(find, words), np.int64, len(words))
             rows = self.rows[at[at >= 0]]
             single = at == -2
-            if single.sum() >= 3:  # letters set apart
+            if single.sum() >= ORDER:  # letters set apart
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], single.view(np.int8), [0]))))
-                runs = ["".join(words[a:b]) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= 3]
-                strings = [f"^{w}$"[i:i + WINDOW] for w in map(plain, runs) for i in range(0, max(1, len(w) + 2 - STRIDE), STRIDE)]
+                runs = ["".join(words[a:b]) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= ORDER]
+                strings = [w[i:i + WINDOW] for w in map(plain, runs) for i in range(0, max(1, len(w) - STRIDE), STRIDE)]
                 if strings:
                     rows = np.concatenate([rows, self.similar(strings)])
             if len(rows):
                 best[k] = rows.max(axis=0)
-                much[k] = np.log1p((rows.astype(np.float64) ** 4).sum(axis=0))
-        return np.hstack([best @ self.root, much, np.log1p(size)[:, None], (much.sum(axis=1) / np.log1p(size + 1))[:, None], np.minimum(best.max(axis=1), 1)[:, None]])
+        return best @ self.root
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, clean_weight: float, limit: int = LANDMARKS) -> list[str]:
@@ -202,10 +198,10 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, clean_weight: float, l
     for k, (text, y) in enumerate(zip(texts, toxic.tolist())):
         found = set()
         for w in {plain(r) for r in text.lower().split()}:
-            if 3 <= len(w) <= WINDOW:
-                found.update(f"^{w[:n]}" for n in range(4, min(8, len(w)) + 1))
+            if ORDER <= len(w) <= WINDOW:
+                found.update(w[:n] for n in range(4, min(8, len(w)) + 1))
                 if len(w) <= 12:
-                    found.add(f"^{w}$")
+                    found.add(w)
         tally[y].update(found)
         if y:
             for f in found:
@@ -282,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
     landmarks = choose_landmarks(texts, y, clean_weight)
     if not landmarks:
         return None
-    x = Landmarks(landmarks).pooled(texts)
+    x = Landmarks(landmarks).mapped(texts)
     mean, dev = x.mean(axis=0), x.std(axis=0) + 1e-9
     x = (x - mean) / dev
     weight = np.where(y > 0, 1.0, clean_weight)
@@ -290,9 +286,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
     margin = np.zeros(len(y))
     for k in range(4):
         out = np.arange(len(y)) % 4 == k
-        w = fit_svm(x[~out], y[~out], weight[~out], 0.01)
+        w = fit_svm(x[~out], y[~out], weight[~out], COST)
         margin[out] = x[out] @ w[:-1] + w[-1]
-    return {"landmarks": landmarks, "mean": mean, "dev": dev, "w": fit_svm(x, y, weight, 0.01), "link": fit_link(margin, y, weight)}
+    return {"landmarks": landmarks, "mean": mean, "dev": dev, "w": fit_svm(x, y, weight, COST), "link": fit_link(margin, y, weight)}
 
 
 _BUILT: dict[tuple, Landmarks] = {}
@@ -317,7 +313,7 @@ def score(docs: DataFrame, model: dict | None, *, text: str = "text", out: str =
                 part = batch.slice(i, 1000)
                 if not part.num_rows:
                     continue
-                x = (marks.pooled(part.column(len(kept)).to_pylist()) - model["mean"]) / model["dev"]
+                x = (marks.mapped(part.column(len(kept)).to_pylist()) - model["mean"]) / model["dev"]
                 m = model["link"][0] * (x @ model["w"][:-1] + model["w"][-1]) + model["link"][1]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(m, -30, 30))))], [*kept, out])
 

@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from quorumlake.llm import image_copies, licenses, mips, mixing, piece_bpe, registry, shards, toxicity, url_filter, warc
+from quorumlake.llm import licenses, mips, mixing, piece_bpe, registry, shards, toxicity, url_filter, warc
 from quorumlake.session import scratch
 
 MODEL = registry.tokenizer_path()
@@ -142,23 +142,6 @@ def test_no_urls(spark):
     assert one["verdict"] == "allow" and one["rule"] is None
 
 
-# ---- images ------------------------------------------------------------------------------------
-
-
-def test_image_copies(spark):
-    rng = np.random.default_rng(3)
-    own = [image_copies.render(v) for v in rng.normal(size=(30, 8))]
-    rows = [(i, x) for i, x in enumerate(own)] + [(100 + i, image_copies.edited(own[i], 1 + i % 2)) for i in range(10)] + [(200, own[3]), (201, own[3])]
-    data = [(i, x.shape[1], x.shape[0], bytearray(x.tobytes())) for i, x in rows] + [(300, 5, 5, bytearray(25)), (301, 9, 9, bytearray(b"short")), (302, 72, 72, None), (303, 72, 72, bytearray(72 * 72)), (304, None, None, bytearray(b"z"))]
-    df = spark.createDataFrame(data, "image_id long, width int, height int, pixels binary").withColumn("node", F.lit(1))
-    got = {r["image_id"]: (r["class_id"], r["n_links"]) for r in image_copies.copy_classes(df).collect()}
-    assert len(got) == len(data)
-    for i, _ in rows:
-        assert got[i][0] == (i if i < 100 else 3 if i >= 200 else i - 100)
-    assert all(got[i] == (i, 0) for i in range(300, 305)) and got[1][1] == 1 and got[29][1] == 0
-    assert image_copies.copy_classes(df.limit(0)).count() == 0
-
-
 # ---- toxicity -------------------------------------------------------------------------------------
 
 
@@ -174,8 +157,16 @@ def test_subsequence_kernel_against_its_definition():
         return total
 
     words = ["idiot", "i.d.i.o.t", "tidiote", "abcdef", "id", "iiddiioott"]
-    fast = toxicity.subsequence_kernel(toxicity._codes(words, 12), "idiot")
-    assert np.allclose(fast, [slow(w, "idiot") for w in words], rtol=1e-4)
+    codes, idiot = toxicity._codes(words, 12), toxicity._codes(["idiot"], 5)
+    assert np.allclose(toxicity.subsequence_kernel(codes, idiot), [slow(w, "idiot") for w in words], rtol=1e-4)
+    assert np.allclose(toxicity.subsequence_kernel(codes, codes), [slow(w, w) for w in words], rtol=1e-4)
+    # the normalised kernel, and the map whose products it is among landmarks
+    marks = toxicity.Landmarks(["idiot", "moron", "scumbag", "tidiote"])
+    want = [[(slow(w, z) / (slow(w, w) * slow(z, z) or 1) ** 0.5) ** toxicity.POWER for z in marks.z] for w in words + marks.z]
+    assert np.allclose(marks.similar(words + marks.z), want, rtol=1e-4, atol=1e-7)
+    phi = marks.mapped(marks.z)
+    assert np.allclose(phi @ phi.T, want[len(words):], atol=1e-5)
+    assert (marks.mapped(["x", "", "abc xyz"]) == 0).all()
     assert toxicity.common_in_order(toxicity._codes(words, 12), "idiot").tolist() == [5, 5, 5, 1, 2, 5]
 
 
