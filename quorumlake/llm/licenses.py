@@ -9,7 +9,9 @@ only.
 
 Defined results: null and empty texts, and such as have only copyright lines,
 have the empty form, which is no licence.  Repeated rows stay.  Several names
-with one canonical form: the least name.
+with one canonical form: the least name.  Texts of any length are read whole, line
+by line; an empty table gives no rows; columns other than id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ BROADCAST_LICENCES = 20_000
 # Spellings that count as equal (from the matching guidelines of
 # public licence lists), as (found, put in its place), after lower-casing.
 SPELLINGS = [
-    ("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("honour", "honor"), ("programme", "program"),
-    ("whilst", "while"), ("wilful", "willful"), ("merchantability", "merchantability"), ("sub license", "sublicense"),
-    ("per cent", "percent"), ("copyright owner", "copyright holder"), ("http ", "https "),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("organisation", "organization"),
+    ("organisations", "organizations"), ("favour", "favor"), ("honour", "honor"), ("programme", "program"), ("programmes", "programs"), ("whilst", "while"), ("wilful", "willful"),
+    ("per cent", "percent"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("http", "https"),
 ]
 
 # Notices and short licence texts with their names.
@@ -80,10 +82,16 @@ def canonical(text: Column, notice: str = NOTICE) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?im)^[ \t]*({notice})[^\n]*$", "")
     t = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     t = F.regexp_replace(t, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ")
+    return F.trim(_respelled(F.concat(F.lit(" "), t, F.lit(" ")), lambda x, a, b: F.replace(x, F.lit(a), F.lit(b))))
+
+
+def _respelled(t, replaced):
+    """Equivalent spellings of whole words, each twice: words that follow each other
+    share a blank."""
     for found, put in SPELLINGS:
-        if found != put:
-            t = F.replace(t, F.lit(found), F.lit(put))
-    return F.trim(t)
+        for _ in range(2):
+            t = replaced(t, f" {found} ", f" {put} ")
+    return t
 
 
 def _blocks(text: Column) -> Column:
@@ -141,10 +149,7 @@ def _sql_form(text: str) -> str:
     t = f"regexp_replace(coalesce({text}, ''), '(?im)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
     t = f"translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     t = f"regexp_replace({t}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')"
-    for found, put in SPELLINGS:
-        if found != put:
-            t = f"replace({t}, '{found}', '{put}')"
-    return f"trim({t})"
+    return f"trim({_respelled(f"' ' || {t} || ' '", lambda x, a, b: f"replace({x}, '{a}', '{b}')")})"
 
 
 SQL = f"""

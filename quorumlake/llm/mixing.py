@@ -8,7 +8,9 @@ shuffled globally by a seeded hash.
 
 Defined results: a null source is a source of its own; a source without weight
 has rate 0 and goes; repeated rows (same id) are drawn alike; an empty table
-gives no rows; null ids are drawn as the text ''.
+gives no rows; null ids are drawn as the text ''; texts of any length travel whole.
+The input's columns keep their names and values; an added column whose name the
+input has takes underscores behind it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.session import shuffle_partitions
+from quorumlake.session import shuffle_partitions, written
 
 #: Source tables of up to so many rows are broadcast.
 BROADCAST_SOURCES = 50_000
@@ -60,28 +62,42 @@ def source_rates(docs: DataFrame, *, source: str = "source", weights: dict[str,
     return rates.withColumn("steps", poisson_steps(F.col("rate")))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it as long as it is taken (in any case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def mix_sources(docs: DataFrame, *, source: str = "source", id_col: str = "doc_id", seed: int = 0, weights: dict[str, float] | None = None,
-                exponent: float = 0.7, target_rows: int | None = None) -> DataFrame:
+                exponent: float = 0.7, target_rows: int | None = None, stable: bool = False) -> DataFrame:
     """The columns of ``docs``, copies, replica (from 0) and shuffle_key; rows in
-    a global random order (by partition, then by key)."""
+    a global random order (by partition, then by key).
+
+    stable: whether ``docs`` is a plain scan of files, so that each row has the
+    same place in every pass; any other plan is written as a table first.
+    """
+    if not stable:
+        docs = written(docs, "records")
     rates = source_rates(docs, source=source, weights=weights, exponent=exponent, target_rows=target_rows)
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    u = uniform(seed, F.col(f"`{id_col}`"))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("copies", "replica", "shuffle_key")]
-    drawn = (docs.join(rates.select("__source", "steps"), F.col(f"`{source}`").eqNullSafe(F.col("__source")), "left")
-             .select(*kept, F.size(F.filter("steps", lambda s: s <= u)).alias("copies")).where("copies > 0"))
+    rates = rates.select(F.col("__source").alias("of"), F.col("steps").alias("steps"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(f"`{source}`").alias("from"), F.col(f"`{id_col}`").alias("id"))
+    drawn = (rows.join(rates, F.col("from").eqNullSafe(F.col("of")), "left")
+             .select("r", "id", F.size(F.filter("steps", lambda s: s <= uniform(seed, F.col("id")))).alias("copies")).where("copies > 0"))
     each = drawn.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("replica"))
-    key = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), "replica")
     # equal rows (equal key) would meet in one task: a place in the input spreads them
-    each = each.withColumn("shuffle_key", key).withColumn("__spread", F.monotonically_increasing_id())
-    return (each.repartition(shuffle_partitions(docs.sparkSession), "shuffle_key", "__spread")
-            .sortWithinPartitions("shuffle_key").drop("__spread"))
+    each = each.withColumn("key", F.xxhash64(F.lit(seed), "id", "replica")).withColumn("place", F.monotonically_increasing_id())
+    dealt = each.repartition(shuffle_partitions(docs.sparkSession), "key", "place").sortWithinPartitions("key")
+    added = {"copies": "copies", "replica": "replica", "shuffle_key": "key"}
+    return dealt.select(*[F.col("r").getField(c).alias(c) for c in docs.columns], *[F.col(v).alias(free_name(k, docs.columns)) for k, v in added.items()])
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_sources(docs, seed=3).select("doc_id", "source", "text", "copies", "replica")
+    return mix_sources(docs, seed=3, stable=True).select("doc_id", "source", "text", "copies", "replica")
 
 
 SQL = """

@@ -23,7 +23,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+    return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules, stable=True)
 
 
 OP4_SQL = """

@@ -6,12 +6,14 @@ place in the input; pass 2 shuffles each bucket (Fisher-Yates, Spark's own
 records; shard s is its s-th equal slice, so shards differ by one row at most
 (the law ``rows``).  DataFrame functions only.
 
-The hash is of the place and not of the key, so a key, source or text that a
+A bucket is put in the order of places before it is shuffled, so the seed alone
+fixes the result.  The hash is of the place and not of the key, so a key, source or text that a
 third of the rows share is spread like any other.  A bucket is the only thing
-gathered in one task, and its size is a parameter.
+gathered in one task, and its size is a parameter; beyond BUCKETS buckets they grow
+with the data (500 MB each at 100 TB) instead of their number.
 
 Defined results: null text has no bytes (size is the overhead alone, crc32 that
-of the empty text); repeated rows are records of their own; an empty table
+of the empty text); texts of any length are whole records; repeated rows are records of their own; an empty table
 gives no rows; extra columns are written along, whatever their names.
 """
 
@@ -27,6 +29,8 @@ from quorumlake.session import scratch, shuffle_partitions, written
 
 #: Bytes of records that a bucket holds on average.
 BUCKET_BYTES = 16 << 20
+#: Buckets at most (reducers of the scatter, and rows that one task sums for the offsets).
+BUCKETS = 200_000
 
 
 def write_shards(docs: DataFrame, path: str, *, shards: int, seed: int = 0, text: str = "text", overhead: int = 16,
@@ -44,12 +48,12 @@ def write_shards(docs: DataFrame, path: str, *, shards: int, seed: int = 0, text
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), size.alias("size"),
                        F.monotonically_increasing_id().alias("place"))
     total = docs.select(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    buckets = max(math.ceil((total["b"] or 0) / bucket_bytes), shuffle_partitions(spark))
+    buckets = max(min(math.ceil((total["b"] or 0) / bucket_bytes), BUCKETS), shuffle_partitions(spark))
     scattered = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(buckets)).cast("int"))
     # offsets: one row a bucket
     before = F.sum("rows").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).select("bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    packed = (scattered.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+    packed = (scattered.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "place").groupBy("bucket")
               .agg(F.collect_list(F.struct("record", "size")).alias("all")))
     at = F.col("before") + F.col("pos")
     shard = F.expr(f"(before + pos) * {shards} div {max(1, total['n'])}")

@@ -7,11 +7,19 @@ Archives are written by Spark's text sink and read by its ``binaryFile`` source,
 so they may lie in any store that Spark reaches; an archive is one task's output
 and the unit of parsing, which streams through it.
 
+Every file below the folder is an archive, whatever its name (names that begin with
+a dot or an underscore are no archives to Spark).  A record whose header line or
+declared length is wrong is kept as a row of the kind ``error`` with its header
+line and the reason, and reading goes on at the next line that is a header.
+
 Defined results: a null payload is empty; a null url is ``urn:none``; white
 space and other than printable ASCII in urls is percent-encoded; null keys are
 kept; repeated rows are records of their own (of equal ones the last in the
 archives is the response); an empty table gives no records; payloads may hold
-any bytes, line breaks of archives too.
+any bytes, line breaks and header lines of archives too, and are as long as an
+archive may be (2 GB, Spark's bound for a value); a date of fewer than 14 digits
+has its missing months and days as 01, the rest as 00; columns of the input other
+than key, url and payload are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -101,25 +110,68 @@ def _exactly(f, n: int) -> bytes:
     return got
 
 
-def arc_records(f) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, content) of each record of one ARC file; the version
-    block at the start says which fields a header line has."""
-    fields = None
+#: The end of a header line, by version: from the address on, or from the date on.
+_TAIL = {1: re.compile(rb" [0-9A-Fa-f.:]+ \d{4,14} \S+ (\d+)$"), 2: re.compile(rb" [0-9A-Fa-f.:]+ \d{4,14} \S+ \S+ \S+ \S+ \S+ \S+ (\d+)$")}
+
+
+def _header(line: bytes, version: int | None) -> re.Match | None:
+    """The declared length of a header line; before a version block, of any version."""
+    return next((m for v in ((version,) if version else (1, 2)) if (m := _TAIL[v].search(line))), None)
+
+
+class _Source:
+    """A stream whose last bytes can be put back."""
+
+    def __init__(self, f):
+        self.f, self.held = f, io.BytesIO()
+
+    def read(self, n: int) -> bytes:
+        got = self.held.read(n)
+        return got + self.f.read(n - len(got)) if len(got) < n else got
+
+    def readline(self) -> bytes:
+        got = self.held.readline()
+        return got if got.endswith(b"\n") else got + self.f.readline()
+
+    def back(self, data: bytes) -> None:
+        self.held = io.BytesIO(data + self.held.read())
+
+
+def arc_records(f) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(header fields, content, error) of each record of one ARC file; the version
+    block at the start says which fields a header line has.  A record that cannot
+    be read has its line as URL, its content up to the next header, and the reason."""
+    version, f = None, _Source(f)
     while line := f.readline():
-        line = line.rstrip(b"\r\n")
-        if not line:
+        head, reason, content = line.rstrip(b"\r\n"), None, b""
+        if not head.strip():
             continue
-        text = line.decode("latin-1")
-        if text.startswith("filedesc:"):
-            content = _exactly(f, int(text.rpartition(" ")[2]))
-            version = int(content.split(b" ", 1)[0])
-            fields = ARC_FIELDS[version]
-        elif fields is None:
-            raise ValueError("an ARC file begins with its version block")
+        found = _header(head, None if head.startswith(b"filedesc:") else version)
+        if found is None:
+            reason = "no header line"
         else:
-            content = _exactly(f, int(text.rpartition(" ")[2]))
-        # blanks may stand in the url, which comes first
-        yield dict(zip(fields, text.rsplit(" ", len(fields) - 1))), content
+            content = f.read(int(found[1]))
+            after = f.readline()
+            if len(content) < int(found[1]):
+                reason = f"archive ends {int(found[1]) - len(content)} bytes before the declared length"
+            elif head.startswith(b"filedesc:"):
+                first = content.split(b" ", 1)[0]
+                version = int(first) if first in (b"1", b"2") else None
+                reason = None if version else "unknown version"
+            elif version is None:
+                reason = "an ARC file begins with its version block"
+            elif after.strip() and not (content.endswith(b"\n") and _header(after.rstrip(b"\r\n"), version)):
+                reason = "no record begins after the declared length"
+            f.back(content + after if reason else after)
+        if reason is None:
+            # blanks may stand in the url, which comes first
+            yield dict(zip(ARC_FIELDS[version], head.decode("latin-1").rsplit(" ", len(ARC_FIELDS[version]) - 1))), content, None
+            continue
+        rest = []  # what lies before the next header
+        while (line := f.readline()) and not _header(line.rstrip(b"\r\n"), version):
+            rest.append(line)
+        f.back(line)
+        yield {"URL": head.decode("latin-1")}, b"".join(rest), reason
 
 
 def warc_records(f) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -144,7 +196,7 @@ def http_parts(block: bytes) -> tuple[bytes, dict[bytes, bytes], bytes]:
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], weigh: int) -> Iterator[pa.RecordBatch]:
@@ -160,26 +212,32 @@ def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
 
 
-PARSED = "place string, key string, kind string, uri string, stamp string, ip string, mime string, digest string, payload_bytes long, head binary, payload binary"
+def _stamp(date: str) -> str:
+    """A WARC date from up to 14 digits."""
+    d = date + "00000101000000"[len(date):]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+PARSED = "place string, key string, kind string, uri string, stamp string, ip string, mime string, digest string, payload_bytes long, reason string, head binary, payload binary"
 
 
 def parse_arc(spark: SparkSession, path: str, *, bodies: bool = True) -> DataFrame:
     """Records of the ARC files below ``path``: place (archive and number of the
-    record), key, kind (WARC type), uri, stamp, ip, mime, digest (SHA-1 of the
-    payload, hex), payload_bytes, head (of HTTP) and payload."""
+    record), key, kind (WARC type, or error), uri, stamp, ip, mime, digest (SHA-1 of
+    the payload, hex), payload_bytes, reason (of an error), head (of HTTP) and payload."""
     names = [x.split()[0] for x in PARSED.split(", ")]
-    types = [pa.string()] * 8 + [pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.string()] * 8 + [pa.int64(), pa.string(), pa.binary(), pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for p, content in zip(batch.column(0), batch.column(1)):
-                name = p.as_py().rpartition("/")[2]
-                for n, (h, block) in enumerate(arc_records(_stream(content.as_buffer()))):
-                    url, d = h["URL"], h["Archive-date"]
-                    stamp = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    head, fields, payload = b"", {}, block
-                    kind, mime = "resource", h["Content-type"]
-                    if url.startswith("filedesc:"):
+                name = p.as_py()
+                for n, (h, block, reason) in enumerate(arc_records(_stream(content.as_buffer()))):
+                    url, head, fields, payload = h["URL"], b"", {}, block
+                    kind, mime = "resource", h.get("Content-type")
+                    if reason:
+                        kind = "error"
+                    elif url.startswith("filedesc:"):
                         kind, mime = "warcinfo", "application/warc-fields"
                         payload = f"software: quorumlake\r\nformat: WARC File Format 1.1\r\ndescription: converted from {url[11:]}".encode()
                     elif block.startswith(b"HTTP/"):
@@ -188,10 +246,10 @@ def parse_arc(spark: SparkSession, path: str, *, bodies: bool = True) -> DataFra
                     elif url.startswith("dns:"):
                         mime = "text/dns"
                     k = fields.get(KEY_FIELD.lower())
-                    yield (f"{name}#{n:012d}", k.decode() if k else None, kind, url, stamp, h["IP-address"], mime,
-                           hashlib.sha1(payload).hexdigest(), len(payload), head if bodies else b"", payload if bodies else b"")
+                    yield (f"{name}#{n:012d}", k.decode() if k else None, kind, url, None if reason else _stamp(h["Archive-date"]), h.get("IP-address"), mime,
+                           hashlib.sha1(payload).hexdigest(), len(payload), reason, head if bodies else b"", payload if bodies else b"")
 
-    return _archives(spark, path).mapInArrow(lambda b: _batches(rows(b), names, types, 10), PARSED)
+    return _archives(spark, path).mapInArrow(lambda b: _batches(rows(b), names, types, 11), PARSED)
 
 
 def find_revisits(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -211,26 +269,29 @@ def _record_id(place: Column) -> Column:
                     F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def convert(spark: SparkSession, arc: str, warc: str, *, least: int = REVISIT_BYTES) -> None:
-    """Convert the ARC files below ``arc`` to WARC files below ``warc``."""
-    revisits = written(find_revisits(written(parse_arc(spark, arc, bodies=False).drop("head", "payload"), "arc-index"), least), "revisits")
+def convert(spark: SparkSession, arc: str, warc: str, *, least: int = REVISIT_BYTES) -> DataFrame:
+    """Convert the ARC files below ``arc`` to WARC files below ``warc``, and return
+    (place, uri, reason) of the records that cannot be read."""
+    index = written(parse_arc(spark, arc, bodies=False).drop("head", "payload"), "arc-index")
+    revisits = written(find_revisits(index, least), "revisits")
     if revisits.count() <= BROADCAST_REVISITS:
         revisits = F.broadcast(revisits)
-    rows = parse_arc(spark, arc).join(revisits, "place", "left")
+    rows = parse_arc(spark, arc).where("kind <> 'error'").join(revisits, "place", "left")
     again = F.col("refers_place").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     some = lambda test, value: F.when(test, value).otherwise(F.lit(""))
     info = F.col("kind") == "warcinfo"
-    size = F.octet_length("head") + F.when(again, 0).otherwise(F.octet_length("payload"))
+    block = F.concat("head", F.when(again, F.lit(b"")).otherwise(F.col("payload")))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(again, "revisit").otherwise(F.col("kind"))), line("WARC-Record-ID", _record_id(F.col("place"))),
         line("WARC-Date", F.col("stamp")), some(~info, line("WARC-Target-URI", F.col("uri"))), some(~info, line("WARC-IP-Address", F.col("ip"))),
         some(~info, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))),
+        line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(block))),
         some(again, F.concat(line("WARC-Refers-To", _record_id(F.col("refers_place"))), line(REFERS_FIELD, F.coalesce("refers_key", F.lit(""))),
                              F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))),
-        line("Content-Type", F.col("mime")), line("Content-Length", size.cast("string")), F.lit("\r\n"))
-    record = F.concat(head.cast("binary"), F.col("head"), F.when(again, F.lit(b"")).otherwise(F.col("payload")))
-    _write_text(rows.select(record.alias("value")), warc, "\r\n\r\n")
+        line("Content-Type", F.col("mime")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
+    _write_text(rows.select(F.concat(head.cast("binary"), block).alias("value")), warc, "\r\n\r\n")
+    return index.where("kind = 'error'").select("place", "uri", "reason")
 
 
 READ = "key string, record_id string, record_type string, uri string, stamp string, refers_key string, digest string, payload_bytes long, payload binary"

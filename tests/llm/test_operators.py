@@ -75,9 +75,32 @@ def test_both_arc_versions(spark):
         more = "" if version == 1 else " 200 - - 0 f"
         raw = f"filedesc://f 0.0.0.0 19990101000000 text/plain{more} {len(body)}\n".encode() + body + f"\nhttp://a/b c 1.2.3.4 19990102030405 text/html{more} 4\n\nx\ny\n".encode()
         head, record = warc.arc_records(io.BytesIO(raw))
+        assert head[2] is None and record[2] is None
         assert record[0]["URL"] == "http://a/b c" and record[0]["Archive-date"] == "19990102030405" and record[1] == b"\nx\ny"[:4]
-    with pytest.raises(ValueError):
-        list(warc.arc_records(io.BytesIO(raw[:-4])))
+    cut = list(warc.arc_records(io.BytesIO(raw[:-4])))
+    assert [x[2] is None for x in cut] == [True, False] and cut[1][0] == {"URL": f"http://a/b c 1.2.3.4 19990102030405 text/html{more} 4"}
+
+
+@pytest.mark.parametrize("wrong", [3, 12, 60, 4000])
+def test_records_with_a_wrong_length_are_kept_as_errors(spark, tmp_path, wrong):
+    """Names of any kind, folders below, and what follows a bad record is read."""
+    def record(name, payload, size=None):
+        return f"http://a/{name} 1.2.3.4 19990102 text/plain {len(payload) if size is None else size}\n".encode() + payload + b"\n"
+
+    body = b"1 0 x\nfields\n\n"
+    start = b"filedesc://f 0.0.0.0 199901010000 text/plain %d\n" % len(body) + body + b"\n"
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "IAH-1999.arc").write_bytes(start + record("a", b"one\ntwo\n") + record("b", b"12345678", wrong) + record("c", b"see http://x 1.1.1.1 y") + record("d", b"z" * 50))
+    (tmp_path / "deep" / "IAH-1999.arc").write_bytes(start + b"no header at all\n" + record("e", b""))
+    (tmp_path / "deep" / "empty.arc").write_bytes(b"")
+    rows = {r["uri"].rpartition("/")[2]: r for r in warc.parse_arc(spark, str(tmp_path)).where("kind <> 'warcinfo'").collect()}
+    good = {k: r for k, r in rows.items() if r["kind"] == "resource"}
+    assert set(good) == {"a", "c", "d", "e"} and bytes(good["a"]["payload"]) == b"one\ntwo\n" and bytes(good["d"]["payload"]) == b"z" * 50 and bytes(good["c"]["payload"]) == b"see http://x 1.1.1.1 y"
+    assert good["a"]["stamp"] == "1999-01-02T00:00:00Z"
+    errors = warc.convert(spark, str(tmp_path), out := scratch(spark, "warc")).collect()
+    assert len(errors) == 2 and all(r["reason"] for r in errors)
+    back = warc.read_warc(spark, out).collect()
+    assert len(back) == 4 and len({r["record_id"] for r in back}) == 4
 
 
 def test_empty_archives(spark):
@@ -87,6 +110,21 @@ def test_empty_archives(spark):
     assert warc.read_warc(spark, out).count() == 0
 
 
+def test_block_digests(spark):
+    arc, out = scratch(spark, "arc"), scratch(spark, "warc")
+    warc.write_arc(spark.createDataFrame([(1, "http://a/", "x" * 2000), (2, "http://b/", "x" * 2000), (3, None, None)], "page_id long, url string, html string"), arc, key="page_id", url="url", payload="html")
+    assert warc.convert(spark, arc, out).count() == 0
+    import gzip
+    import io
+
+    seen = 0
+    for r in spark.read.format("binaryFile").load(out).collect():
+        for head, block in warc.warc_records(io.BytesIO(gzip.decompress(r["content"]))):
+            assert head["warc-block-digest"] == "sha1:" + hashlib.sha1(block).hexdigest()
+            seen += head["warc-type"] in ("response", "revisit")
+    assert seen == 3
+
+
 # ---- mixing ----------------------------------------------------------------------------
 
 
@@ -108,6 +146,25 @@ def test_mixing_edges(spark):
     assert mixing.mix_sources(docs(spark, rows), weights={"a": 0.0}).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["steps", "copies", "replica", "shuffle_key", "__source", "key", "place", "rows", "rate", "r", "from", "id", "of", "weight"]
+    df = docs(spark, [(i, "t", "ab"[i % 2]) for i in range(50)]).drop("key")
+    for n in names:
+        df = df.withColumn(n, F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")))
+    out = mixing.mix_sources(df, seed=2)
+    assert out.columns == df.columns + ["copies_", "replica_", "shuffle_key_"]
+    rows = out.collect()
+    assert rows and all(r[n] == f"{n} of {r['doc_id']}" for r in rows for n in names)
+    one = mixing.mix_sources(df.withColumnRenamed("source", "steps_").drop("steps"), source="steps_", seed=2)
+    assert one.count() == len(rows)
+
+
+def test_a_third_of_equal_rows_is_spread(spark):
+    df = docs(spark, [(7, "same", "hot")] * 600 + [(i, f"t{i}", "cold") for i in range(1200)])
+    out = mixing.mix_sources(df, weights={"hot": 1, "cold": 2}, seed=1).withColumn("p", F.spark_partition_id()).where("doc_id = 7").groupBy("p").count().collect()
+    assert len(out) == 0 or len(out) == 4 and max(r["count"] for r in out) < 2 * min(r["count"] for r in out)
+
+
 def test_poisson_counts_at_large_rates(spark):
     steps = spark.range(1).select(mixing.poisson_steps(F.lit(900.0)).alias("s")).first()["s"]
     assert steps == sorted(steps) and abs(steps[-1] - 1) < 1e-9 and abs(sum(1 - s for s in steps) - 900) < 1e-3
