@@ -13,7 +13,6 @@ and end ids; rows are kept as they are (repeated rows too); no length bound.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ SPACE = "▁"
 NONE = np.int32(2**30)
 #: A worker's parts are forgotten beyond so many.
 CACHE_PARTS = 300_000
-#: Parts of more symbols are merged with a heap: rounds there would be as many as symbols.
+#: Words of more symbols are merged one by one, all pairs of the least rank in a round.
 LONG = 48
 #: Characters of text that are worked on at once.
 BLOCK_CHARS = 3_000_000
@@ -74,7 +73,6 @@ class PieceCodec:
         self.keys = np.array(keys, np.int64)[order]
         self.merged = np.array(merged, np.int32)[order]
         self.rank = np.array(rank, np.int32)[order]
-        self.pair = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.merged.tolist())))
         self.beside = np.array(sorted(beside), np.int64)
         surface = [bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(SPACE, " ").encode() if k == "normal" else " ⁇ ".encode() if k == "unknown" else b""
                    for p, k in zip(pieces, kinds)]
@@ -167,31 +165,29 @@ class PieceCodec:
         source[words] = np.cumsum(size) - size
         return flat[_spans(source, out_len)], out_len
 
-    def _merge_long(self, sym: list[int]) -> list[int]:
-        """The same merges of one long word, from a heap of pairs."""
-        n = len(sym)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = []
-
-        def push(i: int) -> None:
-            j = right[i]
-            if j >= 0 and sym[i] >= 0 and sym[j] >= 0 and (p := self.pair.get(sym[i] * self.n + sym[j])):
-                heapq.heappush(heap, (p[0], i, sym[i], j, sym[j], p[1]))
-
-        for i in range(n - 1):
-            push(i)
-        gone = [False] * n
-        while heap:
-            _, i, a, j, b, to = heapq.heappop(heap)
-            if gone[i] or gone[j] or sym[i] != a or sym[j] != b or right[i] != j:
-                continue
-            sym[i], gone[j], right[i] = to, True, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            push(i)
-            if left[i] >= 0:
-                push(left[i])
-        return [s for s, g in zip(sym, gone) if not g]
+    def _merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """The same merges of one long word.  A round merges every pair of the least
+        rank, leftmost first where they overlap; only if a merged symbol would make
+        a pair of a lesser rank with a neighbour, the leftmost pair alone."""
+        rank, to = self._lookup(sym[:-1], sym[1:])
+        while len(rank) and (least := rank.min()) < NONE:
+            at = np.flatnonzero(rank == least)
+            run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))  # pairs that overlap: every other one
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            new, before, after = to[at], at[at > 0], at[at + 2 < len(sym)]
+            beside = [self._lookup(sym[before - 1], to[before])[0], self._lookup(to[after], sym[after + 2])[0], self._lookup(new, new)[0]]
+            if min((x.min(initial=NONE) for x in beside)) <= least:
+                at = at[:1]
+            sym[at] = to[at]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            sym = sym[keep]
+            at -= np.arange(len(at))
+            # the pair of a merged symbol and its right neighbour stands where the merged pair stood
+            rank, to = rank[keep[1:]], to[keep[1:]]
+            for a in (at[at < len(sym) - 1], at[at > 0] - 1):
+                rank[a], to[a] = self._lookup(sym[a], sym[a + 1])
+        return sym
 
     def _learn(self, new: list[str]) -> None:
         """Encode parts that were not met before."""
@@ -223,7 +219,7 @@ class PieceCodec:
                     pieces.append(flat[at[k]:at[k] + lens[k]])
                     k += 1
                 else:
-                    pieces.append(np.array(self._merge_long(ids[b:b + s].tolist()), np.int32))
+                    pieces.append(self._merge_long(ids[b:b + s].copy()))
                     sizes[w] = len(pieces[-1])
             flat, size = np.concatenate(pieces), sizes
         else:

@@ -41,6 +41,17 @@ def test_pieces_equal_the_library(spark):
         assert row["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
+def test_long_words_equal_the_library():
+    r = random.Random(3)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    codec = piece_bpe.PieceCodec(piece_bpe.load_vocabulary(MODEL))
+    alphabets = ["ab", "x", "the", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz0123456789", "日本語中文字", "éèüß", "ACGT", "=-_*", "aeio▁ "]
+    texts = ["".join(r.choices(a, k=n)) for a in alphabets for n in (49, 60, 200, 1500, 6000)] + ["ab" * 3000, "aab" * 2000, "xxxxxxxxxx" * 900, "international" * 400]
+    for t in texts:
+        ids, _ = codec.encode([t])
+        assert ids.tolist() == lib.encode(t, add_bos=True, add_eos=True)
+
+
 def test_pieces_of_an_empty_table(spark):
     assert piece_bpe.piece_round_trip(docs(spark, []), MODEL).count() == 0
 
