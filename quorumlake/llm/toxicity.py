@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlake.llm.mixing import free_name
+
 #: Characters of a common subsequence, weight of each step that it spans, and power of the normalised kernel.
 ORDER, DECAY, POWER = 3, 0.7, 8
 #: Landmarks, and cost of a margin's loss.
@@ -263,14 +265,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
           rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT_BYTES) -> dict | None:
     """Fit on at most ``rows`` labelled texts of each class (those of the least
     MD5 of the id, none of the held-out fold, texts of up to ``text_bytes``)."""
-    known = labels.groupBy(F.col(id_col).alias("__id")).agg(F.max(label).alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull() & (fold(F.col("__id")) != 0))
+    docs = docs.select(F.col(f"`{id_col}`").alias("__own"), F.col(f"`{text}`").alias("__text"))
+    known = labels.groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.max(label).alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull() & (fold(F.col("__id")) != 0))
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     if not counts.get(1) or not counts.get(0):
         return None
     picked = [known.where(f"__y = {y}").orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(rows) for y in (1, 0)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most twice ``rows`` ids
-    sample = (docs.join(picked, F.col(f"`{id_col}`") == F.col("__id")).where(F.octet_length(F.col(f"`{text}`")) <= text_bytes)
-              .groupBy("__id").agg(F.first("__y").alias("y"), F.min(F.col(f"`{text}`")).alias("t")).toPandas().sort_values("__id"))
+    sample = (docs.join(picked, F.col("__own") == F.col("__id")).where(F.octet_length("__text") <= text_bytes)
+              .groupBy("__id").agg(F.first("__y").alias("y"), F.min("__text").alias("t")).toPandas().sort_values("__id"))
     y, texts = sample["y"].to_numpy().astype(int), sample["t"].tolist()
     if y.min(initial=1) or not y.max(initial=0):
         return None
@@ -299,8 +302,8 @@ def score(docs: DataFrame, model: dict | None, *, text: str = "text", out: str =
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
     kept = [c for c in docs.columns if c != out]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` double"])
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(free_name("text", kept)))
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` double"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = tuple(model["landmarks"])

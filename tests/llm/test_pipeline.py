@@ -50,9 +50,24 @@ def test_repeated_and_odd_rows(spark, docs, sf):
     df = spark.createDataFrame(rows, docs.schema)
     kept = sorted((r["doc_id"] or 0) for r in P.deduplicate(spark, df, sf).collect())
     assert kept == [0, 1, 3, 4]
-    for _, stage in P.STAGES:
-        assert stage(spark, df.limit(0), sf).count() == 0
-        assert stage(spark, df, sf).count() >= 0
+    kept = {name: stage(spark, df, sf) for name, stage in P.STAGES}
+    assert kept["toxicity"].count() == 6 and kept["tokenize"].count() == 6
+    assert {(r["doc_id"], r["text"]) for r in kept["mix sources"].collect()} <= {(r[0], r[1]) for r in rows}
+    assert all(stage(spark, df.limit(0), sf).count() == 0 for _, stage in P.STAGES)
+
+
+def test_columns_of_clashing_names_travel_along(spark, docs, sf):
+    """Every stage keeps them as they are, and the rows it keeps without them."""
+    names = ["score", "__score", "id", "__id", "r", "t", "copies", "replica", "shuffle_key", "steps", "place", "key", "n_tokens", "ids", "__text", "n_shingles", "component_id", "set_id", "c0", "count"]
+    long = [(100, "word " * 30_000, "en", "s", 150_000), (101, None, None, None, None)]
+    some = docs.where("doc_id < 60 and n_chars < 3000").unionByName(spark.createDataFrame(long, docs.schema)).withColumn("n_chars", F.lit(1).cast("long"))
+    wide = some.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in P.STAGES:
+        out, plain = stage(spark, wide, sf), stage(spark, some, sf)
+        rows = out.collect()
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in plain.collect())
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+        assert out.columns == wide.columns if name != "tokenize" else {"n_tokens_", "ids_", "ids_sha256"} <= set(out.columns)
 
 
 def test_mixture_and_tokens(spark, docs, sf):
