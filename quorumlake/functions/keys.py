@@ -14,8 +14,10 @@ FLAVOURED = ("ćěęėǫȯųńŕśťďĺľůåăąõ", "čeeeoounrstdlluaaao")
 # Letters with diacritics and their ASCII letters.
 ACCENTED = ("čćçšśşžźżđďńňľĺłřŕťáàâāǎåéèêēěęíìîīóòôōȯǫúùûūůųýỳŷȳ",
             "cccssszzzddnnlllrrtaaaaaaeeeeeeiiiioooooouuuuuuyyyy")
+# Letters that consonant keys drop.
 VOWELS = "aeiouyj'ьъ"
 
+
 def to_standard(s: Column) -> Column:
     """Diacritic fold to the standard alphabet: one letter for one by
     translation, one for two by replacement."""
@@ -31,8 +33,8 @@ def consonant_key(s: Column) -> Column:
     """Skeleton with h→g and w→v, equal neighbouring consonants made one, then
     vowels dropped; in this order, so that a vowel between equals keeps both."""
     s = F.translate(ascii_skeleton(s), "hw", "gv")
-    s = F.regexp_replace(s, r"([^aeiouyj'ьъ])\1+", "$1")
-    return F.regexp_replace(s, r"[aeiouyj'ьъ]", "")
+    s = F.regexp_replace(s, rf"([^{VOWELS}])\1+", "$1")
+    return F.regexp_replace(s, f"[{VOWELS}]", "")
 
 
 def shares_consonant_root(a: Column, b: Column) -> Column:
@@ -125,10 +127,10 @@ def first_of(text: Column, rules: list[tuple[str, str]], default: str) -> Column
 
 
 def hygiene(s: Column, limit: int) -> Column:
-    """Percent-decoding (texts with invalid escapes stay), homoglyph fold, and
-    a cut to so many characters."""
-    plus = F.replace(s, F.lit("+"), F.lit("%2B"))
-    s = F.coalesce(F.try_url_decode(plus), s)
+    """Percent-decoding (invalid escapes stay as they are, bytes that form no
+    character become U+FFFD), homoglyph fold, and a cut to so many characters."""
+    kept = F.regexp_replace(F.replace(s, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    s = F.coalesce(F.try_url_decode(kept), s)
     return F.left(F.translate(s, "’‘“”–— ", "''\"\"-- "), F.lit(limit))
 
 

@@ -34,8 +34,9 @@ def resolve_headwords(queries: DataFrame, words: DataFrame, word: str, fold: Col
 
 
 def chase_parents(df: DataFrame, key: str, parent: str, found: Column, hops: int = 4) -> DataFrame:
-    """(key, end, hops): follow parents until a row is found, at most ``hops`` times; null end: unresolved."""
-    look = df.select(F.col(key).alias("__k"), F.col(parent).alias("__p"), found.alias("__f"))
+    """(key, end, hops): follow parents until a row is found, at most ``hops`` times; null end: unresolved.
+    Of a repeated key the row with the least parent is followed."""
+    look = df.groupBy(F.col(key).alias("__k")).agg(F.min(F.struct(F.col(parent).alias("p"), found.alias("f"))).alias("x")).select("__k", F.col("x.p").alias("__p"), F.col("x.f").alias("__f"))
     cur = df.select(key, F.col(key).alias("at"), F.col(parent).alias("next"), found.alias("done"), F.lit(0).alias("hops"))
     for _ in range(hops):
         step = cur.join(look, (F.col("next") == F.col("__k")) & ~F.col("done"), "left")
@@ -45,18 +46,51 @@ def chase_parents(df: DataFrame, key: str, parent: str, found: Column, hops: int
     return cur.select(key, F.when(F.col("done"), F.col("at")).alias("end"), F.when(F.col("done"), F.col("hops")).alias("hops"))
 
 
+#: Columns that tell rows of the two sides apart.
+LEFT, RIGHT = ("form", "pos", "toks"), ("rform", "rpos", "rtoks")
+
+
+def met_kinds(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(form, pos, toks, lid, rform, rpos, rtoks, rid) of kinds of rows that share a
+    token and are of one class: rows equal in these columns are one kind, with its
+    least id, so a token that many rows have meets as often as it has kinds of rows."""
+    a = left.groupBy(*LEFT).agg(F.min("id").alias("lid"))
+    b = right.groupBy(*RIGHT).agg(F.min("rid").alias("rid"))
+    a, b = a.select("*", F.explode(F.array_distinct("toks")).alias("t")), b.select("*", F.explode(F.array_distinct("rtoks")).alias("t"))
+    return a.join(b, (a["t"] == b["t"]) & (F.col("pos") == F.col("rpos"))).drop("t").distinct()
+
+
+def shared_tokens() -> Column:
+    return F.size(F.array_intersect("toks", "rtoks"))
+
+
+def link_score() -> Column:
+    """Shares of tokens and closeness of forms of a pair that met."""
+    near = 1 - F.levenshtein("form", "rform") / F.greatest(F.length("form"), F.length("rform"), F.lit(1))
+    # Weights of the published score.
+    return F.round(0.42 * shared_tokens() / F.size("rtoks") + 0.36 * near + 0.22 * shared_tokens() / F.size("toks"), 6)
+
+
 def fuzzy_link(left: DataFrame, right: DataFrame, accept: float = 0.42) -> DataFrame:
     """(id, rid, score) best link of left (id, form, pos, toks) with right (rid,
     rform, rpos, rtoks): block on a shared token, equal class, then shares of
     tokens and closeness of forms; of equals the least rid."""
-    a = left.select("id", "form", "pos", "toks", F.explode(F.array_distinct("toks")).alias("t"))
-    b = right.select("rid", "rform", "rpos", "rtoks", F.explode(F.array_distinct("rtoks")).alias("t"))
-    met = a.join(b, (a["t"] == b["t"]) & (F.col("pos") == F.col("rpos"))).select("id", "rid", "form", "rform", "toks", "rtoks").distinct()
-    both = F.size(F.array_intersect("toks", "rtoks"))
-    near = 1 - F.levenshtein("form", "rform") / F.greatest(F.length("form"), F.length("rform"), F.lit(1))
-    score = 0.42 * both / F.size("rtoks") + 0.36 * near + 0.22 * both / F.size("toks")
-    best = met.select("id", "rid", F.round(score, 6).alias("score")).groupBy("id").agg(F.max_by(F.struct("rid", "score"), F.struct("score", -F.col("rid"))).alias("x"))
-    return best.select("id", "x.rid", "x.score").where(F.col("score") >= accept)
+    met = met_kinds(left, right).withColumn("score", link_score())
+    best = met.groupBy(*LEFT).agg(F.max_by(F.struct("rid", "score"), F.struct("score", -F.col("rid"))).alias("x")).where(F.col("x.score") >= accept)
+    return left.select("id", *LEFT).join(best, list(LEFT)).select("id", "x.rid", "x.score")
+
+
+def strip_majority_prefix(rows: DataFrame, group: list[str], form: str, prefixes: list[str], least: int = 2) -> DataFrame:
+    """``rows`` with ``form`` stripped of the prefix that ``least`` members of the
+    group, and half of them, have (the first listed of equally common ones), and
+    stripped: whether it was."""
+    has = F.array(*[F.when(F.col(form).startswith(p), F.lit(i)) for i, p in enumerate(prefixes)])
+    n = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    each = rows.select(*group, F.explode(F.filter(has, lambda x: x.isNotNull())).alias("__i")).groupBy(*group, "__i").agg(F.count(F.lit(1)).alias("__c"))
+    most = each.join(n, group).where((F.col("__c") >= least) & (2 * F.col("__c") >= F.col("__n"))).groupBy(*group).agg(F.max_by("__i", F.struct("__c", -F.col("__i"))).alias("__i"))
+    prefix = F.get(F.array(*map(F.lit, prefixes)), F.col("__i"))
+    out = rows.join(most, group, "left").withColumn("stripped", F.coalesce(F.col(form).startswith(prefix), F.lit(False)))
+    return out.withColumn(form, F.when(F.col("stripped"), F.substr(F.col(form), F.length(prefix) + 1)).otherwise(F.col(form))).drop("__i")
 
 
 def nearest_by_edit(queries: DataFrame, index: DataFrame, q: str, form: str, block_q: Column, block_i: Column, most: int = 2, keep: int = 3) -> DataFrame:
@@ -86,10 +120,18 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str])
     return both.select(F.coalesce("__a", "__b").alias(key), change.alias("change")).where("change is not null")
 
 
-def augment_evidence(rows: DataFrame, candidates: DataFrame, cited: DataFrame) -> DataFrame:
-    """(id, lang, cand, overlap): for each row the best candidate of every
-    language it does not cite; candidates share a token of (id, tok) and (cand, lang, tok)."""
-    met = rows.join(candidates, "tok").groupBy("id", "lang", "cand").agg(F.count(F.lit(1)).alias("overlap"))
+def augment_evidence(rows: DataFrame, candidates: DataFrame, cited: DataFrame, least: int = 2) -> DataFrame:
+    """(id, lang, cand, overlap): for each row (id, toks) the best candidate (cand,
+    lang, toks) of every language it does not cite, of those that share ``least``
+    tokens; of equals the least.  Rows meet on pairs of tokens, not on single ones."""
+    pairs = lambda t: F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    a = rows.select("id", F.array_distinct("toks").alias("toks"))
+    b = candidates.select("cand", "lang", F.array_distinct("toks").alias("ctoks"))
+    if least == 2:
+        a, b = a.withColumn("k", F.explode(pairs(F.col("toks")))), b.withColumn("k", F.explode(pairs(F.col("ctoks"))))
+    else:
+        a, b = a.withColumn("k", F.explode("toks")), b.withColumn("k", F.explode("ctoks"))
+    met = a.join(b, "k").select("id", "lang", "cand", F.size(F.array_intersect("toks", "ctoks")).alias("overlap")).distinct().where(F.col("overlap") >= least)
     fresh = met.join(cited.select("id", "lang").distinct(), ["id", "lang"], "left_anti")
     best = fresh.groupBy("id", "lang").agg(F.max_by(F.struct("cand", "overlap"), F.struct("overlap", -F.col("cand"))).alias("x"))
     return best.select("id", "lang", "x.cand", "x.overlap")

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 Z = 1.959964
 
@@ -76,30 +77,56 @@ def operating_points(df: DataFrame, p: str, hit: str, thresholds: list[float]) -
     return rows.select("x.threshold", "x.n", (F.col("x.tp") / F.col("x.n")).alias("precision"), (F.col("x.tp") / F.col("x.all")).alias("recall"))
 
 
+def log_gamma(x: Column) -> Column:
+    """ln Γ(x) of x > 0 by Stirling's series, ten steps up."""
+    y = x.cast("double") + 10
+    low = F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0.0), lambda a, i: a + F.ln(x.cast("double") + i))
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - low
+
+
 def sign_test(fixed: Column, broke: Column) -> Column:
-    """Exact two-sided sign test, summed in logarithms."""
-    n, m = fixed + broke, F.least(fixed, broke)
-    choose = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("long")), F.lit(0.0), lambda a, i: a + F.when(i <= k, F.ln((n - k + i).cast("double")) - F.ln(i.cast("double"))).otherwise(0.0))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), m.cast("long")), F.lit(0.0), lambda a, k: a + F.exp(choose(k) - n * math.log(2.0)))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(2 * tail, F.lit(1.0)))
+    """Exact two-sided sign test, summed in logarithms.  Terms more than some 40
+    deviations from the middle, less than 1e-300 of it, are left out, so that the
+    sum has of the order of sqrt(n) terms."""
+    n, m = (fixed + broke).cast("long"), F.least(fixed, broke).cast("long")
+    first = F.least(m, F.greatest(F.lit(0), F.floor(n / 2 - 20 * F.sqrt(n) - 20))).cast("long")
+    log = log_gamma(n + 1) - log_gamma(first + 1) - log_gamma(n - first + 1) - n * math.log(2.0)
+    start = F.struct(log.alias("log"), F.exp(log).alias("sum"))
+    step = lambda a, k: F.struct((a["log"] + F.ln(n - k) - F.ln(k + 1)).alias("log"), (a["sum"] + F.exp(a["log"] + F.ln(n - k) - F.ln(k + 1))).alias("sum"))
+    rest = F.when(m > first, F.sequence(first, m - 1)).otherwise(F.array().cast("array<long>"))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(2 * F.aggregate(rest, start, step)["sum"], F.lit(1.0)))
 
 
 def accuracy(df: DataFrame, by: list[str]) -> DataFrame:
     """Counts and rates overall and by each label, in one grouping-sets pass."""
-    sets = ", ".join(["(config)"] + [f"(config, {b})" for b in by])
-    df.createOrReplaceTempView("__accuracy")
-    cols = ", ".join(by)
-    return df.sparkSession.sql(f"select config, {cols}, count(*) as n, sum(cast(exact as int)) as exact, sum(cast(normalized as int)) as normalized, round(avg(edit), 6) as mean_edit from __accuracy group by grouping sets ({sets})")
-
-
-def poisson_bootstrap(df: DataFrame, hit: str, resamples: int = 1000, seed: int = 1) -> DataFrame:
-    """(low, high) percentiles of the hit rate over hash-seeded resamples.  The
-    rows are first counted by outcome; a resample draws both counts from their
-    normal limits, so work does not grow with rows times resamples."""
-    c = df.agg(F.count_if(F.col(hit)).alias("k"), F.count(F.lit(1)).alias("n"))
-    draw = F.broadcast(c).join(df.sparkSession.range(resamples), how="cross")  # one row times the stated number of resamples
-    u = lambda s: (F.pmod(F.xxhash64(F.lit(seed), F.lit(s), "id"), F.lit(2**52)) + 1) / F.lit(float(2**52 + 1))
-    z = F.sqrt(-2 * F.ln(u("a"))) * F.cos(2 * math.pi * u("b"))
-    rate = F.col("k") / F.col("n")
-    rows = draw.select((rate + z * F.sqrt(rate * (1 - rate) / F.col("n"))).alias("r"))
-    return rows.agg(F.round(F.percentile("r", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("r", F.lit(0.975)), 6).alias("high"))
+    sets = [["config"], *(["config", b] for b in by)]
+    return df.groupingSets(sets, "config", *by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exact").cast("int")).alias("exact"), F.sum(F.col("normalized").cast("int")).alias("normalized"), F.round(F.avg("edit"), 6).alias("mean_edit"))
+
+
+def bootstrap(df: DataFrame, hit: str, resamples: int = 1000, low: int = 25, high: int = 974, seed: int = 1) -> DataFrame:
+    """(low, high): the rates of the stated ranks (from 0) of so many resamples.
+
+    A resample of n rows, k of them hits, has a binomial count of hits; it is drawn
+    by inverting the distribution at a hashed number.  The distribution is
+    tabulated within 20 deviations of its mean, so work does not grow with
+    rows times resamples."""
+    c = df.agg(F.count_if(F.col(hit)).alias("k"), F.count(F.lit(1)).alias("n")).first()
+    spark, k, n = df.sparkSession, c["k"], c["n"]
+    if not n or k in (0, n):
+        rate = k / n if n else 0.0
+        return spark.range(1).select(F.lit(round(rate, 6)).alias("low"), F.lit(round(rate, 6)).alias("high"))
+    wide = 20 * math.ceil(math.sqrt(k * (n - k) / n)) + 20
+    begin, end = max(0, k - wide), min(n, k + wide)
+    # logarithm of a count's weight over that of k: sums of ratios of neighbours, outwards from k
+    step = F.ln((F.lit(n) - F.col("id") + 1).cast("double")) - F.ln(F.col("id").cast("double")) + math.log(k / (n - k))
+    ratios = spark.range(begin + 1, end + 1).select("id", step.alias("r")).unionByName(spark.createDataFrame([(begin, 0.0)], "id long, r double"))
+    order = W.orderBy("id")  # one row a count near the mean, not a row of the data
+    logs = ratios.withColumn("log", F.sum("r").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    logs = logs.withColumn("w", F.exp(F.col("log") - F.max("log").over(W.partitionBy())))
+    table = logs.withColumn("p", F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)) / F.sum("w").over(W.partitionBy())).select("id", "p")
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    # each number takes the first count whose probability reaches it: in one order, the next count behind it
+    mixed = table.select("p", "id", F.lit(1).alias("is_count")).unionByName(spark.range(resamples).select(u.alias("p"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("is_count")))
+    drawn = mixed.withColumn("next", F.first("id", ignorenulls=True).over(W.orderBy("p", "is_count").rowsBetween(0, W.unboundedFollowing))).where("is_count = 0")
+    ranked = drawn.select(F.round(F.coalesce("next", F.lit(end)) / F.lit(n), 6).alias("rate")).withColumn("rank", F.row_number().over(W.orderBy("rate")) - 1)
+    return ranked.agg(F.max(F.when(F.col("rank") == low, F.col("rate"))).alias("low"), F.max(F.when(F.col("rank") == high, F.col("rate"))).alias("high"))

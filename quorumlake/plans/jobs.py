@@ -100,11 +100,11 @@ def q7(spark: SparkSession, sf: str) -> DataFrame:
     return scores.join(fitted, "domain", "left_anti").select("id", "domain")
 
 
-@query("explain_lookup", V.sql("parts") + ", q as (select id as qid, upper(form) || case when id % 2 = 0 then '' else ' x' end as q from parts where size = 3), idx as (select form, min(id) as hit from parts group by 1), l as (select qid, case when a.form is not null then 1 when b.form is not null then 2 when c.form is not null then 3 end as level, coalesce(a.hit, b.hit, c.hit) as hit from q left join idx a on q.q = a.form left join idx b on lower(q.q) = b.form left join idx c on split_part(lower(q.q), ' ', 1) || ' ' || split_part(lower(q.q), ' ', 2) = c.form) select qid, level::int as level, hit from l where level is not null")
+@query("explain_lookup", V.sql("parts") + ", q as (select id as qid, upper(form) || case when id % 2 = 0 then '' else ' x' end as q from parts), idx as (select form, min(id) as hit from parts group by 1), l as (select qid, case when a.form is not null then 1 when b.form is not null then 2 when c.form is not null then 3 end as level, coalesce(a.hit, b.hit, c.hit) as hit from q left join idx a on q.q = a.form left join idx b on lower(q.q) = b.form left join idx c on split_part(lower(q.q), ' ', 1) || ' ' || split_part(lower(q.q), ' ', 2) = c.form) select qid, level::int as level, hit from l where level is not null")
 def explain_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Exact, then folded, then trimmed lookup: the first level that hits."""
     p = V.parts(spark, sf)
-    q = p.where("size = 3").select(F.col("id").alias("qid"), F.concat(F.upper("form"), F.when(F.col("id") % 2 == 0, "").otherwise(" x")).alias("q"))
+    q = p.select(F.col("id").alias("qid"), F.concat(F.upper("form"), F.when(F.col("id") % 2 == 0, "").otherwise(" x")).alias("q"))
     idx = p.groupBy(F.col("form").alias("key")).agg(F.min("id").alias("hit"))
     keys = F.array(F.struct(F.lit(1).alias("level"), F.col("q").alias("key")), F.struct(F.lit(2).alias("level"), F.lower("q").alias("key")),
                    F.struct(F.lit(3).alias("level"), F.array_join(F.slice(F.split(F.lower("q"), " "), 1, 2), " ").alias("key")))

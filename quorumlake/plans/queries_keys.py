@@ -112,10 +112,11 @@ def p8(spark, sf):
     return V.parts(spark, sf).select("id", F.posexplode(K.split_cell(cell)).alias("k", "v")).select("id", "k", "v.variant", "v.flagged")
 
 
-@query("p9_citation_forms", r"""select distinct doc_id, trim(form) as form from (select doc_id, unnest(string_split(text, ',')) as form from documents where not regexp_matches(text, '[()\[\]{}]')) where trim(form) <> '' and not regexp_matches(form, '[#!*]')""")
+@query("p9_citation_forms", r"""with g as (select doc_id, array_to_string(list_transform(regexp_extract_all(text, '[^()\[\]{}]*[()\[\]{}]?'), lambda s: case when regexp_matches(s, '[)\]}]$') then replace(s, ',', chr(1)) else s end), '') as t from documents),
+p as (select doc_id, unnest(list_filter(list_transform(string_split(t, ','), lambda p: trim(p)), lambda p: p <> '' and not regexp_matches(p, '[#!]'))) as p from g),
+c as (select doc_id, trim(split_part(replace(regexp_replace(p, '\([^()]*\)', '', 'g'), chr(1), ','), ',', 1)) as form from p) select distinct doc_id, form from c where form <> '' and not regexp_matches(form, '[#!*()]')""")
 def p9(spark, sf):
-    docs = V.table(spark, sf, "documents").where(~F.col("text").rlike(r"[()\[\]{}]"))
-    return docs.select("doc_id", F.explode(K.citation_forms(F.col("text"))).alias("form"))
+    return V.table(spark, sf, "documents").select("doc_id", F.explode(K.citation_forms(F.col("text"))).alias("form"))
 
 
 TAGS = [(r"ECONOMY|PROMO", "cheap"), (r"SMALL|MEDIUM", "handy"), (r"LARGE", "bulky")]
@@ -162,10 +163,11 @@ def p14(spark, sf):
     return V.table(spark, sf, "events").select(F.col("event_id").alias("id"), p["k"].alias("k")).withColumn("pick", pick)
 
 
-@query("p15_hygiene", r"select page_id, left(translate(url, '’‘“”–— ', '''''""-- '), 40) as clean, (contains(html, '<script') or contains(html, 'track(')) as leaked from pages where not contains(url, '%')")
+@query("p15_hygiene", r"select page_id, left(translate(url || ' “é”–%zz+%4', '’‘“”–—', '''''' || chr(34) || chr(34) || '--'), 60) as clean, (contains(html, '<script') or contains(html, 'track(')) as leaked from pages")
 def p15(spark, sf):
-    pages = V.table(spark, sf, "pages").where(~F.contains("url", F.lit("%")))
-    return pages.select("page_id", K.hygiene(F.col("url"), 40).alias("clean"), F.col("html").rlike(r"<script|track\(").alias("leaked"))
+    """Urls and what follows them percent-encoded here, with two invalid escapes and a plus sign behind, decoded again."""
+    raw = F.concat(F.replace(F.url_encode(F.concat("url", F.lit(" “é”–"))), F.lit("+"), F.lit("%20")), F.lit("%zz+%4"))
+    return V.table(spark, sf, "pages").select("page_id", K.hygiene(raw, 60).alias("clean"), F.col("html").rlike(r"<script|track\(").alias("leaked"))
 
 
 RULES = [cascade.Rule("drop-final-e", "e$", ""), cascade.Rule("th-to-t", "th", "t"), cascade.Rule("double-vowel", "oo|ee", "o", guard="oo|ee"), cascade.Rule("final-ing", "ing$", "in", guard="^.{5,}$")]
@@ -289,11 +291,11 @@ def p31(spark, sf):
     return search_keys(V.parts(spark, sf), "id", [F.col("form"), F.replace("form", F.lit(" "), F.lit("")), w[0], w[1]])
 
 
-@query("p32_reading_enrichment", V.sql("parts") + "select id, case when pos = 'PROMO' then 'acc,dat,gen' else 'dat,gen' end as readings from parts")
+@query("p32_reading_enrichment", V.sql("parts") + ", r as (select id, unnest(case when size % 2 = 0 then ['gen', 'dat'] else ['dat', 'nom'] end) as reading from parts), e as (select r.id, 'acc' as reading from r join parts p on r.id = p.id where r.reading = 'gen' and p.pos = 'PROMO'), u as (select * from r union select * from e) select id, string_agg(reading, ',' order by reading) as readings from u group by id")
 def p32(spark, sf):
     """A gen reading adds the matching acc reading for eligible keys."""
     from quorumlake.operators.textcheck import enrich_readings
 
     p = V.parts(spark, sf)
-    rows = p.select("id", F.array(F.lit("gen"), F.lit("dat")).alias("readings"))
+    rows = p.select("id", F.when(F.col("size") % 2 == 0, F.array(F.lit("gen"), F.lit("dat"))).otherwise(F.array(F.lit("dat"), F.lit("nom"))).alias("readings"))
     return enrich_readings(rows, p.where("pos = 'PROMO'").select("id"), "id").select("id", F.array_join(F.array_sort("readings"), ",").alias("readings"))

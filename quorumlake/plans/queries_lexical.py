@@ -16,16 +16,17 @@ P = V.sql("parts")
 LEX = V.sql("tok", "lex")
 
 
-@query("j1_components", P + """, n as (select id, 'S:' || split_part(form, ' ', 1) || '/' || lang || '/' || pos as node from parts where size <= 15 union all select id, 'E:' || split_part(form, ' ', 2) || '/' || lang || '/' || size from parts where size <= 15),
-e as (select distinct a.id as x, b.id as y from n a join n b on a.node = b.node and a.id <> b.id), r(id, root) as (select id, id from parts where size <= 15 union select e.x, r.root from r join e on e.y = r.id) select id, min(root) as component from r group by id""")
+@query("j1_components", P + """, n as (select id, 'S:' || split_part(form, ' ', 1) || '/' || lang || '/' || pos as node from parts union all select id, 'E:' || split_part(form, ' ', 2) || '/' || lang || '/' || size from parts union all select id, 'F:' || replace(form, ' ', '') || '/' || pos || '/' || size from parts where length(replace(form, ' ', '')) >= 4),
+k as (select node, min(id) as first from n group by 1), e as (select distinct n.id as x, k.first as y from n join k using (node) where n.id <> k.first), b as (select x, y from e union all select y, x from e), r(id, root) as (select id, id from parts union select b.x, r.root from r join b on b.y = r.id) select id, min(root) as component from r group by id""")
 def j1(spark, sf):
-    """Rows hang together by shared keys of two kinds; keys are nodes too, so no
-    pairs of rows are made."""
-    p = V.parts(spark, sf).where("size <= 15")
-    w = F.split("form", " ")
-    keys = F.array(F.concat_ws("/", F.concat(F.lit("S:"), w[0]), "lang", "pos"), F.concat_ws("/", F.concat(F.lit("E:"), w[1]), "lang", "size"))
+    """Rows hang together by shared keys of three kinds (surface, etymon, identical
+    fold); keys are nodes too, so no pairs of rows are made."""
+    p = V.parts(spark, sf)
+    w, fold = F.split("form", " "), F.replace("form", F.lit(" "), F.lit(""))
+    keys = F.array(F.concat_ws("/", F.concat(F.lit("S:"), w[0]), "lang", "pos"), F.concat_ws("/", F.concat(F.lit("E:"), w[1]), "lang", "size"),
+                   F.when(F.length(fold) >= 4, F.concat_ws("/", F.concat(F.lit("F:"), fold), "pos", "size")))
     # key nodes stand above all row ids, so the least node of a component is a row
-    edges = p.select("id", F.explode(keys).alias("k")).select("id", (F.pmod(F.xxhash64("k"), F.lit(2**62)) + F.lit(2**62)).alias("node"))
+    edges = p.select("id", F.explode(keys).alias("k")).where("k is not null").select("id", (F.pmod(F.xxhash64("k"), F.lit(2**62)) + F.lit(2**62)).alias("node"))
     c = connected_components(edges, "id", "node").withColumnRenamed("node", "id")
     return p.select("id").join(c, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -59,10 +60,10 @@ def j8(spark, sf):
     return lex.withColumn("fold", fold).join(first, ["lang", "fold"], "left").select("lang", "token", "first")
 
 
-@query("j14_synonyms", P + ", e as (select id, lang, split_part(form, ' ', 2) as tr, pos, split_part(form, ' ', 1) as tok, form from parts where size <= 20), p as (select distinct a.id as x, b.id as y from e a join e b on a.lang = b.lang and a.tr = b.tr and a.pos = b.pos and a.id < b.id and a.tok <> b.tok and a.form <> b.form where length(a.tr) >= 3) select x as id, y as other from p union all select y, x from p")
+@query("j14_synonyms", P + ", e as (select id, lang, split_part(form, ' ', 2) as tr, pos, split_part(form, ' ', 1) as tok, form from parts), p as (select distinct a.id as x, b.id as y from e a join e b on a.lang = b.lang and a.tr = b.tr and a.pos = b.pos and a.id < b.id and a.tok <> b.tok and a.form <> b.form where length(a.tr) >= 3) select x as id, y as other from p union all select y, x from p")
 def j14(spark, sf):
     w = F.split("form", " ")
-    rows = V.parts(spark, sf).where("size <= 20").select("id", "lang", w[1].alias("tr"), "pos", F.array(w[0]).alias("toks"), "form")
+    rows = V.parts(spark, sf).select("id", "lang", w[1].alias("tr"), "pos", F.array(w[0]).alias("toks"), "form")
     return X.synonym_edges(rows, "id", "lang", "tr", "pos", "toks", "form")
 
 
@@ -86,16 +87,17 @@ def j17(spark, sf):
     return X.mates(V.table(spark, sf, "documents").select(F.explode(zipped).alias("z")).select("z.a", "z.b"), "a", "b")
 
 
-@query("j18_best_alternative", P + ", c as (select a.form, b.id, count(*) filter (contains(a.lang, left(b.lang, 7))) as bridges, max(b.freq) as freq from parts a join parts b on a.pos = b.pos and split_part(a.form, ' ', 2) = split_part(b.form, ' ', 2) and a.form <> b.form and a.size = 1 and b.size <= 3 group by 1, 2), r as (select *, row_number() over (partition by form order by bridges > 0 desc, bridges desc, freq desc, id) as k from c) select form, id, bridges from r where k = 1")
+@query("j18_best_alternative", P + ", c as (select a.form, b.id, count(*) filter (contains(a.lang, left(b.lang, 7))) as bridges, max(b.freq) as freq from parts a join parts b on a.pos = b.pos and split_part(a.form, ' ', 2) = split_part(b.form, ' ', 2) and a.form <> b.form group by 1, 2), r as (select *, row_number() over (partition by form order by bridges > 0 desc, bridges desc, freq desc, id) as k from c) select form, id, bridges from r where k = 1")
 def j18(spark, sf):
     p = V.parts(spark, sf).withColumn("tail", F.element_at(F.split("form", " "), -1))
-    a = p.where("size = 1").select("form", "pos", "tail", "lang")
-    b = p.where("size <= 3").select("id", "pos", "tail", F.col("form").alias("oform"), F.col("lang").alias("olang"), "freq")
-    c = a.join(b, ["pos", "tail"]).where("form <> oform").groupBy("form", "id").agg(F.count_if(F.contains("lang", F.left("olang", F.lit(7)))).alias("bridges"), F.max("freq").alias("freq"))
+    # equal rows of the asking side count as often as they are, and meet once
+    a = p.groupBy("form", "pos", "tail", F.col("lang")).agg(F.count(F.lit(1)).alias("times"))
+    b = p.select("id", "pos", "tail", F.col("form").alias("oform"), F.col("lang").alias("olang"), "freq")
+    c = a.join(b, ["pos", "tail"]).where("form <> oform").groupBy("form", "id").agg(F.sum(F.when(F.contains("lang", F.left("olang", F.lit(7))), F.col("times")).otherwise(0)).alias("bridges"), F.max("freq").alias("freq"))
     return c.groupBy("form").agg(F.max_by(F.struct("id", "bridges"), F.struct(F.col("bridges") > 0, "bridges", "freq", -F.col("id"))).alias("x")).select("form", "x.id", "x.bridges")
 
 
-@query("j19_surface_readings", LEX + f", q as (select token as surface from lex where lang = 'en' and df >= 30), f as (select lang, token, {sql_skeleton('token')} as fold from lex where lang <> 'en') select surface, lang, token, token = surface as exact from q join f on fold = {sql_skeleton('surface')}")
+@query("j19_surface_readings", LEX + f", q as materialized (select token as surface, {sql_skeleton('token')} as fold from lex where lang = 'en' and df >= 30), f as materialized (select lang, token, {sql_skeleton('token')} as fold from lex where lang <> 'en') select surface, lang, token, token = surface as exact from q join f using (fold)")
 def j19(spark, sf):
     lex = V.lexicon(spark, sf)
     q = lex.where("lang = 'en' and df >= 30").select(F.col("token").alias("surface"), K.ascii_skeleton(F.col("token")).alias("fold"))

@@ -66,12 +66,12 @@ def j10(spark, sf):
 def _sides(spark, sf):
     """Two halves of the parts as candidates and as the authoritative table."""
     p = V.parts(spark, sf).withColumn("toks", F.split(F.concat("form", F.lit(" "), F.lower("lang")), " "))
-    left = p.where("id % 2 = 1 and size <= 10").select("id", "form", "pos", "toks", "freq")
-    right = p.where("id % 2 = 0 and size <= 10").select(F.col("id").alias("rid"), F.col("form").alias("rform"), F.col("pos").alias("rpos"), F.col("toks").alias("rtoks"))
+    left = p.where("id % 2 = 1").select("id", "form", "pos", "toks", "freq")
+    right = p.where("id % 2 = 0").select(F.col("id").alias("rid"), F.col("form").alias("rform"), F.col("pos").alias("rpos"), F.col("toks").alias("rtoks"))
     return left, right
 
 
-SIDES = P + """, t as (select *, string_split(form || ' ' || lower(lang), ' ') as toks from parts where size <= 10), l as (select * from t where id % 2 = 1), r as (select id as rid, form as rform, pos as rpos, toks as rtoks from t where id % 2 = 0),
+SIDES = P + """, t as (select *, string_split(form || ' ' || lower(lang), ' ') as toks from parts), l as (select * from t where id % 2 = 1), r as (select id as rid, form as rform, pos as rpos, toks as rtoks from t where id % 2 = 0),
 m as (select id, rid, form, rform, pos, len(list_intersect(toks, rtoks)) as shared, len(toks) as n, len(rtoks) as rn from l join r on pos = rpos and len(list_intersect(toks, rtoks)) > 0) """
 SCORE = "round(0.42::double * shared / rn + 0.36::double * (1 - levenshtein(form, rform) / greatest(length(form), length(rform), 1)) + 0.22::double * shared / n, 6)"
 
@@ -81,18 +81,26 @@ def j4(spark, sf):
     return L.fuzzy_link(*_sides(spark, sf))
 
 
+PREFIXES = ["small ", "large ", "hot ", "old "]
+SQL_HAS = "[" + ", ".join(f"case when starts_with(form, '{p}') then {i} end" for i, p in enumerate(PREFIXES)) + "]"
+
+
 @query("j5_stripped_retry", SIDES + f""", s as (select id, rid, {SCORE} as score from m), b as (select *, row_number() over (partition by id order by score desc, rid) as k from s), hit as (select id, rid, score from b where k = 1 and score >= 0.8),
-t2 as (select id, rid, case when form like 'small %' then substr(form, 7) else form end as form, case when rform like 'small %' then substr(rform, 7) else rform end as rform, shared, n, rn from m where id not in (select id from hit)),
-s2 as (select id, rid, round(0.94 * {SCORE}, 6) as score from t2), b2 as (select *, row_number() over (partition by id order by score desc, rid) as k from s2)
-select id, rid, score, false as stripped from hit union all select id, rid, score, true from b2 where k = 1 and score >= 0.42""")
+miss as (select l.* from l where id not in (select id from hit)), mem as (select pos, lang, unnest(list_filter({SQL_HAS}, lambda x: x is not null)) as i from miss), cnt as (select pos, lang, count(*) as n from miss group by 1, 2),
+pre as (select pos, lang, i, count(*) as c from mem group by 1, 2, 3), maj as (select pos, lang, arg_max(i, (c, -i)) as i from pre join cnt using (pos, lang) where c >= 2 and 2 * c >= n group by 1, 2),
+t2 as (select m.id, rid, rform, shared, m.n, rn, coalesce(starts_with(m.form, {PREFIXES}[i + 1]), false) as cut, case when starts_with(m.form, {PREFIXES}[i + 1]) then substr(m.form, length({PREFIXES}[i + 1]) + 1) else m.form end as form from m join miss on m.id = miss.id left join maj on miss.pos = maj.pos and miss.lang = maj.lang),
+s2 as (select id, rid, cut, round(case when cut then 0.94 else 1 end * {SCORE}, 6) as score from t2), b2 as (select *, row_number() over (partition by id order by score desc, rid) as k from s2)
+select id, rid, score, false as stripped from hit union all select id, rid, score, cut from b2 where k = 1 and score >= 0.42""")
 def j5(spark, sf):
-    """Rows without a strong link are linked again by their stripped forms, at a discount."""
+    """Rows without a strong link are linked again without the prefix that most of
+    their group share, at a discount."""
     left, right = _sides(spark, sf)
     hit = L.fuzzy_link(left, right, 0.8)
-    strip = lambda c: F.when(F.col(c).startswith("small "), F.substr(F.col(c), F.lit(7))).otherwise(F.col(c))
-    rest = left.join(hit.select("id"), "id", "left_anti").withColumn("form", strip("form"))
-    again = L.fuzzy_link(rest, right.withColumn("rform", strip("rform")), 0.0).withColumn("score", F.round(0.94 * F.col("score"), 6)).where("score >= 0.42")
-    return hit.withColumn("stripped", F.lit(False)).unionByName(again.withColumn("stripped", F.lit(True)))
+    rest = left.join(V.parts(spark, sf).select("id", "lang"), "id").join(hit.select("id"), "id", "left_anti")
+    bare = L.strip_majority_prefix(rest, ["pos", "lang"], "form", PREFIXES)
+    again = L.fuzzy_link(bare, right, 0.0).join(bare.select("id", "stripped"), "id")
+    again = again.withColumn("score", F.round(F.when(F.col("stripped"), 0.94).otherwise(1.0) * F.col("score"), 6)).where("score >= 0.42")
+    return hit.withColumn("stripped", F.lit(False)).unionByName(again)
 
 
 @query("j6_rescue", SIDES + f""", s as (select id, rid, {SCORE} as score from m), b as (select *, row_number() over (partition by id order by score desc, rid) as k from s), d as (select form, count(*) as n, count(*) filter (lang in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6', 'Brand#7', 'Brand#8', 'Brand#9', 'Brand#10', 'Brand#11', 'Brand#12')) as named from parts group by 1)
@@ -138,17 +146,15 @@ def row_fates(spark, sf):
 
 @query("a10_coverage_report", FATES.replace("select lang, token, first as fate from f where", ", fates as (select lang, token, first as fate from f where").rstrip() + ") select lang, fate, count(*) as n from fates group by grouping sets ((lang, fate), (fate), ())")
 def a10(spark, sf):
-    row_fates(spark, sf).createOrReplaceTempView("__fates")
-    return spark.sql("select lang, fate, count(*) as n from __fates group by grouping sets ((lang, fate), (fate), ())")
+    return row_fates(spark, sf).groupingSets([["lang", "fate"], ["fate"], []], "lang", "fate").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j13_near_match", SIDES + ", d as (select id, rid, rform, levenshtein(form, rform) as distance from m where levenshtein(form, rform) <= 2), b as (select *, row_number() over (partition by id order by distance, rform, rid) as k from d) select id, rid, distance::int as distance from b where k = 1")
 def j13(spark, sf):
     left, right = _sides(spark, sf)
-    a, b = left.select("id", "form", "pos", F.explode("toks").alias("t")), right.select("rid", "rform", "rpos", F.explode("rtoks").alias("t"))
-    near = (a.join(b, (a["t"] == b["t"]) & (F.col("pos") == F.col("rpos"))).select("id", "rid", "form", "rform").distinct()
-            .withColumn("distance", F.levenshtein(F.col("form"), F.col("rform"), 2)).where("distance >= 0"))
-    return near.groupBy("id").agg(F.min(F.struct("distance", "rform", "rid")).alias("x")).select("id", "x.rid", "x.distance")
+    near = L.met_kinds(left, right).withColumn("distance", F.levenshtein(F.col("form"), F.col("rform"), 2)).where("distance >= 0")
+    best = near.groupBy(*L.LEFT).agg(F.min(F.struct("distance", "rform", "rid")).alias("x"))
+    return left.join(best, list(L.LEFT)).select("id", "x.rid", "x.distance")
 
 
 @query("j23_nearest_suggestion", P + ", q as (select distinct translate(form, 'aeo', 'oea') as q from parts), f as (select distinct form from parts), d as (select q, form, levenshtein(q, form) as distance from q join f on left(q, 1) = left(form, 1) and abs(length(q) - length(form)) <= 2), r as (select *, row_number() over (partition by q order by distance, form) as k from d where distance <= 2) select q, form, distance::int as distance, k::int as k from r where k <= 3")
@@ -158,20 +164,25 @@ def j23(spark, sf):
     return L.nearest_by_edit(q, p, "q", "form", F.left("q", F.lit(1)), F.left("form", F.lit(1)))
 
 
-@query("j27_evidence_augmentation", V.sql("att") + ", tok as (select distinct item as id, branch as tok from att), cand as (select distinct item as cand, branch as tok, source as lang from att where item % 50 = 0), cited as (select distinct item as id, source as lang from att), m as (select id, lang, cand, count(*) as overlap from tok join cand using (tok) group by 1, 2, 3), fr as (select * from m where not exists (select 1 from cited c where c.id = m.id and c.lang = m.lang)), b as (select *, row_number() over (partition by id, lang order by overlap desc, cand) as k from fr) select id, lang, cand, overlap from b where k = 1")
+CONCEPTS = P + ", k as (select form, pos, lang, list_distinct(string_split(form || ' ' || lower(pos), ' ')) as toks, min(id) as least from parts group by 1, 2, 3), rows as (select min(least) as id, form, pos, toks from k group by form, pos, toks) "
+
+
+@query("j27_evidence_augmentation", CONCEPTS + ", cited as (select r.id, k.lang from rows r join k using (form, pos)), met as (select r.id, k.lang, k.least as cand, len(list_intersect(r.toks, k.toks)) as overlap from rows r join k on len(list_intersect(r.toks, k.toks)) >= 2), fresh as (select * from met where (id, lang) not in (select (id, lang) from cited)), b as (select *, row_number() over (partition by id, lang order by overlap desc, cand) as n from fresh) select id, lang, cand, overlap::int as overlap from b where n = 1")
 def j27(spark, sf):
-    a = V.attestations(spark, sf)
-    rows = a.select(F.col("item").alias("id"), F.col("branch").alias("tok")).distinct()
-    cand = a.where("item % 50 = 0").select(F.col("item").alias("cand"), F.col("branch").alias("tok"), F.col("source").alias("lang")).distinct()
-    return L.augment_evidence(rows, cand, a.select(F.col("item").alias("id"), F.col("source").alias("lang")))
+    """Concepts (a form and class) cite the languages of their parts; other languages are
+    filled by the part that shares most of at least two tokens."""
+    p = V.parts(spark, sf).select("id", "form", "pos", "lang", F.split(F.concat("form", F.lit(" "), F.lower("pos")), " ").alias("toks"))
+    kinds = p.groupBy("form", "pos", "lang", "toks").agg(F.min("id").alias("cand"))
+    rows = kinds.groupBy("form", "pos", "toks").agg(F.min("cand").alias("id"))
+    return L.augment_evidence(rows, kinds, kinds.join(rows.select("form", "pos", "id"), ["form", "pos"]))
 
 
 @query("j28_calibration_samples", SIDES + ", b as (select id, rid, form, rform, shared, row_number() over (partition by id order by shared desc, rid) as k from m) select id, rid, shared::int as overlap, form = rform as hit from b where k = 1")
 def j28(spark, sf):
     left, right = _sides(spark, sf)
-    a, b = left.select("id", "form", "pos", "toks", F.explode(F.array_distinct("toks")).alias("t")), right.select("rid", "rform", "rpos", F.explode(F.array_distinct("rtoks")).alias("t"))
-    m = a.join(b, (a["t"] == b["t"]) & (F.col("pos") == F.col("rpos"))).groupBy("id", "rid", "form", "rform").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
-    return m.groupBy("id").agg(F.min(F.struct(-F.col("overlap"), "rid", (F.col("form") == F.col("rform")).alias("hit"), "overlap")).alias("x")).select("id", "x.rid", "x.overlap", "x.hit")
+    m = L.met_kinds(left, right).withColumn("overlap", L.shared_tokens())
+    best = m.groupBy(*L.LEFT).agg(F.min(F.struct(-F.col("overlap"), "rid", (F.col("form") == F.col("rform")).alias("hit"), "overlap")).alias("x"))
+    return left.join(best, list(L.LEFT)).select("id", "x.rid", "x.overlap", "x.hit")
 
 
 ORD = "with o as (select o_custkey as g, o_orderkey as k, o_orderstatus as s, row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) as r from orders where o_orderstatus in ('O', 'F'))"
@@ -191,11 +202,14 @@ def j34(spark, sf):
     return reciprocal(j29(spark, sf), "left_key", "right_key")
 
 
-@query("q3_reciprocity_check", "select 1::bigint as source, 1::bigint as target where false")
+@query("q3_reciprocity_check", ORD + ", p as (select a.k as x, b.k as y from o a join o b on a.g = b.g and a.r = b.r and a.s = 'O' and b.s = 'F') select y as source, x as target from p where x % 50 = 0")
 def q3(spark, sf):
+    """Links without their reverse: exactly those whose reverse was taken away here."""
     from quorumlake.operators.quality import missing_reverse
 
-    return missing_reverse(j34(spark, sf), "source", "target")
+    links = j34(spark, sf)
+    gone = j29(spark, sf).where("left_key % 50 = 0").select(F.col("left_key").alias("source"), F.col("right_key").alias("target"))
+    return missing_reverse(links.join(gone, ["source", "target"], "left_anti"), "source", "target")
 
 
 @query("a39_pair_scoring", ORD + ", p as (select a.g, a.k as x, b.k as y from o a join o b on a.g = b.g and a.r = b.r and a.s = 'O' and b.s = 'F'), t as (select p.*, ox.o_orderpriority as px, oy.o_orderpriority as py from p join orders ox on x = ox.o_orderkey join orders oy on y = oy.o_orderkey) select count(*) as pairs, count(*) filter (px <= '2' and py <= '2') as both_high, count(*) filter (px <= '2' or py <= '2') as either_high, count(*) filter (px = py) as consistent from t")
@@ -250,11 +264,8 @@ def u7(spark, sf):
 @query("w7_one_per_row", SIDES + f", s as (select id, rid, shared, {SCORE} as score from m), b as (select *, row_number() over (partition by rid order by shared desc, floor(score * 1000) desc, id) as k from s) select rid, id from b where k = 1")
 def w7(spark, sf):
     left, right = _sides(spark, sf)
-    a, b = left.select("id", "form", "pos", "toks", F.explode(F.array_distinct("toks")).alias("t")), right.select("rid", "rform", "rpos", "rtoks", F.explode(F.array_distinct("rtoks")).alias("t"))
-    m = a.join(b, (a["t"] == b["t"]) & (F.col("pos") == F.col("rpos"))).select("id", "rid", "form", "rform", "toks", "rtoks").distinct()
-    both = F.size(F.array_intersect("toks", "rtoks"))
-    score = F.round(0.42 * both / F.size("rtoks") + 0.36 * (1 - F.levenshtein("form", "rform") / F.greatest(F.length("form"), F.length("rform"), F.lit(1))) + 0.22 * both / F.size("toks"), 6)
-    return m.groupBy("rid").agg(F.max_by("id", F.struct(both, F.floor(score * 1000), -F.col("id"))).alias("id"))
+    best = L.met_kinds(left, right).groupBy(*L.RIGHT).agg(F.max_by("lid", F.struct(L.shared_tokens(), F.floor(L.link_score() * 1000), -F.col("lid"))).alias("id"))
+    return right.join(best, list(L.RIGHT)).select("rid", "id")
 
 
 @query("j33_evidence_plumbing", P + ", t as (select id, case when size > 40 then 'inline' end as tag from parts) select p.id, coalesce(t.tag, case when e.event_type is not null then e.event_type end, 'none') as tag from parts p left join t on p.id = t.id left join events e on p.id = e.event_id")

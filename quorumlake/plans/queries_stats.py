@@ -89,17 +89,19 @@ def j31(spark, sf):
     return compare_configs(_results(spark, sf), "base", "wide").groupBy("fate").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a17_sign_test", SC + ", g as (select langs, count(*) filter (hit and score >= 0.1 and score_b < 0.35) as fixed, count(*) filter (hit and score > 0.6 and langs > 6) as broke from scored group by 1), s as (select langs, least(fixed, 12) as f, least(broke, 9) as b from g) select langs, f::bigint as fixed, b::bigint as broke, round(case when f + b = 0 then 1.0 else least(2 * list_sum(list_transform(range(0, least(f, b) + 1), lambda k: exp(lgamma(f + b + 1) - lgamma(k + 1) - lgamma(f + b - k + 1) - (f + b) * ln(2)))), 1.0) end, 6) as p from s")
+@query("a17_sign_test", SC + ", g as (select langs, count(*) filter (hit and score >= 0.1 and score_b < 0.35) as fixed, count(*) filter (hit and score > 0.6 and langs > 6) as broke from scored group by 1), s as (select langs, fixed as f, broke as b from g) select langs, f::bigint as fixed, b::bigint as broke, round(case when f + b = 0 then 1.0 else least(2 * list_sum(list_transform(range(0, least(f, b) + 1), lambda k: exp(lgamma(f + b + 1) - lgamma(k + 1) - lgamma(f + b - k + 1) - (f + b) * ln(2)))), 1.0) end, 9) as p from s")
 def a17(spark, sf):
     hit = F.col("hit")
-    g = V.scored(spark, sf).groupBy("langs").agg(F.least(F.count_if(hit & (F.col("score") >= 0.1) & (F.col("score_b") < 0.35)), F.lit(12)).alias("fixed"),
-                                                 F.least(F.count_if(hit & (F.col("score") > 0.6) & (F.col("langs") > 6)), F.lit(9)).alias("broke"))
-    return g.select("langs", "fixed", "broke", F.round(S.sign_test(F.col("fixed"), F.col("broke")), 6).alias("p"))
+    g = V.scored(spark, sf).groupBy("langs").agg(F.count_if(hit & (F.col("score") >= 0.1) & (F.col("score_b") < 0.35)).alias("fixed"), F.count_if(hit & (F.col("score") > 0.6) & (F.col("langs") > 6)).alias("broke"))
+    return g.select("langs", "fixed", "broke", F.round(S.sign_test(F.col("fixed"), F.col("broke")), 9).alias("p"))
 
 
-@query("a18_bootstrap")
+@query("a18_bootstrap", SC + """, c as (select count(*) filter (hit) as k, count(*) as n from scored), b as (select k, n, greatest(0, k - 20 * ceil(sqrt(k * (n - k) / n))::bigint - 20) as lo, least(n, k + 20 * ceil(sqrt(k * (n - k) / n))::bigint + 20) as hi from c),
+t as (select unnest(range(lo, hi + 1)) as i, * from b), l as (select i, n, k, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(k / n) + (n - i) * ln((n - k) / n) as log from t), w as (select i, n, exp(log - max(log) over ()) as w from l),
+p as (select i, n, sum(w) over (order by i) / sum(w) over () as p from w), u as (select ('0x' || substr(md5('1:' || r::varchar), 1, 13))::bigint / pow(2, 52) as u from range(1000) t(r)),
+d as (select round(i / n, 6) as rate from u asof join p on u.u <= p.p), r as (select rate, row_number() over (order by rate) - 1 as k from d) select max(rate) filter (k = 25) as low, max(rate) filter (k = 974) as high from r""")
 def a18(spark, sf):
-    return S.poisson_bootstrap(V.scored(spark, sf), "hit")
+    return S.bootstrap(V.scored(spark, sf), "hit")
 
 
 @query("a19_miss_stages", RESULTS + ", m as (select config, case when exact then 'hit' when normalized then 'spelling' when hit and p >= 0.05 then 'rank' when hit then 'vote' else 'absent' end as stage from r) select config, stage, count(*) as n from m group by 1, 2")

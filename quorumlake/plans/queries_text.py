@@ -25,10 +25,10 @@ def s7(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), F.size(K.tokens(F.col("text"))).alias("words"))
 
 
-@query("s8_carried_headers", "select conv_id, turn, last_value(case when role = 'user' then left(text, 20) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as header from conversations")
+@query("s8_carried_headers", "select conv_id, turn, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as header from conversations")
 def s8(spark, sf):
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    return V.table(spark, sf, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.left("text", F.lit(20))), ignorenulls=True).over(w).alias("header"))
+    return V.table(spark, sf, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w).alias("header"))
 
 
 @query("s9_lexicon_violations", P + ", v as (select id, form, pos, case when lang = 'Brand#5' then '' else 'm' end as gender, case when size = 7 then '' else 'g' end as gloss, replace(form, ' ', '') || lang || size as fold, count(*) over (partition by replace(form, ' ', '') || lang || size) as n from parts) select id, case when contains(replace(form, ' ', '_'), ' ') then 'several tokens' when pos not in ('SMALL', 'LARGE', 'PROMO') then 'class' when pos = 'SMALL' and gender = '' then 'gender' when gloss = '' then 'gloss' when n > 1 then 'repeated' end as rule from v where pos not in ('SMALL', 'LARGE', 'PROMO') or (pos = 'SMALL' and gender = '') or gloss = '' or n > 1")
@@ -80,12 +80,15 @@ def w10(spark, sf):
     return T.adjacent_violations(_conv(spark, sf), ["conv_id", "turn"], F.col("token") == F.col("next")).select("conv_id", "turn", "pos", "token", "next")
 
 
-@query("j24_consistency", P + ", t as (select id, form, pos, unnest(string_split(form, ' ')) as tok from parts where id % 2 = 0), l as (select id as lid, form as lform, unnest(string_split(form, ' ')) as tok from parts where id % 2 = 1 and size = 9), m as (select t.id, l.lid, l.lform, row_number() over (partition by t.id order by l.lid) as k from t join l on t.tok = l.tok and t.form <> l.lform) select id, lid, lform from m where k = 1")
+@query("j24_consistency", P + ", t as (select id, form, pos, unnest(string_split(form, ' ')) as tok from parts where id % 2 = 0), l as (select id as lid, form as lform, unnest(string_split(form, ' ')) as tok from parts where id % 2 = 1), f as (select lform, tok, min(lid) as lid from l group by 1, 2), m as (select t.id, f.lid, f.lform, row_number() over (partition by t.id order by f.lid) as k from t join f on t.tok = f.tok and t.form <> f.lform) select id, lid, lform from m where k = 1")
 def j24(spark, sf):
     p = V.parts(spark, sf)
-    t = p.where("id % 2 = 0").select("id", "form", F.explode(F.split("form", " ")).alias("tok"))
-    l = p.where("id % 2 = 1 and size = 9").select(F.col("id").alias("lid"), F.col("form").alias("lform"), F.explode(F.split("form", " ")).alias("tok"))  # noqa: E741
-    return t.join(l, "tok").where("form <> lform").groupBy("id").agg(F.min(F.struct("lid", "lform")).alias("x")).select("id", "x.lid", "x.lform")
+    # equal forms conflict with the same rows: forms meet, of the lexicon each with its first row
+    t = p.where("id % 2 = 0").select("id", "form")
+    f = t.select("form").distinct().select("form", F.explode(F.split("form", " ")).alias("tok"))
+    l = p.where("id % 2 = 1").groupBy(F.col("form").alias("lform")).agg(F.min("id").alias("lid")).select("lform", "lid", F.explode(F.split("lform", " ")).alias("tok"))  # noqa: E741
+    first = f.join(l, "tok").where("form <> lform").groupBy("form").agg(F.min(F.struct("lid", "lform")).alias("x"))
+    return t.join(first, "form").select("id", "x.lid", "x.lform")
 
 
 @query("j25_dispositions", P + ", o as (select form, count(*) as n, count(distinct pos) as classes from parts where id % 2 = 0 and size > 10 group by 1) select l.id, case when o.form is null then 'coinage' when o.classes = 1 then 'official' when l.freq >= 1500 then 'generated' else 'rejected' end as disposition from parts l left join o on l.form = o.form where l.id % 2 = 1")
@@ -117,12 +120,12 @@ def a26(spark, sf):
     return LU.ranked_index(rows, "skey", "id", status, F.col("m"), F.col("freq") / 2500, keep=10)
 
 
-@query("j32_fallback_ladder", P + """, q as (select id as qid, form || ' s' as q from parts where size <= 5), idx as (select form as key, id as entry, size > 25 as verified from parts union all select split_part(form, ' ', 2), id, size > 45 from parts),
+@query("j32_fallback_ladder", P + """, q as (select min(id) as qid, form || ' s' as q from parts group by form), idx as (select form as key, id as entry, size > 25 as verified from parts union all select split_part(form, ' ', 2), id, size > 45 from parts),
 k as (select qid, 1 as level, q as key from q union all select qid, 2, left(q, length(q) - 2) from q union all select qid, 3, unnest(string_split(q, ' ')) from q), h as (select distinct k.qid, level, key, entry, verified from k join idx using (key)),
 s as (select *, min(case when verified then level end) over (partition by qid) as stop from h), f as (select * from s where stop is null or level <= stop), r as (select *, row_number() over (partition by qid, verified order by level, entry) as n from f) select qid, verified, level::int as level, entry from r where n = 1""")
 def j32(spark, sf):
     p = V.parts(spark, sf)
-    q = p.where("size <= 5").select(F.col("id").alias("qid"), F.concat("form", F.lit(" s")).alias("q"))
+    q = p.groupBy("form").agg(F.min("id").alias("qid")).select("qid", F.concat("form", F.lit(" s")).alias("q"))  # equal queries are asked once
     idx = p.select(F.col("form").alias("key"), F.col("id").alias("entry"), (F.col("size") > 25).alias("verified")).unionByName(
         p.select(F.split("form", " ")[1].alias("key"), F.col("id").alias("entry"), (F.col("size") > 45).alias("verified")))
     levels = [(1, F.array("q")), (2, F.array(F.substr("q", F.lit(1), F.length("q") - 2))), (3, F.split("q", " "))]

@@ -27,7 +27,7 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attestations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, source, branch)"""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 35").select("l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     return lines.join(_places(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("item"), "source", "branch").distinct()
 
 
@@ -71,7 +71,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "att": "att as (select distinct l_partkey as item, n_name as source, r_name as branch from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where l_returnflag = 'R' and l_quantity > 35)",
+    "att": "att as (select distinct l_partkey as item, n_name as source, r_name as branch from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)",
     "vote": "vote as (select l_partkey as item, n_name as source, r_name as branch, l_returnflag || l_linestatus as vkey, row_number() over (partition by l_partkey, n_name order by l_orderkey, l_linenumber, l_suppkey, l_returnflag || l_linestatus) as place from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)",
     "wt": "wt as (select n_name as source, count(*) as wt from customer join nation on c_nationkey = n_nationkey group by 1)",
     "tok": r"tok as (select doc_id, lang, source, unnest(t) as token, generate_subscripts(t, 1) as pos from (select doc_id, lang, source, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+(?:-\p{L}+)*') as t from documents))",
