@@ -99,7 +99,7 @@ def citation_forms(raw: Column) -> Column:
     """Distinct forms split at top-level commas, without parentheses; flagged and
     reconstructed ones go."""
     guarded = F.regexp_replace(raw, r",(?=[^()\[\]{}]*[)\]}])", "\u0001")
-    parts = F.filter(F.transform(F.split(guarded, ","), F.trim), lambda p: (p != "") & ~p.rlike("[#!]"))
+    parts = F.filter(F.transform(F.split(guarded, ","), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike("[#!]"))
     clean = F.transform(parts, lambda p: F.trim(F.split(F.replace(F.regexp_replace(p, r"\([^()]*\)", ""), F.lit("\u0001"), F.lit(",")), ",")[0]))
     return F.array_distinct(F.filter(clean, lambda p: (p != "") & ~p.rlike(r"[#!*()]")))
 
@@ -167,6 +167,21 @@ def light_stem(w: Column) -> Column:
             .when(w.endswith("s") & ~w.endswith("ss") & (F.length(w) > 3), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w))
 
 
+def stemmed_set(text: Column, stop: list[str]) -> Column:
+    """Distinct stemmed words outside brackets and a stop list, of two characters or more."""
+    bare = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\([^()]*\)", " "))
+    words = F.filter(F.split(bare, r"[^\p{L}]+"), lambda w: (w != "") & ~w.isin(stop))
+    return F.array_distinct(F.filter(F.transform(words, light_stem), lambda w: F.length(w) >= 2))
+
+
+def head_tokens(gloss: Column, stop: list[str]) -> Column:
+    """Distinct synonyms before the first bracket of a gloss: split at ``, ; /`` and "or",
+    without a leading "to"; phrases with "of", stop words and very long ones go."""
+    head = F.substring_index(F.coalesce(gloss, F.lit("")), "(", 1)
+    bare = F.transform(F.split(head, r"[,;/]| or "), lambda p: F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.trim(p), r"^\.+|\.+$", "")), r"^\s*to ", "")))
+    return F.array_distinct(F.filter(bare, lambda t: F.length(t).between(2, 32) & ~t.endswith(" etc") & ~F.contains(t, F.lit(" of ")) & ~t.isin(stop)))
+
+
 def slug(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(ascii_skeleton(s), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

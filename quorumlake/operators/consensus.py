@@ -31,6 +31,7 @@ def vote_groups(votes: DataFrame, weights: DataFrame, keep: int = 3) -> DataFram
 
 def candidate_score(groups: DataFrame) -> DataFrame:
     """``score`` from sub-group vote, agreement and rank."""
+    # The published weights.
     raw = 0.28 + 0.105 * F.col("subvote") + 0.12 * F.col("agreement") - 0.12 * (F.col("rank") - 1)
     return groups.withColumn("score", F.round(F.least(F.greatest(raw, F.lit(0.05)), F.lit(0.97)), 3))
 
@@ -43,6 +44,7 @@ def cap_alternatives(cands: DataFrame, group: str = "item", score: str = "score"
 
 def coverage_confidence(n: Column, b: Column) -> tuple[Column, Column]:
     """(score, label) of n sources in b branches."""
+    # The published weights.
     s = F.least(F.greatest(0.12 + 0.55 * F.least(n, F.lit(8)) / 8 + 0.33 * b / 3, F.lit(0.05)), F.lit(0.99))
     return F.round(s, 6), F.when((n >= 5) & (b >= 2), "High").when((n >= 3) & (b >= 2), "Medium").otherwise("Low")
 
@@ -99,7 +101,21 @@ def mode_greatest(df: DataFrame, group: list[str], value: str, out: str) -> Data
 
 def override_base(cands: DataFrame) -> DataFrame:
     """Two-stage override of a linked candidate's score by the top vote."""
+    # The published weights and marks; half-way values round up.
     base = 0.58 + 0.40 * F.col("link")
     score = (F.when(~F.col("equivalent") & (F.col("link") < 0.62) & ~F.col("adjective"), F.least(base, F.col("top_vote") - 0.03))
              .when(F.col("link") >= 0.60, F.greatest(base, F.col("top_vote") + 0.02)).otherwise(base))
-    return cands.withColumn("score", F.round(F.least(F.greatest(score, F.lit(0.05)), F.lit(0.98)), 3))
+    return cands.withColumn("score", F.round(F.least(F.greatest(score, F.lit(0.05)), F.lit(0.98)) + 1e-9, 3))
+
+
+def merge_arrays(rows: DataFrame, key: str, order: str, caps: dict[str, int]) -> DataFrame:
+    """(key, each array of ``caps``): the arrays of a key's rows end to end in order,
+    without repeats, cut to their caps (the rule of the merge).  First places are
+    aggregated, so a key of many rows costs its distinct values only."""
+    out = None
+    for name, cap in caps.items():
+        each = rows.select(key, order, F.posexplode(name).alias("__i", "__v")).groupBy(key, "__v").agg(F.min(F.struct(order, "__i")).alias("__at"))
+        kept = each.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy("__at"))).where(F.col("__k") <= cap)
+        one = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__v"))), lambda s: s["__v"]).alias(name))
+        out = one if out is None else out.join(one, key, "full")
+    return out

@@ -69,3 +69,14 @@ def write_flat(df: DataFrame, path: str, kind: str, order: list[str]) -> None:
     """A small report as one sorted JSON or CSV file."""
     one = df.orderBy(*order).coalesce(1)
     one.write.json(path) if kind == "json" else one.write.option("header", True).csv(path, sep="\t" if kind == "tsv" else ",")
+
+
+def form_records(cells: DataFrame, cell: str, feats: str, lemma: str, source: str, order: str) -> DataFrame:
+    """(key, lemma, form, analyses, source, cells): cells split at ``/`` into variants;
+    records of one key and lemma have the first form, distinct analyses in order, and
+    the source ``lemma`` if any cell has it."""
+    each = cells.select(order, feats, lemma, source, F.explode(F.split(cell, "/")).alias("form")).withColumn("form", F.trim("form")).where(~F.col("form").isin("", "—"))
+    each = each.withColumn("key", F.replace(F.lower("form"), F.lit("-"), F.lit("")))
+    first = each.groupBy("key", lemma, feats).agg(F.min(order).alias("o"), F.min_by("form", order).alias("form"), F.max((F.col(source) == "lemma").cast("int")).alias("is"), F.count(F.lit(1)).alias("n"))
+    g = first.groupBy("key", lemma).agg(F.min_by("form", "o").alias("form"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", feats))), lambda s: s[feats]), ",").alias("analyses"), F.max("is").alias("is"), F.sum("n").alias("cells"))
+    return g.select("key", lemma, "form", "analyses", F.when(F.col("is") == 1, "lemma").otherwise("inflection").alias("source"), "cells")

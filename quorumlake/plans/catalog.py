@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quorumlake.plans import jobs, queries_consensus, queries_ingest, queries_keys, queries_lexical, queries_link, queries_publish, queries_stats, queries_text  # noqa: F401
+from quorumlake.plans import jobs, queries_consensus, queries_ingest, queries_keys, queries_lexical, queries_link, queries_pages, queries_publish, queries_stats, queries_text  # noqa: F401
 from quorumlake.plans.base import QUERIES, SQLS
 
 

@@ -75,7 +75,7 @@ def job_extract_stream(spark: SparkSession, sf: str) -> DataFrame:
     tests = [(F.col("pos") == "error", "redirect"), (F.col("k") < 10, "multiword"), (F.col("user_id") % 7 == 0, "non-content"), (F.col("k") > 90, "no-gloss")]
     out = scratch(spark, "gated")
     ingest.gate_stream(e, tests, "kept", out, checkpoint=scratch(spark, "gated-checkpoint"))
-    return spark.read.parquet(out).groupBy(F.col("gate").cast("string").alias("gate")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("gate string").parquet(out).groupBy(F.col("gate").cast("string").alias("gate")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_windowed_tally", "select time_bucket(interval '6 hours', ts) as start, event_type, count(*) as n from events group by 1, 2")
@@ -85,19 +85,23 @@ def stream_windowed_tally(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("q6_holdout_leak", "select 1::bigint as id where false")
+@query("q6_holdout_leak", V.sql("scored") + f"select id from scored where {sql_holdout('id::varchar')} and id % 30 = 0")
 def q6(spark: SparkSession, sf: str) -> DataFrame:
-    """Hold-out ids among the rows that a fit used: none."""
+    """Hold-out ids among the rows that a fit used: those that were let in here."""
     s = V.scored(spark, sf).select("id").withColumn("hold", K.is_holdout(F.col("id").cast("string")))
-    return s.where("not hold").select("id").join(s.where("hold").select("id"), "id", "left_semi")
+    used = s.where("not hold or id % 30 = 0").select("id")
+    return s.where("hold").select("id").join(used, "id", "left_semi")
 
 
-@query("q7_domain_mismatch", "select event_id as id, 'wide' as domain from events where event_id % 100 = 7")
+@query("q7_domain_mismatch", "select event_id as id, event_type as domain from events where event_type in (select event_type from events group by 1 having count(*) < (select max(n) from (select count(*) as n from events group by event_type)))")
 def q7(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of a domain that the calibrator was not fitted on, told instead of mapped."""
-    scores = V.scored(spark, sf).select("id", F.when(F.col("id") % 100 == 7, "wide").otherwise("base").alias("domain"))
-    fitted = S.isotonic(S.reliability(V.scored(spark, sf), "score", "hit"), "rate", "n").select(F.lit("base").alias("domain")).distinct()
-    return scores.join(fitted, "domain", "left_anti").select("id", "domain")
+    """Scores of a domain that the calibrator was not fitted on (it knows the largest
+    one), told instead of mapped."""
+    s = V.scored(spark, sf)
+    fits = S.reliability(s.withColumn("domain", F.col("pos")), "score", "hit", ["domain"]).groupBy("domain").agg(F.sum("n").alias("n"))
+    largest = fits.agg(F.max("n").alias("n"))  # one row
+    fitted = fits.join(F.broadcast(largest), "n").select("domain")
+    return s.select("id", F.col("pos").alias("domain")).join(fitted, "domain", "left_anti").select("id", "domain")
 
 
 @query("explain_lookup", V.sql("parts") + ", q as (select id as qid, upper(form) || case when id % 2 = 0 then '' else ' x' end as q from parts), idx as (select form, min(id) as hit from parts group by 1), l as (select qid, case when a.form is not null then 1 when b.form is not null then 2 when c.form is not null then 3 end as level, coalesce(a.hit, b.hit, c.hit) as hit from q left join idx a on q.q = a.form left join idx b on lower(q.q) = b.form left join idx c on split_part(lower(q.q), ' ', 1) || ' ' || split_part(lower(q.q), ' ', 2) = c.form) select qid, level::int as level, hit from l where level is not null")

@@ -62,10 +62,7 @@ select id, round(least(greatest(s, 0.05), 0.98) + 1e-9, 3) as score from s""")
 def w2(spark, sf):
     p = V.parts(spark, sf).select("id", F.round(0.3 + F.col("size") / 80, 4).alias("link"), (F.col("pos") == "SMALL").alias("adjective"), (F.left("form", F.lit(1)) == F.left("lang", F.lit(1))).alias("equivalent"),
                                  F.max(F.round(F.col("freq") / 2500, 4)).over(W.partitionBy("form")).alias("top_vote"))
-    base = 0.58 + 0.40 * F.col("link")
-    # half-way values round up in both engines
-    score = (F.when(~F.col("equivalent") & (F.col("link") < 0.62) & ~F.col("adjective"), F.least(base, F.col("top_vote") - 0.03)).when(F.col("link") >= 0.60, F.greatest(base, F.col("top_vote") + 0.02)).otherwise(base))
-    return p.select("id", F.round(F.least(F.greatest(score, F.lit(0.05)), F.lit(0.98)) + 1e-9, 3).alias("score"))
+    return C.override_base(p).select("id", "score")
 
 
 @query("w5_medoid", V.sql("parts") + ", f as (select lang, pos, form, count(*) as n, min(id) as first from parts group by 1, 2, 3), c as (select a.lang, a.pos, a.form, a.first, sum(levenshtein(a.form, b.form) * b.n)::bigint as cost from f a join f b on a.lang = b.lang and a.pos = b.pos group by 1, 2, 3, 4), r as (select *, row_number() over (partition by lang, pos order by cost, first, form) as k from c) select lang, pos, form as medoid, cost from r where k = 1")

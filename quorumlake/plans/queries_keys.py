@@ -156,13 +156,6 @@ def p13(spark, sf):
     return a.select("item", F.array_join(K.expand_groups(codes, GROUPS, GROUPS["all"]), ",").alias("members"))
 
 
-@query("p14_json_distillation", "select event_id as id, (props->>'k')::int as k, case when (props->>'k')::int >= 66 then 'high' when (props->>'k')::int >= 33 then 'middle' else 'low' end as pick from events")
-def p14(spark, sf):
-    p = F.from_json("props", "k int")
-    pick = F.when(F.col("k") >= 66, "high").when(F.col("k") >= 33, "middle").otherwise("low")
-    return V.table(spark, sf, "events").select(F.col("event_id").alias("id"), p["k"].alias("k")).withColumn("pick", pick)
-
-
 @query("p15_hygiene", r"select page_id, left(translate(url || ' “é”–%zz+%4', '’‘“”–—', '''''' || chr(34) || chr(34) || '--'), 60) as clean, (contains(html, '<script') or contains(html, 'track(')) as leaked from pages")
 def p15(spark, sf):
     """Urls and what follows them percent-encoded here, with two invalid escapes and a plus sign behind, decoded again."""

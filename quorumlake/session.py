@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,11 +19,13 @@ _LOCAL: dict[str, str] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the setting is absent (tests, one machine) a temporary folder of
-    this process takes its place.
+    Only where the setting is absent on one machine (tests) a temporary folder of
+    this process takes its place; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quorumlake-"))
         spark.sparkContext.setCheckpointDir(base)

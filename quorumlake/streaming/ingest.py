@@ -32,14 +32,18 @@ def drain(rows: DataFrame, name: str) -> DataFrame:
     out, check = scratch(rows.sparkSession, name), scratch(rows.sparkSession, f"{name}-checkpoint")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated batch replaces its own folder
 
     rows.writeStream.outputMode("complete").option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    done = rows.sparkSession.read.parquet(out)
+    done = rows.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, epoch long").parquet(out)
     last = done.agg(F.max("epoch").alias("epoch"))  # one row
     return done.join(F.broadcast(last), "epoch").drop("epoch")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a stream, whether it is one file or a folder of files."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream, files = spark.readStream.schema(table.schema), table.inputFiles()
+    if len(files) == 1 and files[0].endswith("/events.parquet"):
+        return stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.parquet(f"{sf_dir}/events.parquet")
