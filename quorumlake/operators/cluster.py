@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.session import written
+from quorumlake.session import discard, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -23,21 +23,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     e = written(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
                 .select(F.least(src, dst).alias("lo"), F.greatest(src, dst).alias("hi")).distinct(), "edges")
     total = None
-    while True:
-        if e.isEmpty():
-            break
+    while not e.isEmpty():
         roots = _jump(written(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")), "hooks"))
-        if total is None:
-            total = roots
-        else:
-            r = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            total = total.join(r, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-            total = written(total.unionByName(roots), "labels")
         lo = roots.select(F.col("node").alias("lo"), F.col("root").alias("rlo"))
         hi = roots.select(F.col("node").alias("hi"), F.col("root").alias("rhi"))
         n = (e.join(lo, "lo", "left").join(hi, "hi", "left")
              .select(F.coalesce("rlo", "lo").alias("a"), F.coalesce("rhi", "hi").alias("b")).where("a <> b"))
-        e = written(n.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+        left = written(n.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+        discard(e)
+        e = left
+        if total is None:
+            total = roots
+        else:
+            r = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            both = total.join(r, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(roots)
+            both = written(both, "labels")
+            discard(total, roots)
+            total = both
     if total is None:
         return e.select(F.col("lo").alias("node"), F.col("hi").alias("component"))
     low = total.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()
@@ -50,6 +52,7 @@ def _jump(parent: DataFrame) -> DataFrame:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
         step = written(parent.join(up, "root", "left")
                        .select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "jump")
-        if step.where("moved").isEmpty():
-            return step.select("node", "root")
+        discard(parent)
         parent = step.select("node", "root")
+        if step.where("moved").isEmpty():
+            return parent
