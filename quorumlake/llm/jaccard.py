@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.operators.cluster import connected_components
-from quorumlake.session import shuffle_partitions, written
+from quorumlake.session import discard, shuffle_partitions, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles counted at once; those seen fewer than FREQUENT_LEAST times of so many don't count as frequent.
@@ -567,8 +567,10 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     edges = members.join(maps, "set_id").repartition(parts, "key").mapInArrow(_route_edges(num, den), "a long, b long")
     clusters = connected_components(edges, "a", "b").where("node >= 0").select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
     near = written(_least(facts, id_col).where(F.col(id_col).isNotNull()).join(clusters, "set_id"), "near")
+    discard(clusters)
     sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     dealt = written(near.join(sizes, "cluster").select("set_id", id_col, "cluster", F.ceil(F.col("size") / CLUSTER_BLOCK).cast("int").alias("blocks")), "dealt")
+    discard(near)
 
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -584,8 +586,12 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                 .agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("cluster", F.col("top.label").alias("main")))
         rest = written(named.join(main, "cluster").select("set_id", id_col, "cluster", F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(everywhere).alias("places"), "label"), "rest")
         if not rest.isEmpty():
-            found = found.unionByName(_linked_within(base, rest, k, num, den, id_col, text, parts))
-            labels = connected_components(found, "a", "b").withColumnRenamed("node", "set_id")
+            more = _linked_within(base, rest, k, num, den, id_col, text, parts)
+            discard(labels)
+            labels = connected_components(found.unionByName(more), "a", "b").withColumnRenamed("node", "set_id")
+            discard(more)
+        discard(rest)
+    discard(found, dealt)
     # the least id of each set, then of each component of sets
     named = _least(facts, id_col).withColumnRenamed(id_col, "least").join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     low = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.session import scratch, written
+from quorumlake.session import discard, scratch, written
 
 # Header fields of ARC records, by version.
 ARC_FIELDS = {
@@ -291,7 +291,9 @@ def convert(spark: SparkSession, arc: str, warc: str, *, least: int = REVISIT_BY
                              F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))),
         line("Content-Type", F.col("mime")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
     _write_text(rows.select(F.concat(head.cast("binary"), block).alias("value")), warc, "\r\n\r\n")
-    return index.where("kind = 'error'").select("place", "uri", "reason")
+    errors = written(index.where("kind = 'error'").select("place", "uri", "reason"), "errors")
+    discard(index, revisits)
+    return errors
 
 
 READ = "key string, record_id string, record_type string, uri string, stamp string, refers_key string, digest string, payload_bytes long, payload binary"
