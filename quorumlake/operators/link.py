@@ -93,11 +93,24 @@ def strip_majority_prefix(rows: DataFrame, group: list[str], form: str, prefixes
     return out.withColumn(form, F.when(F.col("stripped"), F.substr(F.col(form), F.length(prefix) + 1)).otherwise(F.col(form))).drop("__i")
 
 
+def deletions(word: Column, most: int) -> Column:
+    """A word, and what is left of it without up to ``most`` of its characters."""
+    once = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    level = found = F.array(word)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, once)))
+        found = F.concat(found, level)
+    return F.array_distinct(found)
+
+
 def nearest_by_edit(queries: DataFrame, index: DataFrame, q: str, form: str, block_q: Column, block_i: Column, most: int = 2, keep: int = 3) -> DataFrame:
-    """(q, form, distance, k): forms of a query's block within ``most`` edits, the ``keep`` nearest."""
-    a = queries.select(q).distinct().withColumn("__b", block_q)
-    b = index.select(form).distinct().withColumn("__c", block_i)
-    met = a.join(b, (F.col("__b") == F.col("__c")) & (F.abs(F.length(q) - F.length(form)) <= most))
+    """(q, form, distance, k): forms of a query's block within ``most`` edits, the ``keep`` nearest.
+
+    Words within so many edits have a common rest after as many deletions, so they
+    meet in an equi-join on what deletions leave, and not on the block alone."""
+    a = queries.select(q).distinct().select(q, block_q.alias("__b"), F.explode(deletions(F.col(q), most)).alias("__d"))
+    b = index.select(form).distinct().select(form, block_i.alias("__c"), F.explode(deletions(F.col(form), most)).alias("__e"))
+    met = a.join(b, (F.col("__d") == F.col("__e")) & (F.col("__b") == F.col("__c"))).select(q, form).distinct()
     near = met.withColumn("distance", F.levenshtein(F.col(q), F.col(form), most)).where("distance >= 0")
     return near.withColumn("k", F.row_number().over(W.partitionBy(q).orderBy("distance", form))).where(F.col("k") <= keep).select(q, form, "distance", "k")
 

@@ -63,9 +63,13 @@ def absorb(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def greedy_suppress(df: DataFrame, group: str, order: list[str], id_col: str, toks: str) -> DataFrame:
     """(group, id) of rows kept: in order, a row goes if its tokens meet those of
-    a kept row; empty token sets never meet.  The fold holds one group at a time."""
+    a kept row; empty token sets never meet.  Of rows with equal tokens the first alone
+    can stay, so the fold holds a group's distinct token sets and not its rows."""
+    none = df.where(F.size(toks) == 0).select(group, id_col)
+    first = df.where(F.size(toks) > 0).groupBy(group, F.array_sort(F.array_distinct(toks)).alias("__set")).agg(F.min(F.struct(*order, id_col)).alias("__first"))
+    df = first.select(group, *[F.col(f"__first.{c}").alias(c) for c in order], F.col(f"__first.{id_col}").alias(id_col), F.col("__set").alias(toks))
     row = F.struct(*order, F.col(id_col).alias("__id"), F.col(toks).alias("__t"))
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(df.select(F.array(id_col).alias("x")).schema["x"].dataType).alias("kept"))
     fold = F.aggregate(F.array_sort(F.collect_list(row)), start, lambda a, x: F.when(F.arrays_overlap(a["seen"], x["__t"]), a).otherwise(
         F.struct(F.array_union(a["seen"], x["__t"]).alias("seen"), F.concat(a["kept"], F.array(x["__id"])).alias("kept"))))
-    return df.groupBy(group).agg(fold["kept"].alias("k")).select(group, F.explode("k").alias(id_col))
+    return df.groupBy(group).agg(fold["kept"].alias("k")).select(group, F.explode("k").alias(id_col)).unionByName(none)

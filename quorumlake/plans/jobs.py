@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from quorumlake.functions import keys as K
 from quorumlake.operators import consensus as C
+from quorumlake.operators import link as L
+from quorumlake.operators import lookup as LU
 from quorumlake.operators import stats as S
 from quorumlake.plans import views as V
 from quorumlake.plans.base import query
@@ -63,7 +65,8 @@ def job_check_text(spark: SparkSession, sf: str) -> DataFrame:
     u = words.join(known.withColumn("ok", F.lit(True)), "token", "left").withColumn("miss", F.col("ok").isNull())
     plain = ~F.col("token").rlike("[^a-z-]")
     m, k = u.where(F.col("miss") & plain).select("token").distinct(), known.where(plain).select(F.col("token").alias("hint"))
-    near = m.join(k, (F.left("token", F.lit(2)) == F.left("hint", F.lit(2))) & (F.abs(F.length("token") - F.length("hint")) <= 1)).where(F.levenshtein("token", "hint", 1) >= 0)
+    a, b = m.select("token", F.explode(L.deletions(F.col("token"), 1)).alias("d")), k.select("hint", F.explode(L.deletions(F.col("hint"), 1)).alias("d"))
+    near = a.join(b, "d").where((F.left("token", F.lit(2)) == F.left("hint", F.lit(2))) & (F.levenshtein("token", "hint", 1) >= 0))
     hints = near.groupBy("token").agg(F.min("hint").alias("hint"))
     return u.join(hints, "token", "left").groupBy("conv_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if("miss").alias("unknown"), F.count_if(F.col("miss") & F.col("hint").isNotNull()).alias("hinted"))
 
@@ -114,3 +117,54 @@ def explain_lookup(spark: SparkSession, sf: str) -> DataFrame:
                    F.struct(F.lit(3).alias("level"), F.array_join(F.slice(F.split(F.lower("q"), " "), 1, 2), " ").alias("key")))
     met = q.select("qid", F.explode(keys).alias("k")).select("qid", "k.level", "k.key").join(idx, "key")
     return met.groupBy("qid").agg(F.min(F.struct("level", "hit")).alias("x")).select("qid", "x.level", "x.hit")
+
+
+LADDER = V.sql("tok", "lex") + r""", idx as (select token as key, df >= 40 as verified from lex where length(token) >= 6),
+q as (select conv_id, turn, lower(text) as q from conversations where role = 'user'), w as (select conv_id, turn, q, regexp_extract_all(q, '\p{L}+(?:-\p{L}+)*') as t from q),
+k as (select conv_id, turn, 1 as level, q as key from w union all select conv_id, turn, 2, unnest(t) from w union all select conv_id, turn, 3, regexp_replace(unnest(t), 's$', '') from w),
+h as (select distinct conv_id, turn, level, verified from k join idx using (key)), s as (select conv_id, turn, min(case when verified then level end) as stop, min(level) as first from h group by 1, 2) """
+
+
+@query("job_lookup_batch", LADDER + "select case when stop is not null then 'verified' when first is not null then 'generated' else 'miss' end as class, coalesce(stop, first)::int as level, count(*) as queries from q left join s using (conv_id, turn) group by 1, 2")
+def job_lookup_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of queries through the fallback ladder (whole, words, words without a
+    plural ending), classed by the best hit."""
+    index = V.lexicon(spark, sf).where(F.length("token") >= 6).select(F.col("token").alias("key"), F.col("lang").alias("entry"), (F.col("df") >= 40).alias("verified"))
+    asked = V.table(spark, sf, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("qid"), F.lower("text").alias("q"))
+    words = K.tokens(F.col("q"))
+    levels = [(1, F.array("q")), (2, words), (3, F.transform(words, lambda w: F.regexp_replace(w, "s$", "")))]
+    hits = LU.ladder(asked, levels, index, "qid", "key", "entry", "verified").groupBy("qid").agg(F.bool_or("verified").alias("ok"), F.min(F.when(F.col("verified"), F.col("level"))).alias("stop"), F.min("level").alias("first"))
+    best = asked.select("qid").join(hits, "qid", "left")
+    found = F.when(F.col("ok"), "verified").when(F.col("first").isNotNull(), "generated").otherwise("miss")
+    return best.groupBy(found.alias("class"), F.coalesce("stop", "first").alias("level")).agg(F.count(F.lit(1)).alias("queries"))
+
+
+COVER = V.sql("att", "wt") + """, t as (select sum(wt) as total from wt), g as (select item, count(distinct source) as n, count(distinct branch) as b, sum(coalesce(wt, 0)) as w from att left join wt using (source) group by 1),
+c as (select *, case when n >= 5 and b >= 2 then 'High' when n >= 3 and b >= 2 then 'Medium' else 'Low' end as label from g) select label, b as branches, count(*) as items, round(avg(w / (select total from t)), 6) as population, max(n) as most_sources from c group by grouping sets ((label, b), (label), ()) """
+
+
+@query("job_coverage", COVER)
+def job_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage of items by sources, branches and population, by label and in all."""
+    w = V.weights(spark, sf)
+    total = w.agg(F.sum("wt").alias("total"))  # one row
+    g = V.attestations(spark, sf).join(w, "source", "left").groupBy("item").agg(F.count_distinct("source").alias("n"), F.count_distinct("branch").alias("branches"), F.sum(F.coalesce("wt", F.lit(0))).alias("w"))
+    c = g.join(F.broadcast(total), how="cross").withColumn("label", C.coverage_confidence(F.col("n"), F.col("branches"))[1])
+    return c.groupingSets([["label", "branches"], ["label"], []], "label", "branches").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg(F.col("w") / F.col("total")), 6).alias("population"), F.max("n").alias("most_sources"))
+
+
+FIT = V.sql("scored") + f""", s as (select *, {BIN} as bin, {sql_holdout('id::varchar')} as hold from scored), f as (select bin, avg(hit::int) as rate from s where not hold group by 1), h as (select s.score, s.hit::int as y, coalesce(f.rate, s.score) as p from s left join f using (bin) where hold),
+r as (select 'raw' as scale, score as p, y from h union all select 'fitted', p, y from h), b as (select scale, least(floor(least(greatest(p, 0), 1) * 10), 9)::int as bin, sum(p) as sp, sum(y) as sy, count(*) as n, sum((p - y) * (p - y)) as sq from r group by 1, 2)
+select scale, round(sum(abs(sp - sy)) / sum(n), 6) as ece, round(sum(sq) / sum(n), 6) as brier, sum(n)::bigint as rows from b group by 1"""
+
+
+@query("job_corpus_eval", FIT)
+def job_corpus_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """A calibration fitted on the rows that are not held out (rates of score bins), and
+    its error on the held-out ones beside that of the raw scores."""
+    s = V.scored(spark, sf).withColumn("bin", S.bin_of(F.col("score"))).withColumn("hold", K.is_holdout(F.col("id").cast("string")))
+    fit = s.where("not hold").groupBy("bin").agg(F.avg(F.col("hit").cast("int")).alias("rate"))
+    held = s.where("hold").join(fit, "bin", "left").select("hit", F.explode(F.array(F.struct(F.lit("raw").alias("scale"), F.col("score").alias("p")), F.struct(F.lit("fitted").alias("scale"), F.coalesce("rate", "score").alias("p")))).alias("x"))
+    y = F.col("hit").cast("int")
+    rows = held.select(y.alias("y"), "x.scale", "x.p").groupBy("scale", S.bin_of(F.col("p")).alias("bin")).agg(F.sum("p").alias("sp"), F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("sq"))
+    return rows.groupBy("scale").agg(F.round(F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("n"), 6).alias("ece"), F.round(F.sum("sq") / F.sum("n"), 6).alias("brier"), F.sum("n").alias("rows"))
