@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quorumlake.functions import cascade, keys as K
+from quorumlake.functions import cascade, keys as K, tags
 from quorumlake.plans import views as V
 from quorumlake.plans.base import query
 
@@ -119,12 +119,24 @@ def p9(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.explode(K.citation_forms(F.col("text"))).alias("form"))
 
 
-TAGS = [(r"ECONOMY|PROMO", "cheap"), (r"SMALL|MEDIUM", "handy"), (r"LARGE", "bulky")]
+# Tags and what they mean, written out by hand: (tag, class, gender, animate, plural only, singular only, indeclinable, aspect, valency).
+MEANT = [
+    ("m.", "noun", "masculine", 0, 0, 0, 0, None, None), ("m.anim.", "noun", "masculine", 1, 0, 0, 0, None, None), ("f.pl.", "noun", "feminine", 0, 1, 0, 0, None, None),
+    ("n.sg.", "noun", "neuter", 0, 0, 1, 0, None, None), ("f.indecl.", "noun", "feminine", 0, 0, 0, 1, None, None), ("m./f.", "noun", "masculine", 0, 0, 0, 0, None, None),
+    ("v.tr. ipf.", "verb", None, 0, 0, 0, 0, "ipf", "tr"), ("v.intr. pf.", "verb", None, 0, 0, 0, 0, "pf", "intr"), ("v.refl. ipf./pf.", "verb", None, 0, 0, 0, 0, "ipf/pf", "refl"),
+    ("verb", "verb", None, 0, 0, 0, 0, None, None), ("adj.", "adjective", None, 0, 0, 0, 0, None, None), ("adv.", "adverb", None, 0, 0, 0, 0, None, None), ("num.", "numeral", None, 0, 0, 0, 0, None, None),
+    ("pron.poss.", "pronoun", None, 0, 0, 0, 0, None, None), ("prep.", "preposition", None, 0, 0, 0, 0, None, None), ("postp", "preposition", None, 0, 0, 0, 0, None, None),
+    ("conj.", "conjunction", None, 0, 0, 0, 0, None, None), ("intj.", "interjection", None, 0, 0, 0, 0, None, None), ("particle", "particle", None, 0, 0, 0, 0, None, None),
+    (" Proper Noun ", "proper noun", None, 0, 0, 0, 0, None, None), ("name", "proper noun", None, 0, 0, 0, 0, None, None), ("prefix", "prefix", None, 0, 0, 0, 0, None, None),
+    ("suffix", "suffix", None, 0, 0, 0, 0, None, None), ("idiom", "phrase", None, 0, 0, 0, 0, None, None), ("", "other", None, 0, 0, 0, 0, None, None), ("xyz", "other", None, 0, 0, 0, 0, None, None),
+]
+SQL_MEANT = ", ".join(f"({i}, " + ", ".join("null" if x is None else f"'{x}'" if isinstance(x, str) else str(bool(x)).lower() for x in m) + ")" for i, m in enumerate(MEANT))
 
 
-@query("p10_tag_parsing", V.sql("parts") + "select id, case when regexp_matches(pos, 'ECONOMY|PROMO') then 'cheap' when regexp_matches(pos, 'SMALL|MEDIUM') then 'handy' when regexp_matches(pos, 'LARGE') then 'bulky' else 'other' end as label from parts")
+@query("p10_tag_parsing", V.sql("parts") + f", e(i, tag, label, gender, animate, plural_only, singular_only, indeclinable, aspect, valency) as (values {SQL_MEANT}) select id, tag, label, gender, animate, plural_only, singular_only, indeclinable, aspect, valency from parts join e on size % {len(MEANT)} = i")
 def p10(spark, sf):
-    return V.parts(spark, sf).select("id", K.first_of(F.col("pos"), TAGS, "other").alias("label"))
+    p = V.parts(spark, sf).select("id", F.element_at(F.array(*[F.lit(m[0]) for m in MEANT]), F.col("size") % len(MEANT) + 1).alias("tag"))
+    return p.select("id", "tag", tags.part_of_speech(F.col("tag")).alias("label"), tags.noun_traits(F.col("tag")).alias("n"), tags.verb_traits(F.col("tag")).alias("v")).select("id", "tag", "label", "n.*", "v.*")
 
 
 @query("p11_fnv_holdout", V.sql("scored") + f"select id, {sql_fnv('id::varchar')} as hash, ({sql_fnv('id::varchar')} % 64)::int as shard, {sql_holdout('id::varchar')} as holdout from scored")
@@ -163,9 +175,9 @@ def p15(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", K.hygiene(raw, 60).alias("clean"), F.col("html").rlike(r"<script|track\(").alias("leaked"))
 
 
-RULES = [cascade.Rule("drop-final-e", "e$", ""), cascade.Rule("th-to-t", "th", "t"), cascade.Rule("double-vowel", "oo|ee", "o", guard="oo|ee"), cascade.Rule("final-ing", "ing$", "in", guard="^.{5,}$")]
+RULES = [cascade.Rule("final-ing", "ing$", "in", guard="^.{5,}$", stage=2, unless="th-to-t"), cascade.Rule("drop-final-e", "e$", ""), cascade.Rule("th-to-t", "th", "t"), cascade.Rule("double-vowel", "oo|ee", "o", stage=1)]
 SQL_CASCADE = LEX + """, s1 as (select *, regexp_replace(token, 'e$', '') as a from lex), s2 as (select *, regexp_replace(a, 'th', 't', 'g') as b from s1),
-s3 as (select *, regexp_replace(b, 'oo|ee', 'o', 'g') as c from s2), s4 as (select *, case when length(c) >= 5 then regexp_replace(c, 'ing$', 'in') else c end as d from s3)"""
+s3 as (select *, regexp_replace(b, 'oo|ee', 'o', 'g') as c from s2), s4 as (select *, case when length(c) >= 5 and a = b then regexp_replace(c, 'ing$', 'in') else c end as d from s3)"""
 
 
 @query("p16_rewrite_cascade", SQL_CASCADE + " select lang, token, d as rewritten, ((token <> a)::int + (a <> b)::int + (b <> c)::int + (c <> d)::int) as steps from s4")

@@ -2,11 +2,14 @@
 
 import json
 import math
+from itertools import combinations
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from quorumlake.functions import cascade
 from quorumlake.functions import distill as D
 from quorumlake.functions import keys as K
 from quorumlake.operators import consensus, link, publish, stats
@@ -139,3 +142,32 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         scratch(Session(), "x")
+
+
+def test_stages_and_blocking_rules(spark):
+    df = spark.createDataFrame([("thing",), ("king",), ("ing",), ("seeing",)], "w string")
+    rules = [cascade.Rule("end", "ing$", "in", stage=1, guard="^.{4,}$", unless="th"), cascade.Rule("th", "th", "t"), cascade.Rule("ee", "ee", "i")]
+    got = {r["w"]: (r["rewritten"], [s["id"] for s in r["trace"]]) for r in cascade.apply_cascade(df, "w", rules).collect()}
+    assert got == {"thing": ("ting", ["th"]), "king": ("kin", ["end"]), "ing": ("ing", []), "seeing": ("siin", ["ee", "end"])}
+    with pytest.raises(ValueError):
+        cascade.apply_cascade(df, "w", [cascade.Rule("a", "x", "y", unless="b"), cascade.Rule("b", "x", "y")])
+
+
+def test_tables_with_tabs_and_stale_caches(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text('id\tname\n1\t"two\nlines, and a ""quote"""\n2\tplain, with commas\n\t\n')
+    (tmp_path / "c.csv").write_text("id,name\n1,a\n")
+    t = scans.official_table(spark, str(tmp_path / "t.tsv"), StructType.fromDDL("id int, name string"))
+    assert sorted(tuple(r) for r in t.collect()) == [(1, 'two\nlines, and a "quote"'), (2, "plain, with commas")]
+    assert scans.official_table(spark, str(tmp_path / "c.csv"), StructType.fromDDL("id int, name string")).collect()[0]["name"] == "a"
+    path = scans.write_versioned(spark.range(3), "numbers", 2)
+    assert scans.read_versioned(spark, path, "numbers", 2).count() == 3
+    for name, version in (("numbers", 3), ("letters", 2)):
+        with pytest.raises(ValueError):
+            scans.read_versioned(spark, path, name, version)
+
+
+@pytest.mark.parametrize("a,b", [("kitten", "sitting"), ("abc", "abc"), ("", "ab"), ("ab", "ba"), ("abcd", "badc"), ("x", "abc")])
+def test_near_words_share_what_deletions_leave(spark, a, b):
+    r = spark.createDataFrame([(a, b)], "a string, b string").select(F.arrays_overlap(link.deletions(F.col("a"), 2), link.deletions(F.col("b"), 2)).alias("met"), F.levenshtein("a", "b").alias("d"), link.deletions(F.col("a"), 2).alias("x")).first()
+    assert r["met"] or r["d"] > 2
+    assert set(r["x"]) == {"".join(c) for n in range(max(0, len(a) - 2), len(a) + 1) for c in combinations(a, n)}
