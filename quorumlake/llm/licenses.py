@@ -75,14 +75,28 @@ def full_texts() -> list[tuple[str, str]]:
 NOTICE, STRICT_NOTICE = r"copyright|\(c\)|©", r"copyright[ \t]*(?:\(c\)|©|[0-9<\[])|\(c\)|©"
 
 
-def canonical(text: Column, notice: str = NOTICE) -> Column:
+def respelt(text: Column) -> Column:
+    """Whether a text holds a word, or the rarer one of several, that has another
+    spelling; texts that do not, nearly all, need no replacements."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    marks = sorted({max(found.split(" "), key=lambda w: w != "copyright" and len(w)) for found, _ in SPELLINGS})
+    least = [m for m in marks if not any(o != m and o in m for o in marks)]  # a word within others stands for them
+    out = F.lit(False)
+    for m in least:
+        out = out | F.contains(low, F.lit(m))
+    return out
+
+
+def canonical(text: Column, notice: str = NOTICE, odd: Column | None = None) -> Column:
     """Canonical form: copyright lines go, A-Z are lower-cased, every run of
     ASCII characters other than letters and digits is one blank, and equivalent
-    spellings become one.  Other characters stay as they are."""
+    spellings become one (odd: whether the text has any; by default they are looked for).
+    Other characters stay as they are."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?im)^[ \t]*({notice})[^\n]*$", "")
     t = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     t = F.regexp_replace(t, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ")
-    return F.trim(_respelled(F.concat(F.lit(" "), t, F.lit(" ")), lambda x, a, b: F.replace(x, F.lit(a), F.lit(b))))
+    one = _respelled(F.concat(F.lit(" "), t, F.lit(" ")), lambda x, a, b: F.replace(x, F.lit(a), F.lit(b)))
+    return F.trim(one if odd is None else F.when(odd, one).otherwise(t))
 
 
 def _respelled(t, replaced):
@@ -94,10 +108,10 @@ def _respelled(t, replaced):
     return t
 
 
-def _blocks(text: Column) -> Column:
+def _blocks(text: Column, odd: Column | None = None) -> Column:
     """Canonical forms of the blocks between blank lines, without empty ones;
     sentences may be wrapped anywhere."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n(?:[ \t\r\f]*\n)+"), lambda x: canonical(x, STRICT_NOTICE)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n(?:[ \t\r\f]*\n)+"), lambda x: canonical(x, STRICT_NOTICE, odd)), lambda x: x != "")
 
 
 def _runs(blocks: Column, n: int) -> Column:
@@ -126,9 +140,10 @@ def scan_licences(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id
     if licences.count() <= BROADCAST_LICENCES:
         licences = F.broadcast(licences)
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias("__text"), F.monotonically_increasing_id().alias("__row"))
-    form = canonical(F.col("__text"))
-    lines = F.filter(F.array_distinct(F.transform(F.split(F.coalesce("__text", F.lit("")), "\n"), canonical)), lambda x: x != "")
-    split = rows.withColumn("__lines", lines).withColumn("__blocks", F.when(F.contains("__text", F.lit("\n")), _blocks(F.col("__text"))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("__odd", respelt(F.col("__text")))
+    form = canonical(F.col("__text"), odd=F.col("__odd"))
+    lines = F.filter(F.array_distinct(F.transform(F.split(F.coalesce("__text", F.lit("")), "\n"), lambda x: canonical(x, odd=F.col("__odd")))), lambda x: x != "")
+    split = rows.withColumn("__lines", lines).withColumn("__blocks", F.when(F.contains("__text", F.lit("\n")), _blocks(F.col("__text"), F.col("__odd"))).otherwise(F.array().cast("array<string>")))
     runs = [_runs(F.col("__blocks"), n) for n in lengths]
     digests = F.transform(F.array_distinct(F.concat("__lines", *runs)), lambda x: F.sha2(x, 256))
     units = split.select(id_col, "__row", F.sha2(form, 256).alias("text_digest"), digests.alias("__units"))

@@ -28,3 +28,16 @@ def test_full_texts_and_wrapped_blocks(spark):
         assert got[i][0] == name and got[len(known) + i][0] is None
         assert name in got[i][1].split(",") and name in got[len(known) + i][1].split(",")
     assert got[2 * len(known)] == (None, "ISC") and got[2 * len(known) + 1] == (None, "")
+
+
+def test_spellings_are_of_whole_words_and_gated_alike(spark):
+    rows = [("A Licence, a licence licence. Programmer's sub-licence", "a license a license license programmer s sublicense"), ("per-cent of the copyright\nowner: HTTP://x", "percent of the copyright holder https x"), ("plain text", "plain text"),
+            ("copyright (c) me\nWhilst organisations favour", "while organizations favor"), (None, ""), ("", ""), ("sub\n license", "sublicense"), ("favoured licences", "favoured licenses")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    got = df.select("want", licenses.canonical(df.t).alias("a"), licenses.canonical(df.t, odd=licenses.respelt(df.t)).alias("b")).collect()
+    assert all(r["a"] == r["b"] == r["want"] for r in got)
+
+
+def test_copyright_lines_of_single_lines_go(spark):
+    text = "Copyright 2020 A. Holder\nReleased under the MIT licence.\nnothing"
+    assert found(spark, [text, "x\n" + text])[1] == (None, "MIT")
