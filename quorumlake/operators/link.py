@@ -56,8 +56,10 @@ def met_kinds(left: DataFrame, right: DataFrame) -> DataFrame:
     least id, so a token that many rows have meets as often as it has kinds of rows."""
     a = left.groupBy(*LEFT).agg(F.min("id").alias("lid"))
     b = right.groupBy(*RIGHT).agg(F.min("rid").alias("rid"))
-    a, b = a.select("*", F.explode(F.array_distinct("toks")).alias("t")), b.select("*", F.explode(F.array_distinct("rtoks")).alias("t"))
-    return a.join(b, (a["t"] == b["t"]) & (F.col("pos") == F.col("rpos"))).drop("t").distinct()
+    a, b = a.select("*", F.explode(F.array_distinct("toks")).alias("t")), b.select("*", F.explode(F.array_distinct("rtoks")).alias("rt"))
+    # kinds that share several tokens count where they meet on the first of them
+    first = F.element_at(F.array_intersect("toks", "rtoks"), 1)
+    return a.join(b, (F.col("t") == F.col("rt")) & (F.col("pos") == F.col("rpos"))).where(F.col("t") == first).drop("t", "rt")
 
 
 def shared_tokens() -> Column:
