@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlake.llm import image_copies, jaccard, licenses, mips, mixing, piece_bpe, shards, toxicity, url_filter, warc
+from quorumlake.llm import chats, image_copies, jaccard, licenses, mips, mixing, periodic, piece_bpe, shards, spelling, toxicity, url_filter, warc
 
 # The rules that the url query applies.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -51,8 +51,11 @@ def queries() -> dict:
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_shards": shards.op9_shards,
         "op10_licenses": licenses.op10_licenses,
+        "op11_chats": chats.op11_chats,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc": warc.SQL, "op3_mix_sources": mixing.SQL, "op4_url_filter": OP4_SQL, "op10_licenses": licenses.SQL}
+    return {"op1_warc": warc.SQL, "op3_mix_sources": mixing.SQL, "op4_url_filter": OP4_SQL, "op10_licenses": licenses.SQL, "op11_chats": chats.SQL}
