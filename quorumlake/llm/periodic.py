@@ -231,7 +231,8 @@ def find_runs(symbols: np.ndarray, min_length: int = 2) -> tuple[np.ndarray, np.
 
 # ---- texts ----------------------------------------------------------------------
 
-SCHEMA = "n_words long, n_runs long, start long, length long, period long, runs array<struct<start:long,length:long,period:long>>, collapsed string"
+LONGEST = "n_words long, n_runs long, start long, length long, period long"
+WHOLE, DIGESTS = "runs array<struct<start:long,length:long,period:long>>, collapsed string", "runs_sha256 string, collapsed_sha256 string"
 
 
 def repetition_runs(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_length: int = 12,
@@ -244,8 +245,7 @@ def repetition_runs(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     collapsed text, as runs_sha256 and collapsed_sha256, in place of the two.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    tail = "runs_sha256 string, collapsed_sha256 string" if digests else SCHEMA.partition("period long, ")[2]
-    schema = f"id {source.schema['id'].dataType.simpleString()}, {SCHEMA.partition('runs ')[0]}{tail}"
+    schema = f"id {source.schema['id'].dataType.simpleString()}, {LONGEST}, {DIGESTS if digests else WHOLE}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
