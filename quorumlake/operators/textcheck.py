@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quorumlake.session import discard, written
+
 
 def parse_features(cell: Column) -> Column:
     """array<struct<kind, number, gender>> of readings such as ``gen.1.m / dat.2.f``."""
@@ -27,8 +29,8 @@ def longest_matches(words: DataFrame, phrases: DataFrame, unit: list[str], most:
     """(unit, pos, n, phrase): greedy longest matches of phrases (phrase, n) in
     texts (unit, pos, token), three words down to one, each word used once.
 
-    Spans meet the index in an equi-join; the greedy choice is a fold over the
-    matched positions of one text.
+    Spans meet the index in an equi-join; the greedy choice follows pointers from
+    match to match (``_taken``), so no text is gathered in a row.
     """
     w = W.partitionBy(*unit).orderBy("pos")
     spans = words
@@ -41,11 +43,34 @@ def longest_matches(words: DataFrame, phrases: DataFrame, unit: list[str], most:
     met = (spans.select(*unit, "pos", F.explode(F.array(*forms)).alias("s")).select(*unit, "pos", "s.n", "s.phrase").where("phrase is not null")
            .join(phrases.select("phrase").distinct(), "phrase", "left_semi"))
     best = met.groupBy(*unit, "pos").agg(F.max_by("phrase", "n").alias("phrase"), F.max("n").alias("n"))
-    kind = "array<struct<pos:int,n:int,phrase:string>>"
-    empty = F.struct(F.lit(-1).alias("end"), F.array().cast(kind).alias("out"))
-    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("pos", "n", "phrase"))), empty, lambda a, x: F.when(
-        x["pos"] >= a["end"], F.struct((x["pos"] + x["n"]).alias("end"), F.concat(a["out"], F.array(x).cast(kind)).alias("out"))).otherwise(a))
-    return best.groupBy(*unit).agg(fold["out"].alias("o")).select(*unit, F.inline("o"))
+    return best.join(_taken(best, unit, most), [*unit, "pos"], "left_semi").select(*unit, "pos", "n", "phrase")
+
+
+def _taken(best: DataFrame, unit: list[str], most: int) -> DataFrame:
+    """(unit, pos) of the matches that a walk from the left takes.
+
+    A match that none before it reaches is taken.  Every match points to the next one
+    behind its end; which of them the taken ones lead to is found by doubling the
+    pointers, so a stretch of n overlapping matches takes log n joins on (unit, pos).
+    """
+    w = W.partitionBy(*unit).orderBy("pos")
+    reach = F.max(F.col("pos") + F.col("n")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    # of the next ``most`` matches one is behind the end
+    behind = F.coalesce(*[F.when(F.lead("pos", i).over(w) >= F.col("pos") + F.col("n"), F.lead("pos", i).over(w)) for i in range(1, most + 1)])
+    rows = best.select(*unit, "pos", (reach.isNull() | (reach <= F.col("pos"))).alias("head"), behind.alias("next"))
+    rows = written(rows, "matches")
+    heads = rows.where("head").select(*unit, F.col("pos").alias("next"))
+    jumps = written(rows.where("next is not null").join(heads, [*unit, "next"], "left_anti").select(*unit, "pos", "next"), "jumps")
+    taken = rows.where("head").select(*unit, "pos")
+    old = [rows]
+    while not jumps.isEmpty():
+        more = taken.join(jumps, [*unit, "pos"]).select(*unit, F.col("next").alias("pos"))
+        taken = written(taken.unionByName(more), "taken")
+        longer = written(jumps.join(jumps.select(*unit, F.col("pos").alias("next"), F.col("next").alias("after")), [*unit, "next"]).select(*unit, "pos", F.col("after").alias("next")), "jumps")
+        discard(jumps, *old)
+        jumps, old = longer, [taken]
+    discard(jumps)
+    return taken
 
 
 def adjacent_violations(words: DataFrame, unit: list[str], pair_rule: Column) -> DataFrame:
@@ -59,17 +84,3 @@ def absorb(df: DataFrame, key: str, value: str) -> DataFrame:
     """The value of each key; unknown (a blank) where values conflict."""
     g = df.groupBy(key).agg(F.count_distinct(value).alias("n"), F.min(value).alias("v"))
     return g.select(key, F.when(F.col("n") == 1, F.col("v")).otherwise(F.lit(" ")).alias(value))
-
-
-def greedy_suppress(df: DataFrame, group: str, order: list[str], id_col: str, toks: str) -> DataFrame:
-    """(group, id) of rows kept: in order, a row goes if its tokens meet those of
-    a kept row; empty token sets never meet.  Of rows with equal tokens the first alone
-    can stay, so the fold holds a group's distinct token sets and not its rows."""
-    none = df.where(F.size(toks) == 0).select(group, id_col)
-    first = df.where(F.size(toks) > 0).groupBy(group, F.array_sort(F.array_distinct(toks)).alias("__set")).agg(F.min(F.struct(*order, id_col)).alias("__first"))
-    df = first.select(group, *[F.col(f"__first.{c}").alias(c) for c in order], F.col(f"__first.{id_col}").alias(id_col), F.col("__set").alias(toks))
-    row = F.struct(*order, F.col(id_col).alias("__id"), F.col(toks).alias("__t"))
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(df.select(F.array(id_col).alias("x")).schema["x"].dataType).alias("kept"))
-    fold = F.aggregate(F.array_sort(F.collect_list(row)), start, lambda a, x: F.when(F.arrays_overlap(a["seen"], x["__t"]), a).otherwise(
-        F.struct(F.array_union(a["seen"], x["__t"]).alias("seen"), F.concat(a["kept"], F.array(x["__id"])).alias("kept"))))
-    return df.groupBy(group).agg(fold["kept"].alias("k")).select(group, F.explode("k").alias(id_col)).unionByName(none)

@@ -9,6 +9,7 @@ from quorumlake.functions import keys as K
 from quorumlake.operators import lookup as LU
 from quorumlake.operators import quality as Q
 from quorumlake.operators import textcheck as T
+from quorumlake.operators import walks
 from quorumlake.plans import views as V
 from quorumlake.plans.base import query
 
@@ -108,7 +109,7 @@ def a21(spark, sf):
 s(g, k, id, keep, seen) as (select g, k, id, true, string_split(form, ' ') from r where k = 1 union all select r.g, r.k, r.id, not list_has_any(s.seen, string_split(r.form, ' ')), case when list_has_any(s.seen, string_split(r.form, ' ')) then s.seen else list_concat(s.seen, string_split(r.form, ' ')) end from s join r on r.g = s.g and r.k = s.k + 1) select g, id from s where keep""")
 def w8(spark, sf):
     p = V.parts(spark, sf).select("id", F.concat("pos", "lang", "size").alias("g"), (-F.col("freq")).alias("nf"), F.split("form", " ").alias("toks"))
-    return T.greedy_suppress(p, "g", ["nf"], "id", "toks")
+    return walks.greedy_suppress(p, "g", ["nf"], "id", "toks")
 
 
 @query("a26_ranked_index", P + ", k as (select unnest([form, split_part(form, ' ', 1), split_part(form, ' ', 2)]) as skey, unnest([120, 100, 80]) as m, id, case when size > 40 then 300 when size > 20 then 280 else 100 end as st, round(10 * (freq / 2500)) as p from parts), b as (select skey, id, max(st + m + p)::int as rank from k group by 1, 2), r as (select *, row_number() over (partition by skey order by rank desc, id) as place from b) select skey, id, rank, place::int as place from r where place <= 10")

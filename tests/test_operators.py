@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumlake.functions import cascade, keys as K
-from quorumlake.operators import consensus, graph, link, stats, textcheck
+from quorumlake.operators import consensus, graph, link, stats, textcheck, walks
 from quorumlake.operators.cluster import connected_components
 
 
@@ -102,7 +102,7 @@ def test_sign_test(spark):
 
 def test_empty_token_sets_never_suppress(spark):
     df = spark.createDataFrame([(1, 1, 1, []), (1, 2, 2, []), (1, 3, 3, ["a"]), (1, 4, 4, ["a", "b"]), (1, 5, 5, ["b"])], "g int, o int, id long, t array<string>")
-    assert sorted(r["id"] for r in textcheck.greedy_suppress(df, "g", ["o"], "id", "t").collect()) == [1, 2, 3, 5]
+    assert sorted(r["id"] for r in walks.greedy_suppress(df, "g", ["o"], "id", "t").collect()) == [1, 2, 3, 5]
 
 
 def test_components(spark):
