@@ -4,7 +4,7 @@ Of a pair of forms with scores (first, second, first_score, second_score) that d
 belong together, the weaker is made anew from the stronger by the rules of an
 inventory.  Each option costs the normalised edit distance to the form that it
 replaces, plus that form's score; the cheapest wins, then the rule's name, then its
-place.  An inventory has a digest, so a report can refuse one that has drifted.
+place; a missing form counts as distance 1.  An inventory has a digest, so a report can refuse one that has drifted.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def repair(pairs: DataFrame, inventory: Inventory, use: tuple[str, ...], first:
     if not use:
         return pairs.select("*", a.alias("fixed_first"), b.alias("fixed_second"), F.lit("independent-baseline").alias("rule"))
     held = F.coalesce(F.col(first_score), F.lit(0.0)) >= F.coalesce(F.col(second_score), F.lit(0.0))  # the first is the stronger
-    cost = lambda form, old, score: F.round(K.normalized_edit_distance(form, old) + F.greatest(F.coalesce(F.col(score), F.lit(0.0)), F.lit(0.0)), 6)
+    cost = lambda form, old, score: F.round(F.coalesce(K.normalized_edit_distance(form, old), F.lit(1.0)) + F.greatest(F.coalesce(F.col(score), F.lit(0.0)), F.lit(0.0)), 6)
     option = lambda price, rule, place, x, y: F.struct(price.alias("cost"), rule.alias("rule"), place.alias("place"), x.alias("x"), y.alias("y"))
     numbered = [(i, r) for i, r in enumerate(inventory.rules) if r.level in use]
     of_first = F.transform(F.filter(_choices([n for n in numbered if n[1].makes == "first"], b), lambda c: ~held & belong(c["form"], b)), lambda c: option(cost(c["form"], a, first_score), c["rule"], c["place"], c["form"], b))

@@ -26,7 +26,7 @@ CASES = [
     ("kazyvytj", "kazati", 0.2, 0.8, ("kazyvytj", "kazati", "independent-roots-agree"), None),
     ("dělyvyt", "zadělypap", 0.8, 0.2, ("dělyvyt", "zadělyvyt", "prefix-perfectivization"), None),
     ("kalkulavac", "viličic", 0.8, 0.2, ("kalkulavac", "viličic", "unrepaired"), None),  # what is left of the prefix is too far
-    (None, "pisati", None, 0.2, (None, "pisati", "unrepaired"), None),
+    (None, "pisati", None, 0.2, (None, "pisati", "unrepaired"), ("pisavati", "pisati", "secondary-ipf-avati")),
     ("", "", 0.0, 0.0, ("", "", "independent-roots-agree"), None),
 ]
 
