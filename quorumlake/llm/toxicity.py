@@ -1,18 +1,25 @@
 """Toxicity from a subsequence string kernel.
 
-Words are compared by the gap-weighted subsequence kernel, normalised and raised
-to a power (which is a kernel again), so that insults with gaps or inserted
-characters still come close.  A text's kernel with a string is that of its
-closest word; the Nyström rule maps the values with the landmarks by the inverse
-root of the landmarks' own Gram matrix, and the mapped text feeds a linear support
-vector machine with a logistic link.  Landmarks and weights come from a bounded
-sample of labelled rows; scoring is one pass over all rows with no shuffle.
+Words are compared by the gap-weighted subsequence kernel, normalised, so that insults
+with gaps, inserted, doubled or missing characters still come close.  The Nyström rule
+maps a word's kernel values with the landmarks, insults and the clean words most like
+them, by the inverse root of the landmarks' own Gram matrix, and a linear support
+vector machine decides on the mapped word.  It is a machine of many instances: a text
+is as toxic as its most toxic word, clean texts give only clean words, and the words
+that tell toxic texts are found with the machine, in rounds.  Altered copies of them
+(a letter put in, doubled, left out, or others between all) stand beside them in the
+fit.  A logistic link makes probabilities.  A word that has not all characters of an
+insult in order, or all but one, is no witness.
+
+Landmarks and weights come from a bounded sample of labelled rows; scoring is one pass
+over all rows with no shuffle.
 
 Defined results: null and empty texts are scored like a text without words;
-ids, language and source are no inputs; repeated rows get equal scores; without
-labelled rows of both classes every score is 0; an empty table gives no rows.  Words
-of any length count (long ones in overlapping windows), texts are read whole.
-Other columns are kept as they are; a column with the name of the score is replaced.
+ids, language and source are no inputs; repeated rows get equal scores; a null id is
+not held out; without labelled rows of both classes every score is 0; an empty table
+gives no rows.  Words of any length count (long ones in overlapping windows), texts are
+read whole.  Other columns are kept as they are; a column with the name of the score is
+replaced.
 """
 
 from __future__ import annotations
@@ -27,15 +34,29 @@ from pyspark.sql import functions as F
 
 from quorumlake.llm.mixing import free_name
 
-#: Characters of a common subsequence, weight of each step that it spans, and power of the normalised kernel.
-ORDER, DECAY, POWER = 3, 0.7, 8
-#: Landmarks, and cost of a margin's loss.
-LANDMARKS, COST = 48, 0.1
+#: Characters of a common subsequence.
+ORDER = 3
+#: Kernels: weight of each step that a subsequence spans, and for each number of its characters the shares of a
+#: word's own kernel that its values are divided by.  The first likes letters side by side, the others letters
+#: apart; with a small share what stands between them does not count against a word.
+KERNELS = ((0.6, {3: (1.0,)}), (0.95, {3: (0.3,), 4: (1.0, 0.3)}))
+#: Words whose kernels are summed at once.
+BLOCK_WORDS = 64
+#: Insults, clean words beside them as landmarks, and cost of a margin's loss.
+LANDMARKS, COUNTER, COST = 48, 48, 300.0
+#: Margin of a text without a witness.
+FLOOR = -2.0
 WINDOW, STRIDE = 32, 16
+#: Weight of a word's altered copies beside its own.
+COPIES = 8.0
+#: Share of the toxic texts that have a word, if its altered copies count.
+COPY_SHARE = 0.03
+#: Weight of clean texts, beside their share, in the logistic link.
+STRICT = 0.3
 #: A worker's words are forgotten beyond so many.
 CACHE_WORDS = 200_000
-#: Bounds of the sample that the classifier is fitted on: rows of each class, and bytes of a text in it (64 MB in all).
-TRAIN_ROWS, TRAIN_TEXT_BYTES = 2000, 16_000
+#: Bounds of the sample that the classifier is fitted on: rows of each class, and bytes of a text in it (96 MB in all).
+TRAIN_ROWS, TRAIN_TEXT_BYTES = 3000, 16_000
 
 def plain(word: str) -> str:
     """A lower-case word's letters and digits."""
@@ -48,27 +69,51 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return flat.reshape(len(words), width)
 
 
-def subsequence_kernel(words: np.ndarray, others: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted subsequence kernel of padded words with one other string, or
-    each with its own, over common subsequences of ``order`` characters."""
-    n, m = len(words), others.shape[1]
+def subsequence_kernels(words: np.ndarray, others: np.ndarray, orders: tuple[int, ...], decay: float) -> list[np.ndarray]:
+    """Gap-weighted subsequence kernels of padded words with padded other strings, all
+    with all, over common subsequences of so many characters each."""
+    n, width, m, top = len(words), others.shape[1], len(others), max(orders)
     one = np.float32(decay)
-    prime = np.zeros((order, m + 1, n), np.float32)  # sums over subsequences, by length and beginning of the other
+    out = [np.zeros((n, m), np.float32) for _ in orders]
+    letters = np.where(others > 0, others, np.uint32(0xFFFFFFFF)).T
+    for begin in range(0, n, BLOCK_WORDS):
+        part = words[begin:begin + BLOCK_WORDS]
+        # sums over subsequences, by their length and the beginning of the other string
+        prime = np.zeros((top, width + 1, len(part), m), np.float32)
+        prime[0] = 1
+        for p in range(part.shape[1]):
+            x = part[:, p]
+            if not x.any():
+                break
+            same = (x[None, :, None] == letters[:, None, :]).astype(np.float32) * (one * one)
+            for k, order in enumerate(orders):
+                out[k][begin:begin + BLOCK_WORDS] += np.einsum("jnm,jnm->nm", same, prime[order - 1, :width])
+            for i in range(top - 1, 0, -1):
+                step = same * prime[i - 1, :width]
+                for j in range(1, width):
+                    step[j] += one * step[j - 1]
+                prime[i, 1:] *= one
+                prime[i, 1:] += step
+    return out
+
+
+def own_kernels(words: np.ndarray, orders: tuple[int, ...], decay: float) -> list[np.ndarray]:
+    """The kernels of padded words each with itself."""
+    n, width, top = len(words), words.shape[1], max(orders)
+    one = np.float32(decay)
+    out = [np.zeros(n, np.float32) for _ in orders]
+    prime = np.zeros((top, width + 1, n), np.float32)
     prime[0] = 1
-    total = np.zeros(n, np.float32)
-    for p in range(words.shape[1]):
-        x = words[:, p]
-        if not x.any():
-            break
-        same = [((x == others[:, j]) & (x > 0)).astype(np.float32) * (one * one) for j in range(m)]
-        for j in range(m):
-            total += same[j] * prime[order - 1, j]
-        for i in range(order - 1, 0, -1):
-            run = np.zeros(n, np.float32)
-            for j in range(m):
-                run = one * run + same[j] * prime[i - 1, j]
-                prime[i, j + 1] = one * prime[i, j + 1] + run
-    return total
+    for p in range(width):
+        same = ((words[:, p] == words.T) & (words.T > 0)).astype(np.float32) * (one * one)
+        for k, order in enumerate(orders):
+            out[k] += (same * prime[order - 1, :width]).sum(axis=0)
+        for i in range(top - 1, 0, -1):
+            step = same * prime[i - 1, :width]
+            for j in range(1, width):
+                step[j] += one * step[j - 1]
+            prime[i, 1:] = one * prime[i, 1:] + step
+    return out
 
 
 def common_in_order(words: np.ndarray, landmark: str) -> np.ndarray:
@@ -89,86 +134,92 @@ def common_in_order(words: np.ndarray, landmark: str) -> np.ndarray:
 
 
 class Landmarks:
-    """Kernel values of words with the landmarks; words met before are kept."""
-
-    def __init__(self, landmarks: list[str]):
-        self.z = landmarks
-        codes = _codes(landmarks, max(map(len, landmarks)))
-        self.codes = [codes[j:j + 1, :len(z)] for j, z in enumerate(landmarks)]
-        self.own = subsequence_kernel(codes, codes)
-        values, vectors = np.linalg.eigh(self.kernel(codes))
-        keep = values > 1e-6
-        self.root = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
+    """The map of words by their kernel values with the landmarks, of which the first
+    are insults; words met before are kept."""
+
+    def __init__(self, insults: list[str], clean: list[str] | None = None):
+        self.insults = insults
+        self.z = [*insults, *(clean or [])]
+        self.codes = _codes(self.z, max(map(len, self.z)))
+        self.own = [[np.maximum(k, 1e-12) for k in own_kernels(self.codes, tuple(by), decay)] for decay, by in KERNELS]
+        self.root = []
+        for gram in self.kernel(self.codes):
+            values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+            keep = values > 1e-6 * values.max()
+            self.root.append(vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T)
+        self.w, self.bias = np.zeros(sum(r.shape[1] for r in self.root)), FLOOR
         self._forget()
 
     def _forget(self) -> None:
-        #: word: -1 if its kernel with all landmarks is zero, -2 if a single character, else its row
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.z)), np.float32)
-        self.used = 0
-
-    def kernel(self, codes: np.ndarray) -> np.ndarray:
-        """The normalised kernel, raised to POWER, of padded words with each
-        landmark; where no subsequence of ORDER characters is common it is zero."""
-        out, own = np.zeros((len(codes), len(self.z))), np.zeros(len(codes))
+        #: word: its margin; NaN if it is no witness, -inf if a single character
+        self.known: dict[str, float] = {}
+
+    def decide(self, w: np.ndarray, bias: float) -> None:
+        """Use these weights from now on."""
+        self.w, self.bias = w, bias
+        self._forget()
+
+    def kernel(self, codes: np.ndarray) -> list[np.ndarray]:
+        """The kernels of padded words with each landmark, scaled so that a landmark's with itself is of the order of 1."""
+        out = []
+        for (decay, by), mine in zip(KERNELS, self.own):
+            raw, own = subsequence_kernels(codes, self.codes, tuple(by), decay), own_kernels(codes, tuple(by), decay)
+            for r, o, z, shares in zip(raw, own, mine, by.values()):
+                for share in shares:
+                    typical = np.exp(np.log(z.astype(np.float64)).mean()) ** (1 - share)
+                    out.append(r / (np.maximum(o, 1e-12)[:, None] * z).astype(np.float64) ** (share / 2) / typical)
+        return out
+
+    def features(self, codes: np.ndarray) -> np.ndarray:
+        return np.hstack([k @ root for k, root in zip(self.kernel(codes), self.root)])
+
+    def witnesses(self, codes: np.ndarray) -> np.ndarray:
+        """Which padded words have the characters of an insult in order, all but one at least, and four."""
         bit = np.bitwise_or.reduce(np.where(codes > 0, np.uint64(1) << (codes % 61).astype(np.uint64), np.uint64(0)), axis=1)
-        for j, z in enumerate(self.z):
-            place = Counter(ord(c) % 61 for c in z)
-            need = np.uint64(sum(1 << b for b in place))
-            # ORDER common characters fall on so many bits at least
-            at = np.flatnonzero(np.bitwise_count(need & bit) >= -(-ORDER // max(place.values())))
-            at = at[common_in_order(codes[at], z) >= ORDER]
-            if len(at):
-                out[at, j] = subsequence_kernel(codes[at], self.codes[j])
-        some = np.flatnonzero(out.any(axis=1))
-        own[some] = subsequence_kernel(codes[some], codes[some])
-        out[some] = (out[some] / np.sqrt(own[some, None] * self.own)) ** POWER
+        out = np.zeros(len(codes), bool)
+        for z in self.insults:
+            need = np.uint64(sum(1 << b for b in {ord(c) % 61 for c in z}))
+            at = np.flatnonzero(~out & (np.bitwise_count(need & ~bit) <= 1))
+            out[at[common_in_order(codes[at], z) >= min(len(z), max(4, len(z) - 1))]] = True
         return out
 
-    def similar(self, words: list[str]) -> np.ndarray:
-        """The kernel of words of up to WINDOW characters."""
-        out = np.zeros((len(words), len(self.z)), np.float32)
+    def mapped(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(which words, of ORDER to WINDOW characters, are witnesses, the map of those)."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((ORDER - 1, 8), (8, 12), (12, 18), (18, WINDOW)):
+        at, maps = [], []
+        for low, high in ((ORDER - 1, 6), (6, 9), (9, 12), (12, 18), (18, WINDOW)):
             group = np.flatnonzero((size > low) & (size <= high))
-            if len(group):
-                out[group] = self.kernel(_codes([words[i] for i in group], high))
-        return out
+            if not len(group):
+                continue
+            codes = _codes([words[i] for i in group], high)
+            some = np.flatnonzero(self.witnesses(codes))
+            if len(some):
+                at.append(group[some])
+                maps.append(self.features(codes[some]))
+        if not at:
+            return np.empty(0, np.int64), np.empty((0, len(self.w)))
+        return np.concatenate(at), np.concatenate(maps)
 
     def learn(self, raw: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self._forget()
         strings, owner = [], []
         for r in raw:
             w = plain(r)
             if len(w) <= 1:
-                self.known[r] = -2 if len(r) <= 2 and len(w) == 1 else -1
-            elif len(w) <= WINDOW:
-                strings.append(w)
+                self.known[r] = -np.inf if len(r) <= 2 and len(w) == 1 else np.nan
+                continue
+            self.known[r] = np.nan
+            for part in windows(w):
+                strings.append(part)
                 owner.append(r)
-            else:
-                parts = range(0, len(w) - STRIDE, STRIDE)
-                strings += [w[i:i + WINDOW] for i in parts]
-                owner += [r] * len(parts)
-        if not strings:
-            return
-        values = self.similar(strings)
-        near = values.any(axis=1)
-        for r, n in zip(owner, near.tolist()):
-            if not n:
-                self.known.setdefault(r, -1)
-        for i in np.flatnonzero(near).tolist():
-            row = self.known.get(owner[i], -1)
-            if row < 0:
-                row = self.known[owner[i]] = self.used
-                self.used += 1
-                if self.used > len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[row] = 0
-            self.rows[row] = np.maximum(self.rows[row], values[i])
-
-    def mapped(self, texts: list[str]) -> np.ndarray:
-        """The Nyström map of each text."""
+        at, x = self.mapped(strings)
+        margin = x @ self.w + self.bias
+        for i, m in zip(at.tolist(), margin.tolist()):
+            r = owner[i]
+            if not self.known[r] >= m:
+                self.known[r] = m
+
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """The margin of each text: that of its most toxic word."""
         split = [t.lower().split() for t in texts]
         new = set().union(*split).difference(self.known)
         if new:
@@ -176,21 +227,48 @@ class Landmarks:
                 self._forget()
                 new = set().union(*split)
             self.learn(sorted(new))
-        best = np.zeros((len(texts), len(self.z)))
+        out = np.full(len(texts), FLOOR)
         find = self.known.__getitem__
         for k, words in enumerate(split):
-            at = np.fromiter(map(find, words), np.int64, len(words))
-            rows = self.rows[at[at >= 0]]
-            single = at == -2
-            if single.sum() >= ORDER:  # letters set apart
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], single.view(np.int8), [0]))))
-                runs = ["".join(words[a:b]) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= ORDER]
-                strings = [w[i:i + WINDOW] for w in map(plain, runs) for i in range(0, max(1, len(w) - STRIDE), STRIDE)]
-                if strings:
-                    rows = np.concatenate([rows, self.similar(strings)])
-            if len(rows):
-                best[k] = rows.max(axis=0)
-        return best @ self.root
+            at = np.fromiter(map(find, words), np.float64, len(words))
+            apart = [p for run in apart_letters(words, at == -np.inf) for p in windows(run)]
+            best = np.nanmax(at, initial=FLOOR)
+            if apart:
+                _, x = self.mapped(apart)
+                best = max(best, (x @ self.w + self.bias).max(initial=FLOOR))
+            out[k] = best
+        return out
+
+
+def windows(word: str) -> list[str]:
+    """A word, or the overlapping windows of a long one."""
+    return [word] if len(word) <= WINDOW else [word[i:i + WINDOW] for i in range(0, len(word) - STRIDE, STRIDE)]
+
+
+def apart_letters(words: list[str], single: np.ndarray) -> list[str]:
+    """Runs of ORDER or more single letters, as words."""
+    if single.sum() < ORDER:
+        return []
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], single.view(np.int8), [0]))))
+    return [plain("".join(words[a:b])) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= ORDER]
+
+
+def altered(word: str, letters: str = "xqzkeaonit") -> set[str]:
+    """Copies of a word with a letter put in, doubled, left out or swapped with the
+    next, and with one letter, or changing ones, between all."""
+    out = set()
+    for i in range(len(word) + 1):
+        out.add(word[:i] + letters[i % len(letters)] + word[i:])
+        if i < len(word):
+            out.add(word[:i] + word[i] + word[i:])
+            if len(word) > 4:
+                out.add(word[:i] + word[i + 1:])
+        if 0 < i < len(word):
+            out.add(word[:i - 1] + word[i] + word[i - 1] + word[i + 1:])
+    for k in range(len(letters)):
+        out.add(letters[k].join(word))
+        out.add("".join(c + letters[(k + 3 * i) % len(letters)] for i, c in enumerate(word))[:-1])
+    return {w for w in out if len(w) <= WINDOW} - {word}
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, clean_weight: float, limit: int = LANDMARKS) -> list[str]:
@@ -216,10 +294,12 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, clean_weight: float, l
             scored[f] = (p, np.array(docs[f]))
     weight, chosen = np.ones(len(texts)), []
     while scored and len(chosen) < limit:
-        f = max(scored, key=lambda f: (round(scored[f][0] ** 2 * weight[scored[f][1]].sum(), 9), -len(f), f))
+        f = max(scored, key=lambda f: (round(scored[f][0] ** 2 * weight[scored[f][1]].sum(), 9), len(f), f))
         p, at = scored.pop(f)
         if p * p * weight[at].sum() < 1:
             break
+        if any(f.startswith(z) or z.startswith(f) for z in chosen):
+            continue
         chosen.append(f)
         weight[at] *= 0.6
     return chosen
@@ -243,15 +323,20 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0,
 
 def fit_link(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Logistic link from margins to probabilities."""
+    def loss(a: float, b: float) -> float:
+        z = a * margin + b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 5e-4 * ((a - 2) ** 2 + b * b))
+
     a, b = 2.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
         r, h = weight * (p - y), np.maximum(weight * p * (1 - p), 1e-9)
         g = np.array([(r * margin).sum() + 1e-3 * (a - 2), r.sum() + 1e-3 * b])
         hess = np.array([[(h * margin * margin).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-3]])
-        d = np.linalg.solve(hess, g)
-        a, b = a - d[0], b - d[1]
-        if abs(d).max() < 1e-9:
+        d, now = np.linalg.solve(hess, g), loss(a, b)
+        step = next((t for t in 0.5 ** np.arange(40) if loss(a - t * d[0], b - t * d[1]) <= now), 0.0)
+        a, b = a - step * d[0], b - step * d[1]
+        if step * abs(d).max() < 1e-9:
             break
     return float(a), float(b)
 
@@ -274,24 +359,75 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most twice ``rows`` ids
     sample = (docs.join(picked, F.col("__own") == F.col("__id")).where(F.octet_length("__text") <= text_bytes)
               .groupBy("__id").agg(F.first("__y").alias("y"), F.min("__text").alias("t")).toPandas().sort_values("__id"))
-    y, texts = sample["y"].to_numpy().astype(int), sample["t"].tolist()
+    return fit(sample["t"].tolist(), sample["y"].to_numpy().astype(int), counts[0] / counts[1])
+
+
+def fit(texts: list[str], y: np.ndarray, ratio: float) -> dict | None:
+    """The machine of labelled texts; ratio: clean texts per toxic one where they come from."""
     if y.min(initial=1) or not y.max(initial=0):
         return None
-    clean_weight = counts[0] / counts[1] / ((y == 0).sum() / y.sum())
-    landmarks = choose_landmarks(texts, y, clean_weight)
-    if not landmarks:
+    clean_weight = ratio / ((y == 0).sum() / y.sum())
+    insults = choose_landmarks(texts, y, clean_weight)
+    if not insults:
         return None
-    x = Landmarks(landmarks).mapped(texts)
-    mean, dev = x.mean(axis=0), x.std(axis=0) + 1e-9
-    x = (x - mean) / dev
-    weight = np.where(y > 0, 1.0, clean_weight)
+    bags = []
+    for t in texts:
+        words = t.lower().split()
+        bare = [plain(w) for w in words]
+        single = np.fromiter((len(b) == 1 and len(w) <= 2 for b, w in zip(bare, words)), bool, len(words))
+        bags.append(sorted({p for w in [*bare, *apart_letters(words, single)] for p in windows(w) if len(p) >= ORDER}))
+    vocabulary = sorted(set().union(*bags))
+    first = Landmarks(insults)
+    at, _ = first.mapped(vocabulary)
+    able = {vocabulary[i] for i in at.tolist()}
+    bags = [[w for w in bag if w in able] for bag in bags]
+    clean = Counter(w for bag, one in zip(bags, y) if not one for w in bag)
+    # the clean words most like an insult are landmarks too
+    near = sorted(clean)
+    if near:
+        like = sum(k[:, :len(insults)].max(axis=1) for k in first.kernel(_codes(near, WINDOW)))
+        near = [near[i] for i in np.lexsort((np.arange(len(near)), -like))[:COUNTER] if near[i] not in insults]
+    marks = Landmarks(insults, near)
+    words = sorted(able)
+    at, x = marks.mapped(words)
+    x = dict(zip([words[i] for i in at.tolist()], x))
+    copies = {w: [c for c in sorted(altered(w)) if c not in clean] for w in sorted(able) if any(w.startswith(z) for z in insults)}
+    flat = sorted(set().union(*copies.values()) - x.keys()) if copies else []
+    at, more = marks.mapped(flat)
+    x |= dict(zip([flat[i] for i in at.tolist()], more))
+
+    def machine(rows: np.ndarray) -> tuple[np.ndarray, float]:
+        seen = Counter(w for k in rows[y[rows] == 0] for w in bags[k])
+        told = Counter(w for k in rows[y[rows] > 0] for w in bags[k] if any(w.startswith(z) for z in insults))
+        told = {a: n for a, n in told.items() if n > clean_weight * seen.get(a, 0)}
+        rest = {a: n for a, n in seen.items() if a not in told}
+        if not told:
+            return np.zeros(len(marks.w)), FLOOR
+        virtual: Counter = Counter()
+        for a, n in told.items():
+            if n < COPY_SHARE * (y[rows] > 0).sum():
+                continue
+            known = [c for c in copies.get(a, ()) if c in x]
+            for c in known:
+                virtual[c] += COPIES * n / len(known)
+        names = [*told, *virtual, *rest]
+        # a word unlike all landmarks is clean
+        target = np.array([1] * (len(told) + len(virtual)) + [0] * (len(rest) + 1))
+        weight = np.array([*told.values(), *virtual.values(), *(clean_weight * n for n in rest.values()), clean_weight * (y[rows] == 0).sum()], float)
+        fitted = fit_svm(np.array([*(x[a] for a in names), np.zeros(len(marks.w))]), target, weight, COST)
+        return fitted[:-1], float(fitted[-1])
+
+    def margin_of(k: int, w: np.ndarray, bias: float) -> float:
+        return max([FLOOR, *(float(x[a] @ w + bias) for a in bags[k])])
+
     # margins of rows that the machine was not fitted on, for the link
-    margin = np.zeros(len(y))
+    every, margin = np.arange(len(y)), np.zeros(len(y))
     for k in range(4):
-        out = np.arange(len(y)) % 4 == k
-        w = fit_svm(x[~out], y[~out], weight[~out], COST)
-        margin[out] = x[out] @ w[:-1] + w[-1]
-    return {"landmarks": landmarks, "mean": mean, "dev": dev, "w": fit_svm(x, y, weight, COST), "link": fit_link(margin, y, weight)}
+        w, bias = machine(every[every % 4 != k])
+        for i in every[every % 4 == k].tolist():
+            margin[i] = margin_of(i, w, bias)
+    w, bias = machine(every)
+    return {"insults": insults, "clean": near, "w": w, "bias": bias, "link": fit_link(margin, y, np.where(y > 0, 1.0, STRICT * clean_weight))}
 
 
 _BUILT: dict[tuple, Landmarks] = {}
@@ -306,18 +442,18 @@ def score(docs: DataFrame, model: dict | None, *, text: str = "text", out: str =
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` double"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tuple(model["landmarks"])
+        key = (*model["insults"], *model["clean"], *model["w"].tolist(), model["bias"])
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = Landmarks(model["landmarks"])
+            _BUILT[key] = Landmarks(model["insults"], model["clean"])
+            _BUILT[key].decide(model["w"], model["bias"])
         marks = _BUILT[key]
         for batch in batches:
             for i in range(0, max(1, batch.num_rows), 1000):
                 part = batch.slice(i, 1000)
                 if not part.num_rows:
                     continue
-                x = (marks.mapped(part.column(len(kept)).to_pylist()) - model["mean"]) / model["dev"]
-                m = model["link"][0] * (x @ model["w"][:-1] + model["w"][-1]) + model["link"][1]
+                m = model["link"][0] * marks.margins(part.column(len(kept)).to_pylist()) + model["link"][1]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(m, -30, 30))))], [*kept, out])
 
     return source.mapInArrow(work, schema)
@@ -326,4 +462,4 @@ def score(docs: DataFrame, model: dict | None, *, text: str = "text", out: str =
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -224,17 +224,22 @@ def test_subsequence_kernel_against_its_definition():
                     total += lam ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1)
         return total
 
-    words = ["idiot", "i.d.i.o.t", "tidiote", "abcdef", "id", "iiddiioott"]
-    codes, idiot = toxicity._codes(words, 12), toxicity._codes(["idiot"], 5)
-    assert np.allclose(toxicity.subsequence_kernel(codes, idiot), [slow(w, "idiot") for w in words], rtol=1e-4)
-    assert np.allclose(toxicity.subsequence_kernel(codes, codes), [slow(w, w) for w in words], rtol=1e-4)
-    # the normalised kernel, and the map whose products it is among landmarks
-    marks = toxicity.Landmarks(["idiot", "moron", "scumbag", "tidiote"])
-    want = [[(slow(w, z) / (slow(w, w) * slow(z, z) or 1) ** 0.5) ** toxicity.POWER for z in marks.z] for w in words + marks.z]
-    assert np.allclose(marks.similar(words + marks.z), want, rtol=1e-4, atol=1e-7)
-    phi = marks.mapped(marks.z)
-    assert np.allclose(phi @ phi.T, want[len(words):], atol=1e-5)
-    assert (marks.mapped(["x", "", "abc xyz"]) == 0).all()
+    words, others = ["idiot", "i.d.i.o.t", "tidiote", "abcdef", "id", "iiddiioott"], ["idiot", "moron", "tidiote", "ab"]
+    codes, z = toxicity._codes(words, 12), toxicity._codes(others, 7)
+    for decay in (0.6, 0.95):
+        three, four = toxicity.subsequence_kernels(codes, z, (3, 4), decay)
+        own = toxicity.own_kernels(codes, (3, 4), decay)
+        for k, (n, got) in enumerate(((3, three), (4, four))):
+            assert np.allclose(got, [[slow(w, o, n, decay) for o in others] for w in words], rtol=1e-4)
+            assert np.allclose(own[k], [slow(w, w, n, decay) for w in words], rtol=1e-4)
+    # the map's products are the kernels among landmarks, summed
+    marks = toxicity.Landmarks(["idiot", "moron", "scumbag"], ["tidiote"])
+    phi = marks.features(marks.codes)
+    assert np.allclose(phi @ phi.T, sum(marks.kernel(marks.codes)), atol=1e-3)
+    want = [[slow(a, b, 3, 0.6) / (slow(a, a, 3, 0.6) * slow(b, b, 3, 0.6)) ** 0.5 for b in marks.z] for a in marks.z]
+    assert np.allclose(marks.kernel(marks.codes)[0], want, atol=1e-5)
+    at, _ = marks.mapped(["x", "idxiot", "abc", "idot", "scumba", "mron", "moxrxon", "rock"])
+    assert sorted(at.tolist()) == [1, 3, 4, 5, 6]
     assert toxicity.common_in_order(toxicity._codes(words, 12), "idiot").tolist() == [5, 5, 5, 1, 2, 5]
 
 
@@ -261,6 +266,13 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     for r in got:
         assert 0 <= r["score"] <= 1 and s.setdefault(r["doc_id"], r["score"]) == r["score"]
     assert len(got) == len(odd) and min(s[3], s[4], s[5]) > 0.5 > max(s[1], s[2], s[6], s[7])
+    # one letter put in, doubled, left out, swapped; others between all
+    for kind, least, made in (("put in", 0.95, lambda w: [w[:i] + c + w[i:] for i in range(1, len(w)) for c in "xu"]), ("doubled", 0.95, lambda w: [w[:i] + w[i] + w[i:] for i in range(len(w))]),
+                              ("left out", 0.8, lambda w: [w[:i] + w[i + 1:] for i in range(1, len(w) - 1)]), ("swapped", 0.8, lambda w: [w[:i] + w[i + 1] + w[i] + w[i + 2:] for i in range(1, len(w) - 2)]),
+                              ("between all", 0.8, lambda w: [c.join(w) for c in "xwuv"])):
+        texts = [f"the river {a} under old trees" for w in ("idiot", "moron", "scumbag") for a in made(w)]
+        found = toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).where("score >= 0.5").count()
+        assert found >= least * len(texts), (kind, found, len(texts))
     assert toxicity.score(d.limit(0), model).count() == 0
 
 
@@ -274,7 +286,7 @@ def test_toxicity_held_out(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     out = toxicity.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
     bad, good = out[out.toxic == 1], out[out.toxic == 0]
-    assert (bad.predicted == 1).mean() > 0.5 and (good.predicted == 1).mean() < 0.05
+    assert (bad.predicted == 1).mean() > 0.7 and (good.predicted == 1).mean() < 0.05
 
 
 # ---- inner products -----------------------------------------------------------------------------------
