@@ -56,7 +56,8 @@ class Template:
         return F.regexp_replace(text, "|".join(rf"(?<={_literal(c[0])})(?=\\*{_literal(c[1:])})" for c in self.controls()), r"\\")
 
     def unescaped(self, text: Column) -> Column:
-        return F.regexp_replace(text, "|".join(rf"(?<={_literal(c[0])})\\(?=\\*{_literal(c[1:])})" for c in self.controls()), "")
+        mended = F.regexp_replace(text, "|".join(rf"(?<={_literal(c[0])})\\(?=\\*{_literal(c[1:])})" for c in self.controls()), "")
+        return F.when(F.contains(text, F.lit("\\")), mended).otherwise(text)
 
 
 def _literal(s: str) -> str:
