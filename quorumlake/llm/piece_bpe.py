@@ -43,7 +43,7 @@ def load_vocabulary(model_path: str) -> dict:
     n = m.get_piece_size()
     kind = ["byte" if m.is_byte(i) else "control" if m.is_control(i) else "unknown" if m.is_unknown(i) else "normal" for i in range(n)]
     return {"pieces": [m.id_to_piece(i) for i in range(n)], "scores": [m.get_score(i) for i in range(n)], "kinds": kind,
-            "bos": m.bos_id(), "eos": m.eos_id(), "unk": m.unk_id()}
+            "bos": m.bos_id(), "eos": m.eos_id(), "unk": m.unk_id(), "digest": hashlib.sha256(m.serialized_model_proto()).hexdigest()}
 
 
 class PieceCodec:
@@ -319,7 +319,8 @@ def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - (np.cumsum(length) - length), length)
 
 
-_CODEC: dict[int, PieceCodec] = {}
+#: Codecs of a worker, by the digest of the model file.
+_CODEC: dict[str, PieceCodec] = {}
 
 
 def piece_round_trip(docs: DataFrame, model_path: str, *, text: str = "text", keep: list[str] | None = None,
@@ -337,7 +338,7 @@ def piece_round_trip(docs: DataFrame, model_path: str, *, text: str = "text", ke
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept), *(f"{e} {KINDS[e]}" for e in emit)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = vocabulary.value["unk"], len(vocabulary.value["pieces"])
+        key = vocabulary.value["digest"]
         codec = _CODEC.get(key)
         if codec is None:
             codec = _CODEC[key] = PieceCodec(vocabulary.value)

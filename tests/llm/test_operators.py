@@ -405,3 +405,18 @@ def test_licence_texts(spark):
     got = sorted((r["doc_id"] or 0, r["licence"] or "", r["line_licences"]) for r in licenses.scan_licences(df, licenses.licence_table(spark)).collect())
     assert got == [(0, "", ""), (1, "ISC", "ISC"), (2, "ISC", "ISC"), (3, "", "MIT"), (4, "", ""), (5, "", ""), (6, "", ""), (7, "", ""), (8, "", "Apache-2.0,MIT"), (8, "", "Apache-2.0,MIT")]
     assert licenses.scan_licences(df.limit(0), licenses.licence_table(spark)).count() == 0
+
+
+def test_two_models_of_one_size_in_a_session(spark):
+    """The second model has the scores of two pieces exchanged: other merges, equal size."""
+    plain = piece_bpe.load_vocabulary(MODEL)
+    n = plain["pieces"].index("▁the"), plain["pieces"].index("▁th")
+    from unittest import mock
+
+    other = {**plain, "pieces": list(plain["pieces"]), "digest": "other"}
+    other["pieces"][n[0]], other["pieces"][n[1]] = other["pieces"][n[1]], other["pieces"][n[0]]
+    d = docs(spark, [(1, "the then", "a")]).coalesce(1)
+    ids = [r["ids"] for r in piece_bpe.piece_round_trip(d, MODEL, emit=("ids",)).collect()]
+    with mock.patch.object(piece_bpe, "load_vocabulary", lambda path: other):
+        swapped = [r["ids"] for r in piece_bpe.piece_round_trip(d, MODEL, emit=("ids",)).collect()]
+    assert ids != swapped and ids == [r["ids"] for r in piece_bpe.piece_round_trip(d, MODEL, emit=("ids",)).collect()]
