@@ -114,17 +114,19 @@ def _blocks(text: Column, odd: Column | None = None) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n(?:[ \t\r\f]*\n)+"), lambda x: canonical(x, STRICT_NOTICE, odd)), lambda x: x != "")
 
 
-def _runs(blocks: Column, n: int) -> Column:
-    """All n blocks that follow each other, joined."""
-    starts = F.sequence(F.lit(1), F.size(blocks) - (n - 1))
-    return F.when(F.size(blocks) >= n, F.transform(starts, lambda i: F.array_join(F.slice(blocks, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _run_digests(blocks: Column, sizes: Column, n: int, lengths: list[int]) -> Column:
+    """Digests of all n blocks that follow each other, joined, if they are as long as a
+    known text of n blocks; sizes: the lengths of the blocks.  One run at a time is joined."""
+    long = lambda i: F.aggregate(F.slice(sizes, i, n), F.lit(n - 1), lambda a, x: a + x).isin(lengths)
+    starts = F.filter(F.sequence(F.lit(1), F.size(blocks) - (n - 1)), long)
+    return F.when(F.size(blocks) >= n, F.transform(starts, lambda i: F.sha2(F.array_join(F.slice(blocks, i, n), " "), 256))).otherwise(F.array().cast("array<string>"))
 
 
 def licence_table(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, licence, blocks) of known texts, by default KNOWN and the full texts."""
+    """(digest, blocks, chars, licence) of known texts, by default KNOWN and the full texts."""
     rows = spark.createDataFrame(KNOWN + full_texts() if known is None else known, "licence string, text string")
     rows = rows.withColumn("split", _blocks(F.col("text"))).withColumn("form", F.explode(F.array(canonical(F.col("text")), F.array_join("split", " "))))
-    return rows.where("form <> ''").groupBy(F.sha2("form", 256).alias("digest"), F.size("split").alias("blocks")).agg(F.min("licence").alias("licence"))
+    return rows.where("form <> ''").groupBy(F.sha2("form", 256).alias("digest"), F.size("split").alias("blocks")).agg(F.min(F.length("form")).alias("chars"), F.min("licence").alias("licence"))
 
 
 def scan_licences(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,21 +134,27 @@ def scan_licences(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id
     the document is, and the sorted names of those that one of its lines, or a run
     of its blocks, is.
 
-    Units are digested where they lie; only distinct digests of units meet the
-    licence table, once for each document and digest, and no text is shuffled.
+    Units are digested where they lie; only distinct digests of units as long as a
+    known text meet the licence table, once for each document and digest, and no text
+    is shuffled.  What a row holds grows with its text and not with the lengths of runs.
     """
-    lengths = sorted(r[0] for r in licences.select("blocks").distinct().collect())
+    lengths: dict[int, set[int]] = {}
+    for r in licences.select("blocks", "chars").distinct().collect():  # as long as the list of licences
+        lengths.setdefault(r["blocks"], set()).add(r["chars"])
+    every = sorted(set().union(*lengths.values()))
     licences = licences.groupBy("digest").agg(F.min("licence").alias("licence"))
     if licences.count() <= BROADCAST_LICENCES:
         licences = F.broadcast(licences)
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias("__text"), F.monotonically_increasing_id().alias("__row"))
     rows = rows.withColumn("__odd", respelt(F.col("__text")))
     form = canonical(F.col("__text"), odd=F.col("__odd"))
-    lines = F.filter(F.array_distinct(F.transform(F.split(F.coalesce("__text", F.lit("")), "\n"), lambda x: canonical(x, odd=F.col("__odd")))), lambda x: x != "")
-    split = rows.withColumn("__lines", lines).withColumn("__blocks", F.when(F.contains("__text", F.lit("\n")), _blocks(F.col("__text"), F.col("__odd"))).otherwise(F.array().cast("array<string>")))
-    runs = [_runs(F.col("__blocks"), n) for n in lengths]
-    digests = F.transform(F.array_distinct(F.concat("__lines", *runs)), lambda x: F.sha2(x, 256))
-    units = split.select(id_col, "__row", F.sha2(form, 256).alias("text_digest"), digests.alias("__units"))
+    lines = F.transform(F.split(F.coalesce("__text", F.lit("")), "\n"), lambda x: canonical(x, odd=F.col("__odd")))
+    lines = F.transform(F.filter(lines, lambda x: (x != "") & F.length(x).isin(every)), lambda x: F.sha2(x, 256))
+    none = F.array().cast("array<string>")
+    split = rows.withColumn("__lines", F.array_distinct(lines)).withColumn("__blocks", F.when(F.contains("__text", F.lit("\n")), _blocks(F.col("__text"), F.col("__odd"))).otherwise(none))
+    split = split.withColumn("__sizes", F.transform("__blocks", lambda x: F.length(x)))
+    runs = [_run_digests(F.col("__blocks"), F.col("__sizes"), n, sorted(of)) for n, of in sorted(lengths.items())]
+    units = split.select(id_col, "__row", F.sha2(form, 256).alias("text_digest"), F.array_distinct(F.concat("__lines", *runs)).alias("__units"))
     # one row a unit, with the document's own digest on the first
     each = units.select(id_col, "__row", "text_digest", F.posexplode(F.concat(F.array("text_digest"), "__units")).alias("__at", "digest"))
     hit = each.join(licences, "digest", "left").where("__at = 0 or licence is not null")

@@ -1,5 +1,7 @@
 """Licences that stand in longer documents."""
 
+import random
+import re
 import textwrap
 
 from quorumlake.llm import licenses
@@ -41,3 +43,33 @@ def test_spellings_are_of_whole_words_and_gated_alike(spark):
 def test_copyright_lines_of_single_lines_go(spark):
     text = "Copyright 2020 A. Holder\nReleased under the MIT licence.\nnothing"
     assert found(spark, [text, "x\n" + text])[1] == (None, "MIT")
+
+
+def test_runs_of_blocks_equal_brute_force(spark):
+    """Known texts of one to five blocks, some of equal lengths, in documents of blocks."""
+    r = random.Random(6)
+    blocks = ["aa bb", "bb aa", "aa", "cc dd ee", "b b b", "zz", "Licence", "é x"]
+    known = [(f"L{i}", "\n\n".join(r.choices(blocks, k=r.randint(1, 5)))) for i in range(40)]
+    texts = ["\n\n".join(r.choices(blocks, k=r.randint(0, 9))) for _ in range(120)] + ["aa\n \n\t\nbb aa", "\n\n\n", None]
+    table = licenses.licence_table(spark, known)
+    form = lambda t: " ".join(t.lower().replace("licence", "license").split())
+    name = {}
+    for n, t in known:
+        name[form(t)] = min(n, name.get(form(t), n))
+    sizes = {len(t.split("\n\n")) for _, t in known}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in licenses.scan_licences(df, table).collect():
+        text = texts[row["doc_id"]] or ""
+        parts = [b for b in re.split(r"\n\s*\n", text) if b.strip()]
+        units = {form(line) for line in text.split("\n")}
+        if "\n" in text:
+            units |= {form(" ".join(parts[i:i + n])) for n in sizes for i in range(len(parts) - n + 1)}
+        assert row["licence"] == name.get(form(text)) and row["line_licences"] == ",".join(sorted({name[u] for u in units if u in name})), text
+
+
+def test_a_long_text_of_many_blocks(spark):
+    blocks = spark.range(60_000).selectExpr("concat('block ', id, repeat(' some words of it', 12)) as b", "id").orderBy("id")
+    text = "\n\n".join(x["b"] for x in blocks.collect())
+    name, known = licenses.full_texts()[2]
+    assert len(text) > 12_000_000
+    assert found(spark, [text, text + "\n\n" + known])[1] == (None, name)
