@@ -126,12 +126,21 @@ def first_of(text: Column, rules: list[tuple[str, str]], default: str) -> Column
     return out.otherwise(default)
 
 
-def hygiene(s: Column, limit: int) -> Column:
-    """Percent-decoding (invalid escapes stay as they are, bytes that form no
-    character become U+FFFD), homoglyph fold, and a cut to so many characters."""
+def percent_decoded(s: Column) -> Column:
+    """Percent escapes decoded as UTF-8; incomplete escapes stay as they are, and a
+    value whose bytes form no characters stays as it is, whole."""
+    bad = "\ufffd"
+    count = lambda text, what: (F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
     kept = F.regexp_replace(F.replace(s, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
-    s = F.coalesce(F.try_url_decode(kept), s)
-    return F.left(F.translate(s, "’‘“”–— ", "''\"\"-- "), F.lit(limit))
+    out = F.try_url_decode(kept)
+    # more replacement characters than were written, plainly or escaped, stand for bytes that form none
+    broken = count(out, bad) > count(s, bad) + count(F.upper(s), "%EF%BF%BD")
+    return F.when(out.isNull() | broken, s).otherwise(out)
+
+
+def hygiene(s: Column, limit: int) -> Column:
+    """Percent-decoding (``percent_decoded``), homoglyph fold, and a cut to so many characters."""
+    return F.left(F.translate(percent_decoded(s), "’‘“”–— ", "''\"\"-- "), F.lit(limit))
 
 
 def residue(s: Column, allowed: str) -> Column:

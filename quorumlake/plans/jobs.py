@@ -17,7 +17,7 @@ from quorumlake.plans.queries_consensus import GROUPS
 from quorumlake.plans.queries_ingest import REASON
 from quorumlake.plans.queries_keys import sql_holdout
 from quorumlake.session import scratch
-from quorumlake.streaming import ingest
+from quorumlake.streaming import ingest, pending
 
 
 def evaluate(results: DataFrame, p: str, hit: str, id_text) -> DataFrame:
@@ -168,3 +168,22 @@ def job_corpus_eval(spark: SparkSession, sf: str) -> DataFrame:
     y = F.col("hit").cast("int")
     rows = held.select(y.alias("y"), "x.scale", "x.p").groupBy("scale", S.bin_of(F.col("p")).alias("bin")).agg(F.sum("p").alias("sp"), F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("sq"))
     return rows.groupBy("scale").agg(F.round(F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("n"), 6).alias("ece"), F.round(F.sum("sq") / F.sum("n"), 6).alias("brier"), F.sum("n").alias("rows"))
+
+
+@query("stream_settled_pages", """with c as (select c_custkey as k, case when c_custkey >= 4 then c_custkey // 4 end as p, case when c_mktsegment in ('BUILDING', 'MACHINERY') then c_mktsegment end as v from customer),
+w as (select a.k, case when a.v is not null then 0 when b.v is not null then 1 when d.v is not null then 2 when e.v is not null then 3 when f.v is not null then 4 end as hops, coalesce(a.v, b.v, d.v, e.v, f.v) as v
+  from c a left join c b on a.p = b.k and a.v is null left join c d on b.p = d.k and b.v is null left join c e on d.p = e.k and d.v is null left join c f on e.p = f.k and e.v is null)
+select case when hops is null then 'open' when hops = 0 then 'direct' else 'parent ' || hops end as via, coalesce(v, '') as value, count(*) as pages from w group by 1, 2""")
+def stream_settled_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as pages that come in two parts, in no order: those without evidence
+    wait in the stream's state until the page that they name has settled."""
+    c = V.table(spark, sf, "customer")
+    pages = c.select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") >= 4, F.floor(F.col("c_custkey") / 4).cast("string")).alias("parent"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.col("c_mktsegment")).alias("value"))
+    path = scratch(spark, "arriving")
+    for part in range(2):
+        pages.where(F.pmod(F.hash("id"), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(path)
+    out, checkpoint = pending.scratch_paths(spark)
+    pending.drain_settled(spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(path), out, checkpoint)
+    settled = spark.read.schema("id string, value string, hops int").parquet(out)
+    via = F.when(F.col("hops").isNull(), "open").when(F.col("hops") == 0, "direct").otherwise(F.concat(F.lit("parent "), F.col("hops").cast("string")))
+    return pending.kept_and_open(pages, settled).groupBy(via.alias("via"), F.coalesce("value", F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("pages"))

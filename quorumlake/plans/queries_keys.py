@@ -168,11 +168,13 @@ def p13(spark, sf):
     return a.select("item", F.array_join(K.expand_groups(codes, GROUPS, GROUPS["all"]), ",").alias("members"))
 
 
-@query("p15_hygiene", r"select page_id, left(translate(url || ' “é”–%zz+%4', '’‘“”–—', '''''' || chr(34) || chr(34) || '--'), 60) as clean, (contains(html, '<script') or contains(html, 'track(')) as leaked from pages")
+@query("p15_hygiene", r"select page_id, left(translate(url || ' “é”–%zz+%4', '’‘“”–—', '''''' || chr(34) || chr(34) || '--'), 60) as clean, (contains(html, '<script') or contains(html, 'track(')) as leaked, left(translate(url || '%ff%C3%A9b', '’‘“”–—', '''''' || chr(34) || chr(34) || '--'), 60) as broken, left(translate(url, '’‘“”–—', '''''' || chr(34) || chr(34) || '--') || 'éb', 60) as sound from pages")
 def p15(spark, sf):
-    """Urls and what follows them percent-encoded here, with two invalid escapes and a plus sign behind, decoded again."""
+    """Urls and what follows them percent-encoded here, with two invalid escapes and a plus sign behind, decoded again;
+    with bytes behind them that form no character, and with such that do."""
     raw = F.concat(F.replace(F.url_encode(F.concat("url", F.lit(" “é”–"))), F.lit("+"), F.lit("%20")), F.lit("%zz+%4"))
-    return V.table(spark, sf, "pages").select("page_id", K.hygiene(raw, 60).alias("clean"), F.col("html").rlike(r"<script|track\(").alias("leaked"))
+    return V.table(spark, sf, "pages").select("page_id", K.hygiene(raw, 60).alias("clean"), F.col("html").rlike(r"<script|track\(").alias("leaked"),
+                                                     K.hygiene(F.concat("url", F.lit("%ff%C3%A9b")), 60).alias("broken"), K.hygiene(F.concat("url", F.lit("%C3%A9b")), 60).alias("sound"))
 
 
 RULES = [cascade.Rule("final-ing", "ing$", "in", guard="^.{5,}$", stage=2, unless="th-to-t"), cascade.Rule("drop-final-e", "e$", ""), cascade.Rule("th-to-t", "th", "t"), cascade.Rule("double-vowel", "oo|ee", "o", stage=1)]

@@ -65,8 +65,47 @@ def p14(spark, sf):
     return d.select("word", "etymon.lang", "etymon.term", "etymon.rank", F.array_join("glosses", ",").alias("glosses"), F.array_join("categories", ",").alias("categories"), F.size("descendants").cast("long").alias("descendants"))
 
 
+NAMES = ["bor", "bor+", "lbor+", "derived", "inh", "inherited", "der", "cog", "ety"]
+CODES = ["la", "ML.", "LL.", "el", "fro", "gmh", "nl", "frm", "pro", "old-a", "old-b", "xx"]
+FAMILY = ["pro", "old-a", "old-b"]
+RANKS = [6, 6, 6, 5, 3, 2, 2, 3, 1, 1, 1, 1]
+PICKS = f"""with l as (select l_orderkey as o, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) as n, {NAMES}[l_partkey % 9 + 1] as name, {CODES}[l_suppkey % 12 + 1] as code, {RANKS}[l_suppkey % 12 + 1] as rank,
+  case l_partkey % 6 when 0 then '*w' || l_partkey when 1 then '-w' when 2 then 'w' || l_partkey || '<id:1>' when 3 then '-' when 4 then '%C3%A9w' || l_partkey else '*' end as raw, l_partkey % 2 = 0 as even, l_suppkey % 8 as c, l_partkey as part from lineitem),
+t as (select *, trim(regexp_replace(raw, '<.*$', '')) as term from l), d as (select *, regexp_replace(replace(term, '%C3%A9', 'é'), '^[*]', '') as bare from t),
+src as (select o, arg_max(code || ' ' || term, (rank, -n)) as source, max(rank) as rank from t where name in ('bor', 'bor+', 'lbor+', 'derived', 'der') and code not in ('pro', 'old-a', 'old-b') and term not in ('', '-') group by 1),
+anc as (select o, arg_min('*' || bare, n) as ancestor from d where name in ('inh', 'inherited', 'der', 'derived') and code = 'pro' and bare <> '' and not starts_with(bare, '-') and not ends_with(bare, '-') and regexp_matches(bare, '\\pL') group by 1),
+par as (select o, arg_min(code || ':' || term, n) as parent from t where (name in ('inh', 'inherited') or (name = 'ety' and even)) and code in ('old-a', 'old-b') and term not in ('', '-') group by 1),
+cls as (select o, arg_min('group ' || c || ' N-stem nouns', n) filter (c in (2, 5)) as stem from l group by 1),
+need as (select o, arg_min('*' || part, n) as deep from l group by 1)
+"""
+
+
+@query("p14_ancestry_picks", PICKS + "select 'o' || cls.o as word, source, rank::int as rank, ancestor, parent, stem, case when cls.o % 3 = 0 then '' else deep end as deep from cls join need using (o) left join src using (o) left join anc using (o) left join par using (o)")
+def p14_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """Foreign source, ancestor, old-stage parent, declension and deep ancestor of pages
+    whose templates carry every language of the rank table and all guarded shapes."""
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    g = V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("i"))  # an order has a few lines
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    text = lambda *c: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in c])
+
+    def template(x):
+        six = x["l_partkey"] % 6
+        term = F.when(six == 0, text("*w", x["l_partkey"])).when(six == 1, "-w").when(six == 2, text("w", x["l_partkey"], "<id:1>")).when(six == 3, "-").when(six == 4, text("%C3%A9w", x["l_partkey"])).otherwise("*")
+        name, code = pick(NAMES, x["l_partkey"] % 9), pick(CODES, x["l_suppkey"] % 12)
+        tree = name == "ety"
+        return F.struct(name.alias("name"), F.create_map(F.lit("1"), F.lit("zz"), F.lit("2"), F.when(tree, F.when(x["l_partkey"] % 2 == 0, ":inh").otherwise(":bor")).otherwise(code), F.lit("3"), F.when(tree, text(code, ":", term)).otherwise(term)).alias("args"))
+
+    label = lambda x: text("group ", x["l_suppkey"] % 8, F.when((x["l_suppkey"] % 8).isin(2, 5), F.lit(" N-stem nouns")).otherwise(F.lit(" nouns")))
+    named = F.when(F.col("l_orderkey") % 3 == 0, F.lit("from nothing *x")).otherwise(text("From Proto-Old ", "and so on *", F.col("i")[0]["l_partkey"], ", and *more"))
+    pages = g.select(text("o", F.col("l_orderkey")).alias("word"), F.transform("i", template).alias("templates"), F.transform("i", label).alias("categories"), named.alias("text"))
+    source = D.source_pick(F.col("templates"), FAMILY)
+    p = pages.select("word", source.alias("s"), D.ancestor_pick(F.col("templates"), "pro").alias("ancestor"), D.stage_parent(F.col("templates"), FAMILY[1:]).alias("p"), D.stem_class(F.col("categories")).alias("stem"), D.after_needle(F.col("text"), "Proto-Old").alias("deep"))
+    return p.select("word", F.concat_ws(" ", "s.lang", "s.term").alias("source"), "s.rank", "ancestor", F.concat_ws(":", "p.lang", "p.term").alias("parent"), "stem", "deep").withColumns({"source": F.when(F.col("rank").isNotNull(), F.col("source")), "parent": F.when(F.col("parent") != "", F.col("parent"))})
+
+
 @query("job_extraction_chain", FLAT + """, k as (select o, term, rank, case when rank >= 5 then 'direct' when o % 3 = 0 then 'pending' else 'dropped' end as gate from e),
-p as (select k.o, case when gate = 'direct' then 'direct' when exists (select 1 from k p where p.o = k.o // 2 and p.gate = 'direct') then 'inherited' when gate = 'pending' then 'unresolved' else 'dropped' end as via from k) select via, count(*) as pages, min('o' || o) as first from p where via <> 'inherited' or true group by 1""".replace("case when gate = 'direct' then 'direct' when exists", "case when gate = 'direct' then 'direct' when gate = 'pending' and exists"))
+p as (select k.o, case when gate = 'direct' then 'direct' when gate = 'pending' and exists (select 1 from k p where p.o = k.o // 2 and p.gate = 'direct') then 'inherited' when gate = 'pending' then 'unresolved' else 'dropped' end as via from k) select via, count(*) as pages, min('o' || o) as first from p group by 1""")
 def job_extraction_chain(spark, sf):
     """Marker scan, distillation, evidence gate, pointer chase of pending pages to a
     page with evidence, union of both, census."""
