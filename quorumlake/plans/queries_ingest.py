@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quorumlake.plans import views as V
 from quorumlake.plans.base import query
+from quorumlake.session import scratch
+from quorumlake.sources import members
 from quorumlake.sources import scans as S
 
 EV = "e as (select event_id as id, event_type as pos, user_id, props, (props->>'k')::int as k from events)"
@@ -36,8 +38,7 @@ REASON = f"with {EV}, r as (select *, case when pos = 'error' then 'redirect' wh
 def s3(spark, sf):
     e = V.table(spark, sf, "events").select(F.col("event_type").alias("pos"), "user_id", F.from_json("props", "k int")["k"].alias("k"))
     r = S.gated(e, [(F.col("pos") == "error", "redirect"), (F.col("k") < 10, "multiword"), (F.col("user_id") % 7 == 0, "non-content"), (F.col("k") > 90, "no-gloss")], "kept", "reason")
-    r.createOrReplaceTempView("__reasons")
-    return spark.sql("select reason, pos, count(*) as n from __reasons group by grouping sets ((reason), (reason, pos))")
+    return r.groupingSets([["reason"], ["reason", "pos"]], "reason", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q5_reconciliation", REASON + "select count(*) as seen, count(*) filter (reason = 'kept') as kept, count(*) filter (reason <> 'kept') as dropped, count(*) = count(*) filter (reason = 'kept') + count(*) filter (reason <> 'kept') as balanced from r")
@@ -62,11 +63,25 @@ def s6(spark, sf):
     return S.read_versioned(spark, path, "parts", 3)
 
 
-@query("s10_proposal_source", "select 1000000 + row_number() over (order by p_partkey) - 1 as id, p_name as form, p_type as pos from part where p_size < 5")
+@query("s6_member_cache", "select p_partkey as id, p_name || ' é' as form, left(translate(p_brand || ' “x”', '“”', chr(34) || chr(34)), 60) as note from part where p_type = 'SMALL'")
+def s6_members(spark, sf):
+    """Parts as stamped lines of JSON in gzip members; those with a marker are read back,
+    with percent escapes and marks that look alike mended as they are loaded."""
+    from quorumlake.functions.keys import hygiene
+
+    p = V.table(spark, sf, "part").select(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.concat(F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("%20%C3%A9")).alias("form"), F.concat("p_brand", F.lit(" “x”")).alias("note"), F.col("p_type").alias("pos"))))
+    path = scratch(spark, "members")
+    members.write_members(p, path, "parts", 3)
+    lines = members.read_members(spark, path, "parts", 3, marker='"pos":"SMALL"')
+    page = lines.select(F.from_json("value", "id long, form string, note string, pos string").alias("x")).where("x.pos = 'SMALL'")
+    return page.select("x.id", hygiene(F.col("x.form"), 60).alias("form"), hygiene(F.col("x.note"), 60).alias("note"))
+
+
+@query("s10_proposal_source", "select 1000000 + row_number() over (order by p_partkey) - 1 as id, p_name as form, p_type as pos from part")
 def s10(spark, sf):
     from quorumlake.operators.publish import global_rank
 
-    p = V.table(spark, sf, "part").where("p_size < 5").select("p_partkey", F.col("p_name").alias("form"), F.col("p_type").alias("pos"))
+    p = V.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("form"), F.col("p_type").alias("pos"))
     return global_rank(p, ["p_partkey"]).select((F.col("rank") + 999_999).alias("id"), "form", "pos")
 
 
