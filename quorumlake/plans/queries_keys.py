@@ -33,6 +33,11 @@ def sql_fnv(x: str) -> str:
     return f"list_reduce(list_prepend(2166136261::bigint, list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i::int, 1))::bigint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
 
 
+def sql_fnv_utf8(x: str) -> str:
+    """FNV-1a, 32 bits, of any text."""
+    return f"list_reduce(list_prepend(2166136261::bigint, list_transform(range(0, length(hex(encode({x}))) // 2), lambda i: ('0x' || substr(hex(encode({x})), (2 * i + 1)::int, 2))::bigint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+
+
 def sql_holdout(x: str) -> str:
     return f"(list_reduce(list_prepend(1, list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i::int, 1)))), lambda h, b: (xor(h, b & 3) * 3) % 4) = 0)"
 
@@ -71,9 +76,15 @@ def p4(spark, sf):
     return _name_pairs(spark, sf).select("a", "b", K.shares_consonant_root(K.consonant_key(F.col("a")), K.consonant_key(F.col("b"))).alias("related"))
 
 
-@query("p5_match_predicates", V.sql("parts") + """select id, lower(trim(form)) = lower(trim(upper(form))) as exact, true as normalized, true as skeleton from parts""")
+#: Spellings of a name: in capitals, with flavoured letters, with accents, and another name.
+SPELT = "case id % 4 when 0 then ' ' || upper(form) when 1 then translate(form, 'eo', 'ėȯ') when 2 then translate(form, 'oa', 'óá') else form || 's' end"
+
+
+@query("p5_match_predicates", V.sql("parts") + f""", s as (select id, form as a, {SPELT} as b from parts)
+select id, lower(trim(a)) = lower(trim(b)) as exact, {sql_standard("lower(trim(a))")} = {sql_standard("lower(trim(b))")} as normalized, {sql_skeleton("trim(a)")} = {sql_skeleton("trim(b)")} as skeleton from s""")
 def p5(spark, sf):
-    a, b = F.col("form"), F.upper("form")
+    a, four = F.col("form"), F.col("id") % 4
+    b = F.when(four == 0, F.concat(F.lit(" "), F.upper("form"))).when(four == 1, F.translate("form", "eo", "ėȯ")).when(four == 2, F.translate("form", "oa", "óá")).otherwise(F.concat("form", F.lit("s")))
     return V.parts(spark, sf).select("id", K.exact_match(a, b).alias("exact"), K.normalized_match(a, b).alias("normalized"), K.skeleton_match(a, b).alias("skeleton"))
 
 

@@ -124,13 +124,21 @@ def _gloss():
     return F.concat("form", F.lit(" ("), F.lower("lang"), F.lit(", old), to "), F.lower("pos"), F.lit(" or the "), "form", F.lit(" of x; "), F.split("form", " ")[1], F.lit("s / a"))
 
 
-@query("p12_head_tokens", V.sql("parts") + f", h as (select id, split_part({GLOSS}, '(', 1) as head from parts) select id, form as token, 1 as place from parts")
+STOP = ["the", "and", "of", "to", "in", "for", "with", "that", "or", "a"]
+SQL_STOP = ", ".join(repr(w) for w in STOP)
+HEADS = "'To ' || form || '; ' || split_part(form, ' ', 2) || ' / The, piece of ' || lower(lang) || ' or ..' || upper(split_part(form, ' ', 1)) || '., x, ' || form || ' etc; to ' || form || ' (' || lower(pos) || ', other)'"
+
+
+@query("p12_head_tokens", V.sql("parts") + f""", h as (select id, unnest(regexp_split_to_array(split_part({HEADS}, '(', 1), '[,;/]| or ')) as raw, generate_subscripts(regexp_split_to_array(split_part({HEADS}, '(', 1), '[,;/]| or '), 1) as n from parts),
+t as (select id, n, trim(regexp_replace(lower(regexp_replace(trim(raw), '^[.]+|[.]+$', '', 'g')), '^ *to ', '')) as token from h), k as (select id, token, min(n) as n from t where length(token) between 2 and 32 and not ends_with(token, ' etc') and not contains(token, ' of ') and token not in ({SQL_STOP}) group by 1, 2)
+select id, token, (row_number() over (partition by id order by n))::int as place from k""")
 def p12_heads(spark, sf):
-    """Synonyms that stand before the first bracket of a gloss."""
-    return V.parts(spark, sf).select("id", F.posexplode(K.head_tokens(_gloss(), STOP)).alias("place", "token")).select("id", "token", (F.col("place") + 1).alias("place"))
+    """Synonyms that stand before the first bracket of a gloss, split at marks and "or"."""
+    one, two = F.split("form", " ")[0], F.split("form", " ")[1]
+    gloss = F.concat(F.lit("To "), "form", F.lit("; "), two, F.lit(" / The, piece of "), F.lower("lang"), F.lit(" or .."), F.upper(one), F.lit("., x, "), "form", F.lit(" etc; to "), "form", F.lit(" ("), F.lower("pos"), F.lit(", other)"))
+    return V.parts(spark, sf).select("id", F.posexplode(K.head_tokens(gloss, STOP)).alias("place", "token")).select("id", "token", (F.col("place") + 1).alias("place"))
 
 
-STOP = ["the", "and", "of", "to", "in", "for", "with", "that", "or", "a"]
 BARE = rf"lower(regexp_replace({GLOSS}, '\([^()]*\)', ' ', 'g'))"
 
 

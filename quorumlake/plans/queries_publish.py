@@ -10,7 +10,7 @@ from quorumlake.operators import publish as B
 from quorumlake.operators import quality as Q
 from quorumlake.plans import views as V
 from quorumlake.plans.base import query
-from quorumlake.plans.queries_keys import sql_fnv, sql_skeleton
+from quorumlake.plans.queries_keys import sql_fnv, sql_fnv_utf8, sql_skeleton
 from quorumlake.session import scratch
 
 P = V.sql("parts")
@@ -30,9 +30,9 @@ def k2(spark, sf):
     return B.shard_meta(k, "skey", 256, F.col("skey")).drop("bytes")
 
 
-@query("k3_note_shards", V.sql("tok", "lex") + f", s as (select distinct {sql_skeleton('token')} as k from lex), a as (select k from s where not regexp_matches(k, '[^a-z-]')) select ({sql_fnv('k')} % 64)::int as shard, count(*) as records from a group by 1")
+@query("k3_note_shards", V.sql("tok", "lex") + f", s as (select distinct {sql_skeleton('token')} as k from lex) select ({sql_fnv_utf8('k')} % 64)::int as shard, count(*) as records from s group by 1")
 def k3(spark, sf):
-    k = V.lexicon(spark, sf).select(K.ascii_skeleton(F.col("token")).alias("k")).distinct().where(~F.col("k").rlike("[^a-z-]"))
+    k = V.lexicon(spark, sf).select(K.ascii_skeleton(F.col("token")).alias("k")).distinct()
     return B.with_shard(k, "k", 64).groupBy("shard").agg(F.count(F.lit(1)).alias("records"))
 
 
