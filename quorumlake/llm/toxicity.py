@@ -40,7 +40,8 @@ ORDER = 3
 #: word's own kernel that its values are divided by.  The first likes letters side by side, the others letters
 #: apart; with a small share what stands between them does not count against a word.
 KERNELS = ((0.6, {3: (1.0,)}), (0.95, {3: (0.3,), 4: (1.0, 0.3)}))
-#: Words whose kernels are summed at once.
+#: Words that are mapped at once, and words whose kernels are summed at once.
+ROWS = 2000
 BLOCK_WORDS = 64
 #: Insults, clean words beside them as landmarks, and cost of a margin's loss.
 LANDMARKS, COUNTER, COST = 48, 48, 300.0
@@ -171,7 +172,17 @@ class Landmarks:
         return out
 
     def features(self, codes: np.ndarray) -> np.ndarray:
-        return np.hstack([k @ root for k, root in zip(self.kernel(codes), self.root)])
+        out = np.empty((len(codes), len(self.w)), np.float32)
+        for i in range(0, len(codes), ROWS):
+            out[i:i + ROWS] = np.hstack([k @ root for k, root in zip(self.kernel(codes[i:i + ROWS]), self.root)])
+        return out
+
+    def likeness(self, words: list[str]) -> np.ndarray:
+        """The greatest kernel value of words with an insult, over all kernels."""
+        out = np.empty(len(words))
+        for i in range(0, len(words), ROWS):
+            out[i:i + ROWS] = sum(k[:, :len(self.insults)].max(axis=1) for k in self.kernel(_codes(words[i:i + ROWS], WINDOW)))
+        return out
 
     def witnesses(self, codes: np.ndarray) -> np.ndarray:
         """Which padded words have the characters of an insult in order, all but one at least, and four."""
@@ -197,7 +208,7 @@ class Landmarks:
                 at.append(group[some])
                 maps.append(self.features(codes[some]))
         if not at:
-            return np.empty(0, np.int64), np.empty((0, len(self.w)))
+            return np.empty(0, np.int64), np.empty((0, len(self.w)), np.float32)
         return np.concatenate(at), np.concatenate(maps)
 
     def learn(self, raw: list[str]) -> None:
@@ -274,50 +285,65 @@ def altered(word: str, letters: str = "xqzkeaonit") -> set[str]:
 def choose_landmarks(texts: list[str], toxic: np.ndarray, clean_weight: float, limit: int = LANDMARKS) -> list[str]:
     """Words and word beginnings that tell toxic texts, each taken for the texts
     that those before it cover least."""
-    tally, docs = [Counter(), Counter()], {}
-    for k, (text, y) in enumerate(zip(texts, toxic.tolist())):
-        found = set()
+    def found(text: str) -> set[str]:
+        out = set()
         for w in {plain(r) for r in text.lower().split()}:
             if ORDER <= len(w) <= WINDOW:
-                found.update(w[:n] for n in range(4, min(8, len(w)) + 1))
+                out.update(w[:n] for n in range(4, min(8, len(w)) + 1))
                 if len(w) <= 12:
-                    found.add(w)
-        tally[y].update(found)
-        if y:
-            for f in found:
-                docs.setdefault(f, []).append(k)
+                    out.add(w)
+        return out
+
+    docs: dict[str, list[int]] = {}
+    for k in np.flatnonzero(toxic).tolist():
+        for f in found(texts[k]):
+            docs.setdefault(f, []).append(k)
     floor = max(2, int(toxic.sum()) // 150)
+    docs = {f: at for f, at in docs.items() if len(at) >= floor}
+    clean: Counter = Counter()
+    for k in np.flatnonzero(toxic == 0).tolist():
+        clean.update(found(texts[k]) & docs.keys())
     scored = {}
-    for f, a in tally[1].items():
-        p = a / (a + clean_weight * tally[0][f])
-        if a >= floor and p >= 0.5:
-            scored[f] = (p, np.array(docs[f]))
+    for f, at in docs.items():
+        p = len(at) / (len(at) + clean_weight * clean[f])
+        if p >= 0.5:
+            scored[f] = (p, np.array(at))
     weight, chosen = np.ones(len(texts)), []
     while scored and len(chosen) < limit:
         f = max(scored, key=lambda f: (round(scored[f][0] ** 2 * weight[scored[f][1]].sum(), 9), len(f), f))
         p, at = scored.pop(f)
-        if p * p * weight[at].sum() < 1:
+        if p * p * weight[at].sum() < max(1.0, 0.003 * toxic.sum()):
             break
-        if any(f.startswith(z) or z.startswith(f) for z in chosen):
-            continue
         chosen.append(f)
+        scored = {g: v for g, v in scored.items() if not g.startswith(f) and not f.startswith(g)}
         weight[at] *= 0.6
     return chosen
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Linear support vector machine (squared hinge), by Newton steps; the last value is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    s, w = np.where(y > 0, 1.0, -1.0), np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+def fit_svm(x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0, start: np.ndarray | None = None, rounds: int = 40) -> np.ndarray:
+    """Linear support vector machine (squared hinge) of rows ``at`` of x (-1: a row of
+    zeros), by Newton steps over blocks of rows until the rows within the margin stay
+    the same; the last value is the bias."""
+    s, d = np.where(y > 0, 1.0, -1.0), x.shape[1] + 1
+    ridge, w = np.eye(d), np.zeros(d) if start is None else start
     ridge[-1, -1] = 1e-6
-    for _ in range(rounds):
-        on = s * (x @ w) < 1
-        c = cost * weight[on]
-        new = np.linalg.solve(ridge + (x[on].T * c) @ x[on], (x[on].T * c) @ s[on])
-        if np.allclose(new, w, atol=1e-8):
+    before = None
+    for k in range(rounds):
+        hess, grad, within = ridge.copy(), np.zeros(d), []
+        for i in range(0, len(at), ROWS):
+            part = np.ones((len(at[i:i + ROWS]), d))
+            part[:, :-1] = x[at[i:i + ROWS]]
+            part[at[i:i + ROWS] < 0, :-1] = 0
+            on = s[i:i + ROWS] * (part @ w) < 1
+            part, c = part[on], cost * weight[i:i + ROWS][on]
+            hess += (part.T * c) @ part
+            grad += (part.T * c) @ s[i:i + ROWS][on]
+            within.append(on)
+        within = np.concatenate(within)
+        if before is not None and (within == before).all():
             break
-        w = 0.5 * w + 0.5 * new if _ > 20 else new
+        before, new = within, np.linalg.solve(hess, grad)
+        w = 0.5 * w + 0.5 * new if k > 15 else new
     return w
 
 
@@ -370,12 +396,12 @@ def fit(texts: list[str], y: np.ndarray, ratio: float) -> dict | None:
     insults = choose_landmarks(texts, y, clean_weight)
     if not insults:
         return None
-    bags = []
+    bags, shared = [], {}
     for t in texts:
         words = t.lower().split()
         bare = [plain(w) for w in words]
         single = np.fromiter((len(b) == 1 and len(w) <= 2 for b, w in zip(bare, words)), bool, len(words))
-        bags.append(sorted({p for w in [*bare, *apart_letters(words, single)] for p in windows(w) if len(p) >= ORDER}))
+        bags.append(sorted({shared.setdefault(p, p) for w in [*bare, *apart_letters(words, single)] for p in windows(w) if len(p) >= ORDER}))
     vocabulary = sorted(set().union(*bags))
     first = Landmarks(insults)
     at, _ = first.mapped(vocabulary)
@@ -385,18 +411,15 @@ def fit(texts: list[str], y: np.ndarray, ratio: float) -> dict | None:
     # the clean words most like an insult are landmarks too
     near = sorted(clean)
     if near:
-        like = sum(k[:, :len(insults)].max(axis=1) for k in first.kernel(_codes(near, WINDOW)))
+        like = first.likeness(near)
         near = [near[i] for i in np.lexsort((np.arange(len(near)), -like))[:COUNTER] if near[i] not in insults]
     marks = Landmarks(insults, near)
-    words = sorted(able)
-    at, x = marks.mapped(words)
-    x = dict(zip([words[i] for i in at.tolist()], x))
     copies = {w: [c for c in sorted(altered(w)) if c not in clean] for w in sorted(able) if any(w.startswith(z) for z in insults)}
-    flat = sorted(set().union(*copies.values()) - x.keys()) if copies else []
-    at, more = marks.mapped(flat)
-    x |= dict(zip([flat[i] for i in at.tolist()], more))
+    words = sorted(able.union(*copies.values()))
+    at, x = marks.mapped(words)
+    row = {words[i]: k for k, i in enumerate(at.tolist())}
 
-    def machine(rows: np.ndarray) -> tuple[np.ndarray, float]:
+    def machine(rows: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
         seen = Counter(w for k in rows[y[rows] == 0] for w in bags[k])
         told = Counter(w for k in rows[y[rows] > 0] for w in bags[k] if any(w.startswith(z) for z in insults))
         told = {a: n for a, n in told.items() if n > clean_weight * seen.get(a, 0)}
@@ -407,26 +430,27 @@ def fit(texts: list[str], y: np.ndarray, ratio: float) -> dict | None:
         for a, n in told.items():
             if n < COPY_SHARE * (y[rows] > 0).sum():
                 continue
-            known = [c for c in copies.get(a, ()) if c in x]
+            known = [c for c in copies.get(a, ()) if c in row]
             for c in known:
                 virtual[c] += COPIES * n / len(known)
         names = [*told, *virtual, *rest]
         # a word unlike all landmarks is clean
         target = np.array([1] * (len(told) + len(virtual)) + [0] * (len(rest) + 1))
         weight = np.array([*told.values(), *virtual.values(), *(clean_weight * n for n in rest.values()), clean_weight * (y[rows] == 0).sum()], float)
-        fitted = fit_svm(np.array([*(x[a] for a in names), np.zeros(len(marks.w))]), target, weight, COST)
+        at = np.array([row[a] for a in names] + [-1])
+        fitted = fit_svm(x, at, target, weight, COST, start)
         return fitted[:-1], float(fitted[-1])
 
     def margin_of(k: int, w: np.ndarray, bias: float) -> float:
-        return max([FLOOR, *(float(x[a] @ w + bias) for a in bags[k])])
+        return max([FLOOR, *(float(x[row[a]] @ w + bias) for a in bags[k])])
 
     # margins of rows that the machine was not fitted on, for the link
     every, margin = np.arange(len(y)), np.zeros(len(y))
+    w, bias = machine(every)
     for k in range(4):
-        w, bias = machine(every[every % 4 != k])
+        part, b = machine(every[every % 4 != k], np.append(w, bias))
         for i in every[every % 4 == k].tolist():
-            margin[i] = margin_of(i, w, bias)
-    w, bias = machine(every)
+            margin[i] = margin_of(i, part, b)
     return {"insults": insults, "clean": near, "w": w, "bias": bias, "link": fit_link(margin, y, np.where(y > 0, 1.0, STRICT * clean_weight))}
 
 
