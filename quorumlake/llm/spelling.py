@@ -140,7 +140,7 @@ def _sides(words: DataFrame) -> DataFrame:
     lo and hi of the cut word; the rest of it is equal."""
     length = F.char_length("word")
     kinds = F.array(*[F.struct(F.lit(gram).alias("gram"), (length - less).cast("int").alias("size")) for gram, less in ((False, 0), (True, 0), (True, 1))])
-    return words.select("word", "n", F.explode(kinds).alias("k")).select("word", "n", "k.gram", "k.size", F.lit(0).alias("lo"), F.col("k.size").alias("hi")).where("size > 0")
+    return words.select("word", "n", F.explode(kinds).alias("k")).select("word", "n", "k.gram", "k.size", F.lit(0).alias("lo"), F.col("k.size").alias("hi")).where("size >= 0")
 
 
 def _halved(rows: DataFrame) -> DataFrame:
