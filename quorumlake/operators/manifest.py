@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlake.functions.keys import one_zero
 from quorumlake.session import written
 
 SCHEMA = "shard int, digest string, records long, release int"
@@ -17,7 +18,8 @@ SCHEMA = "shard int, digest string, records long, release int"
 
 def shard_digests(rows: DataFrame, shard: Column, columns: list[str]) -> DataFrame:
     """(shard, digest, records): sums of the rows' digests, combined before the shuffle."""
-    line = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    values = [one_zero(F.col(f"`{c}`"), rows.schema[c].dataType).alias(c) for c in columns]
+    line = F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256)
     parts = [F.sum(F.conv(F.substring(line, 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")) for i in range(4)]
     sums = rows.groupBy(shard.cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("records"), *[p.alias(f"s{i}") for i, p in enumerate(parts)])
     return sums.select("shard", F.sha2(F.concat_ws(":", "shard", "records", *[F.col(f"s{i}").cast("string") for i in range(4)]), 256).alias("digest"), "records")
