@@ -57,7 +57,8 @@ def write_shards(docs: DataFrame, path: str, *, shards: int, seed: int = 0, text
               .agg(F.collect_list(F.struct("record", "size")).alias("all")))
     at = F.col("before") + F.col("pos")
     shard = F.expr(f"(before + pos) * {shards} div {max(1, total['n'])}")
-    out = (packed.join(counts, "bucket")
+    # a row a bucket, BUCKETS at most: broadcast, as a join by key would shuffle all records once more
+    out = (packed.join(F.broadcast(counts), "bucket")
            .select("before", F.posexplode(F.shuffle("all", F.lit(seed + 1))).alias("pos", "one"))
            .select("one.record", "one.size", at.alias("at"), shard.cast("int").alias("shard")))
     first = F.expr(f"(shard * {max(1, total['n'])}L + {shards - 1}) div {shards}")
