@@ -97,3 +97,26 @@ def test_rare_skeletons_spare_hot_blocks(spark, monkeypatch):
     assert got == {(i, i + n, 0.89) for i in range(n)}
     assert met == [n, 0, 0]  # before, all 90000 pairs met by the hot token and the common skeleton
     assert blocklink.block_link(groups.withColumn("sks", F.array(F.lit("common"))), entries).count() == n and met[3] <= n  # one kind of group
+
+
+def test_search_reads_few_of_equal_terms(spark, monkeypatch):
+    r, kept = random.Random(5), {}
+    rows = [(i, r.choice(["blue ring", "old bolt", "bolt", "ring bo"]), r.choice(["bolt; x", "a blue bolt", ""]), [("bolt", r.choice([1, 2]))], [(r.choice(["Bolt", "bo", "Ringo"]), r.random() < 0.5)]) for i in range(300)]
+    table = spark.createDataFrame(rows, "entry long, title string, gloss string, keys array<struct<key:string,rank:int>>, aliases array<struct<word:string,first:boolean>>")
+    asked, stop = ["bolt", "b", "bo", "ring", "x", "blue ring", "to ringo"], 9
+    terms = [t.asDict() for t in prefix.terms_of(table, K.ascii_skeleton).collect()]
+    want = {}
+    for q in asked:
+        s, best = q.removeprefix("to "), {}
+        for t in terms:
+            for side in ("plain", "fold"):
+                begins = t[f"begins_{side}"] if t["text"].startswith(s) and len(s) >= t["begins_least"] else 0
+                best[t["entry"]] = max(best.get(t["entry"], 0), begins, t[f"eq_{side}"] if t["text"] == s else 0)
+        read = sorted(e for e, n in best.items() if n)[:stop + 1]
+        want[q] = sorted(((e, best[e]) for e in read), key=lambda x: (-x[1], rows[x[0]][1], x[0]))
+    written = prefix.written
+    monkeypatch.setattr(prefix, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    monkeypatch.setattr(prefix, "discard", lambda *tables: kept.update(rows=kept["terms"].groupBy(*[c for c in kept["terms"].columns if c not in ("entry", "n")]).count().agg(F.max("count")).first()[0]))
+    out = prefix.search(spark.createDataFrame([(x,) for x in asked], "q string"), prefix.terms_of(table, K.ascii_skeleton), table.select("entry", "title"), K.ascii_skeleton, stop=stop).collect()
+    assert {q: [(x["entry"], x["score"]) for x in sorted(out, key=lambda x: x["k"]) if x["q"] == q] for q in asked} == want
+    assert kept["rows"] == stop + 1
