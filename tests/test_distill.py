@@ -85,3 +85,10 @@ def test_pages_wait_for_their_parents_in_any_order(spark):
             assert {r["id"]: (r["value"], r["hops"]) for r in got} == want and len(got) == len(want)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_pages_wait_without_python_a_key(spark, tmp_path):
+    schema = "id string, parent string, value string"
+    spark.createDataFrame([("a", None, "v")], schema).write.parquet(str(tmp_path / "in"))
+    plan = pending.settled_pages(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))._jdf.queryExecution().logical().toString()
+    assert "Join Inner" in plan and "TransformWithState" not in plan  # a call of Python for each key and hop took too long
