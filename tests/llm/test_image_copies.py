@@ -113,3 +113,29 @@ def test_descriptors_do_not_depend_on_neighbours(size):
     images = [rng.integers(0, 255, size).astype(np.uint8) for _ in range(5)]
     together, alone = points(images), [points([x]) for x in images]
     assert all((together[k][0] == alone[k][0][0]).all() and together[k][1] == alone[k][0][1] for k in range(5))
+
+
+def test_copies_that_share_hot_keys_only_link(spark):
+    rng, images = originals(40)
+    images[31] = np.clip(images[30].astype(int) + rng.integers(-3, 4, images[30].shape), 0, 255).astype(np.uint8)
+    images[20] = images[21].copy()  # under the same keys, but of one corner only
+    own = iter(range(1000, 100000))
+    rows = []
+    for n, (p, _) in points(images).items():
+        hot = [7, next(own), next(own), next(own), next(own) if n in (20, 21) else 8, next(own), next(own), next(own)]
+        rows.append((n, hot, bytearray(p.tobytes())))
+    found = spark.createDataFrame(rows, "node long, keys array<long>, points binary")
+    pairs = {(r["a"], r["b"]) for r in image_copies.links(found).select("a", "b").collect()}
+    assert pairs == {(31, 30)}  # neither is a leader of the 40 images of a key
+
+
+def test_pairs_across_classes(monkeypatch):
+    monkeypatch.setattr(image_copies, "ACROSS", 7)
+    rng = np.random.default_rng(3)
+    rows = [(k, n, n % 5, c) for k in range(4) for n, c in zip(rng.permutation(30)[:9 + 5 * k].tolist(), rng.integers(0, 3, 30).tolist())]
+    key, node, corner, component = (pa.array(x, pa.int64()) for x in zip(*rows))
+    of = {n: c for _, n, _, c in rows}
+    batch = pa.RecordBatch.from_arrays([key, node, corner.cast(pa.int32()), pa.array([of[n] for n in node.to_pylist()], pa.int64())], ["key", "node", "corner", "component"])
+    got = sorted(t for x in image_copies._across([batch]) for t in zip(*(c.to_pylist() for c in x.columns)))
+    want = sorted((a, b, a % 5, b % 5, 9 + 5 * k > image_copies.BUCKET) for k in range(4) for _, a, *_ in [r for r in rows if r[0] == k] for _, b, *_ in [r for r in rows if r[0] == k] if a > b and of[a] != of[b])
+    assert got == want
