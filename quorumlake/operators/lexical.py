@@ -7,14 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def repeated(rows: DataFrame, id_col: str, flag: str) -> DataFrame:
+    """``rows`` with a flag: whether several rows have this id."""
+    return rows.withColumn(flag, F.count(F.lit(1)).over(W.partitionBy(id_col)) > 1)
+
+
+#: Ids of one kind of rows that meet a row together.
+CHUNK = 1000
+
+
 def synonym_edges(rows: DataFrame, id_col: str, lang: str, trans: str, pos: str, toks: str, key: str, least: int = 3) -> DataFrame:
     """Symmetric (id, other): two rows share a translation of a language, are of
-    one class, and have disjoint gloss tokens and other keys."""
-    e = rows.where(F.length(trans) >= least).select(F.col(id_col).alias("i"), lang, trans, F.col(pos).alias("p"), F.col(toks).alias("t"), F.col(key).alias("k"))
-    a, b = e.alias("a"), e.alias("b")
-    met = a.join(b, (F.col(f"a.{lang}") == F.col(f"b.{lang}")) & (F.col(f"a.{trans}") == F.col(f"b.{trans}")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.i") < F.col("b.i")))
-    pairs = met.where(~F.arrays_overlap("a.t", "b.t") & (F.col("a.k") != F.col("b.k"))).select(F.col("a.i").alias("x"), F.col("b.i").alias("y")).distinct()
-    return pairs.select(F.col("x").alias(id_col), F.col("y").alias("other")).unionByName(pairs.select(F.col("y").alias(id_col), F.col("x").alias("other")))
+    one class, and have disjoint gloss tokens and other keys.
+
+    Ids of one row meet each other once: they leave the join as they are, without a
+    shuffle of pairs, and meet chunks of ids whose rows are equal but for the id.
+    Only pairs of ids of several rows are made distinct.
+    """
+    e = rows.where(F.length(trans) >= least).select(F.col(id_col).alias("i"), F.col(lang).alias("l"), F.col(trans).alias("tr"), F.col(pos).alias("p"), F.col(toks).alias("t"), F.col(key).alias("k"))
+    e = repeated(e.where("i is not null and k is not null and t is not null"), "i", "many")
+    once, many = e.where("not many"), e.where("many")
+    kind, n = ["l", "tr", "p", "t", "k"], F.row_number().over(W.partitionBy("l", "tr", "p", "t", "k").orderBy("i"))
+    chunks = once.withColumn("n", F.floor((n - 1) / CHUNK)).groupBy(*kind, "n").agg(F.collect_list("i").alias("others"))
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        a, b = x.alias("a"), y.alias("b")
+        return a.join(b, (F.col("a.l") == F.col("b.l")) & (F.col("a.tr") == F.col("b.tr")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.k") != F.col("b.k")) & ~F.arrays_overlap("a.t", "b.t"))
+
+    plain = met(once, chunks).select(F.col("a.i").alias(id_col), F.explode("b.others").alias("other"))
+    some = met(many, e).select(F.col("a.i").alias(id_col), F.col("b.i").alias("other")).where(F.col(id_col) != F.col("other"))
+    return plain.unionByName(some.unionByName(some.select(F.col("other").alias(id_col), F.col(id_col).alias("other"))).distinct())
 
 
 def cross_source_index(rows: DataFrame, token: str, lang: str, word: str, most_rows: int = 150, most_words: int = 5) -> DataFrame:
