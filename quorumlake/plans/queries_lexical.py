@@ -89,11 +89,14 @@ def j17(spark, sf):
 
 @query("j18_best_alternative", P + ", c as (select a.form, b.id, count(*) filter (contains(a.lang, left(b.lang, 7))) as bridges, max(b.freq) as freq from parts a join parts b on a.pos = b.pos and split_part(a.form, ' ', 2) = split_part(b.form, ' ', 2) and a.form <> b.form group by 1, 2), r as (select *, row_number() over (partition by form order by bridges > 0 desc, bridges desc, freq desc, id) as k from c) select form, id, bridges from r where k = 1")
 def j18(spark, sf):
-    p = V.parts(spark, sf).withColumn("tail", F.element_at(F.split("form", " "), -1))
+    p = X.repeated(V.parts(spark, sf).withColumn("tail", F.element_at(F.split("form", " "), -1)), "id", "many")
     # equal rows of the asking side count as often as they are, and meet once
     a = p.groupBy("form", "pos", "tail", F.col("lang")).agg(F.count(F.lit(1)).alias("times"))
-    b = p.select("id", "pos", "tail", F.col("form").alias("oform"), F.col("lang").alias("olang"), "freq")
-    c = a.join(b, ["pos", "tail"]).where("form <> oform").groupBy("form", "id").agg(F.sum(F.when(F.contains("lang", F.left("olang", F.lit(7))), F.col("times")).otherwise(0)).alias("bridges"), F.max("freq").alias("freq"))
+    # rows of one kind have equal bridges: only their best one meets
+    b = p.select("id", "pos", "tail", F.col("form").alias("oform"), F.col("lang").alias("olang"), "freq", "many")
+    kinds = b.where("not many").groupBy("pos", "tail", "oform", "olang").agg(F.max_by(F.struct("id", "freq"), F.struct("freq", -F.col("id"))).alias("x")).select("x.id", "pos", "tail", "oform", "olang", "x.freq")
+    met = kinds.unionByName(b.where("many").drop("many"))
+    c = a.join(met, ["pos", "tail"]).where("form <> oform").groupBy("form", "id").agg(F.sum(F.when(F.contains("lang", F.left("olang", F.lit(7))), F.col("times")).otherwise(0)).alias("bridges"), F.max("freq").alias("freq"))
     return c.groupBy("form").agg(F.max_by(F.struct("id", "bridges"), F.struct(F.col("bridges") > 0, "bridges", "freq", -F.col("id"))).alias("x")).select("form", "x.id", "x.bridges")
 
 
