@@ -1,5 +1,6 @@
 """Queries whose work outgrew their input: same rows as the SQL, on tables with repeated ids, and no step that carries pairs."""
 
+import re
 from collections import Counter
 
 import duckdb
@@ -41,7 +42,7 @@ def test_synonyms_of_repeated_ids(spark, parts, monkeypatch, chunk):
 def test_pairs_of_synonyms_are_not_shuffled(spark):
     rows = spark.range(500).selectExpr("id", "'en' as lang", "'word' as tr", "'n' as pos", "array(cast(id % 5 as string)) as toks", "cast(id % 5 as string) as form")
     plan = final_plan(lexical.synonym_edges(rows, "id", "lang", "tr", "pos", "toks", "form"))
-    assert not [line for line in plan.splitlines() if "Exchange" in line and "other#" in line]
+    assert not re.search("(?<!Object)HashAggregate", plan)
 
 
 def test_best_alternative_of_repeated_ids(spark, parts):
