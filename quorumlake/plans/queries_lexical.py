@@ -11,6 +11,7 @@ from quorumlake.operators.cluster import connected_components
 from quorumlake.plans import views as V
 from quorumlake.plans.base import query
 from quorumlake.plans.queries_keys import sql_consonants, sql_skeleton
+from quorumlake.session import discard, written
 
 P = V.sql("parts")
 LEX = V.sql("tok", "lex")
@@ -133,7 +134,11 @@ def a33(spark, sf):
 
 @query("a29_low_evidence", V.sql("tok") + f", r as (select distinct {sql_consonants('token')} as k, lang, source, token, left(token, 3) as g from tok where length(token) >= 4), l as (select * from r where length(k) >= 4), sh as (select k, g from l group by 1, 2 having count(distinct lang) >= 2), a as (select k, count(distinct lang) as langs from l group by 1 having count(distinct lang) >= 2 and count(distinct source) >= 2), s as (select k, arg_min(token, (length(token), token)) as gloss from l join sh using (k, g) group by 1), taken as (select distinct k from l where token like '%tion') select k as ckey, langs, gloss from a join s using (k) where k not in (select k from taken)")
 def a29(spark, sf):
-    l = V.words(spark, sf).where(F.length("token") >= 4).select(K.consonant_key(F.col("token")).alias("ckey"), "lang", "source", "token").distinct().where(F.length("ckey") >= 4).withColumn("g", F.left("token", F.lit(3)))  # noqa: E741
+    docs = V.table(spark, sf, "documents").select("lang", "source", F.explode_outer(F.array_distinct(K.tokens(F.col("text")))).alias("token"))
+    # written: keys are made once for each word of a language and source, not for each of its uses
+    seen = written(docs.where(F.length("token") >= 4).distinct(), "words")
+    l = written(seen.withColumn("ckey", K.consonant_key(F.col("token"))), "keyed").where(F.length("ckey") >= 4).withColumn("g", F.left("token", F.lit(3)))  # noqa: E741
+    discard(seen)
     taken = l.where("token like '%tion'").select("ckey").distinct()
     return X.low_evidence(l, "ckey", "lang", "source", "token", "g", taken)
 
