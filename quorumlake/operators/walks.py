@@ -8,6 +8,7 @@ stream of sorted rows; the state is what the walk itself must remember, never th
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,8 @@ from quorumlake.session import discard, shuffle_partitions, written
 
 #: Rounds before what is left is walked in order.
 ROUNDS = 8
+#: A group of at most so many right rows is matched by the walk at once: their ids are its state.
+WALKED = 1_000_000
 
 
 def _streamed(df: DataFrame, group: str, order: list[str], walk, schema: str) -> DataFrame:
@@ -76,10 +79,60 @@ def greedy_match(left: DataFrame, right: DataFrame, related: DataFrame, group: s
     is related (group, lkey, rkey) to its own.  Each row is in one pair at most; rows
     without a pair are not returned; null keys are related to nothing.
 
-    In a round the n-th free left row of a key proposes to the n-th free right row
-    that its key may take, and of several the least wins.  Before a group's first
-    loser, every pair is as the walk makes it.
+    Groups of up to WALKED right rows are walked, with one queue of right ids a key.
+    In larger ones rounds come first, in which the n-th free left row of a key proposes
+    to the n-th free right row that its key may take, and of several the least wins.
+    Before a group's first loser, every pair is as the walk makes it.
     """
+    sizes = right.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > WALKED).select(group)
+    if large.isEmpty():
+        return _walk_queues(left, right, related, group)
+    small = lambda df: df.join(large, [group], "left_anti")
+    big = lambda df: df.join(large, [group], "left_semi")
+    return _walk_queues(small(left), small(right), small(related), group).unionByName(_rounds(big(left), big(right), big(related), group))
+
+
+def _walk_queues(left: DataFrame, right: DataFrame, related: DataFrame, group: str) -> DataFrame:
+    """The walk itself: related keys of a group first, then its right rows in order,
+    then its left rows in order.  All who may take a key's right rows take the first
+    free one of them, so a key's free rows are the rest of its queue."""
+    kind = related.schema[group].dataType.simpleString(), left.schema["left"].dataType.simpleString(), right.schema["right"].dataType.simpleString()
+    # no nulls in whole numbers, which pandas would make floats
+    none = lambda t: F.lit(0 if t.endswith("int") else None).cast(t)
+    known = related.select(group, F.lit(0).alias("turn"), "lkey", "rkey", none(kind[1]).alias("left"), none(kind[2]).alias("right")).distinct()
+    rights = right.where("key is not null and right is not null").select(group, F.lit(1).alias("turn"), none("string").alias("lkey"), F.col("key").alias("rkey"), none(kind[1]).alias("left"), "right").distinct()
+    lefts = left.where("key is not null").select(group, F.lit(2).alias("turn"), F.col("key").alias("lkey"), none("string").alias("rkey"), "left", none(kind[2]).alias("right"))
+
+    def walk():
+        keys, queues, used = {}, {}, set()
+
+        def step(row):
+            if row.turn == 0:
+                keys.setdefault(row.lkey, []).append(row.rkey)
+                return None
+            if row.turn == 1:
+                queues.setdefault(row.rkey, deque()).append(row.right)
+                return None
+            best = None
+            for k in keys.get(row.lkey, ()):
+                q = queues.get(k)
+                while q and q[0] in used:
+                    q.popleft()
+                if q and (best is None or q[0] < best[0]):
+                    best = q
+            if best is None:
+                return None
+            used.add(best[0])
+            return getattr(row, group), row.left, best.popleft()
+
+        return step
+
+    return _streamed(known.unionByName(rights).unionByName(lefts), group, ["turn", "left", "right"], walk, f"`{group}` {kind[0]}, left {kind[1]}, right {kind[2]}")
+
+
+def _rounds(left: DataFrame, right: DataFrame, related: DataFrame, group: str) -> DataFrame:
+    """The rounds, then the walk of what they leave."""
     free = written(left.where("key is not null").select(group, F.col("key").alias("lkey"), "left"), "free")
     takes = written(right.select(group, F.col("key").alias("rkey"), "right").join(related, [group, "rkey"]).select(group, "lkey", "right").distinct(), "open")
     pairs = []

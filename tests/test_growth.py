@@ -6,8 +6,9 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quorumlake.operators import lexical
+from quorumlake.operators import lexical, walks
 from quorumlake.plans import catalog
+from tests.test_walks import matched, walk_pairs
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +53,11 @@ def test_best_alternative_of_repeated_ids(spark, parts):
 def test_rows_of_a_kind_meet_once(spark, parts):
     plan = final_plan(catalog.queries()["j18_best_alternative"](spark, parts))
     assert [line for line in plan.splitlines() if "max_by" in line and "oform" in line]
+
+
+@pytest.mark.parametrize("walked", [0, 1_000_000])
+def test_walks_and_rounds_agree(spark, monkeypatch, walked):
+    monkeypatch.setattr(walks, "WALKED", walked, raising=False)
+    key = lambda i: ["br", "brt", "", None, "rt", "tb"][i * 7 % 6]
+    left, right = [(f"g{i % 2}", key(i), 2**60 + i) for i in range(40)], [(f"g{i % 2}", key(i + 1), 2**61 + i) for i in range(36)]
+    assert {tuple(x) for x in matched(spark, left, right).collect()} == walk_pairs(left, right)
