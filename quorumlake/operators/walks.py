@@ -161,7 +161,8 @@ def _rounds(left: DataFrame, right: DataFrame, related: DataFrame, group: str) -
 def _walk_matches(free: DataFrame, takes: DataFrame, group: str) -> DataFrame:
     """The walk itself: right rows of a group's keys first, then its left rows in order."""
     kind = free.schema[group].dataType.simpleString(), free.schema["left"].dataType.simpleString(), takes.schema["right"].dataType.simpleString()
-    rows = takes.select(group, "lkey", F.lit(0).alias("turn"), F.lit(None).cast(kind[1]).alias("left"), "right").unionByName(free.select(group, "lkey", F.lit(1).alias("turn"), "left", F.lit(None).cast(kind[2]).alias("right")))
+    none = lambda t: F.lit(0 if t.endswith("int") else None).cast(t)  # noqa: E731  (see _walk_queues)
+    rows = takes.select(group, "lkey", F.lit(0).alias("turn"), none(kind[1]).alias("left"), "right").unionByName(free.select(group, "lkey", F.lit(1).alias("turn"), "left", none(kind[2]).alias("right")))
 
     def walk():
         rights, used = {}, set()
