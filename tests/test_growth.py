@@ -63,3 +63,8 @@ def test_walks_and_rounds_agree(spark, monkeypatch, walked):
     key = lambda i: ["br", "brt", "", None, "rt", "tb"][i * 7 % 6]
     left, right = [(f"g{i % 2}", key(i), 2**60 + i) for i in range(40)], [(f"g{i % 2}", key(i + 1), 2**61 + i) for i in range(36)]
     assert {tuple(x) for x in matched(spark, left, right).collect()} == walk_pairs(left, right)
+
+
+def test_rewriting_stays_above_the_counts(spark, sf):
+    plan = catalog.queries()["a22_rule_fired_index"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]
