@@ -76,57 +76,83 @@ VERBS = Inventory(
 LADDER = {"independent": (), "endings": ("core",), "prefixes": ("core", "prefix"), "secondary": ("core", "prefix", "secondary")}
 
 
+def _related(x: Column, y: Column) -> Column:
+    return x.endswith(y) | y.endswith(x) | K.shares_consonant_root(x, y)
+
+
 def belong(a: Column, b: Column) -> Column:
     """Whether the consonant keys of two forms are related."""
-    x, y = K.consonant_key(a), K.consonant_key(b)
-    return x.endswith(y) | y.endswith(x) | K.shares_consonant_root(x, y)
+    return _related(K.consonant_key(a), K.consonant_key(b))
 
 
-def _choices(rules: list[tuple[int, Rule]], source: Column) -> Column:
-    """Distinct (form, rule, place) that the rules make of a form; of equal forms the first rule's."""
-    made = []
-    for i, r in rules:
-        fits = source.endswith(r.ending)
-        for u in r.unless:
-            fits = fits & ~source.endswith(u)
-        form = F.concat(F.substr(source, F.lit(1), F.length(source) - len(r.ending)), F.lit(r.put))
-        made.append(F.when(fits & (form != source), F.struct(form.alias("form"), F.lit(r.name).alias("rule"), F.lit(i).alias("place"))))
-    if not made:
-        return F.array().cast("array<struct<form:string,rule:string,place:int>>")
-    known = F.filter(F.array(*made), lambda x: x.isNotNull())
-    return F.filter(known, lambda x, i: ~F.exists(F.slice(known, 1, i), lambda y: y["form"] == x["form"]))
+def _listed(rows: list[Column], kind: str) -> Column:
+    return F.array(*rows) if rows else F.array().cast(f"array<struct<{kind}>>")
+
+
+def _made(rules: list[tuple[int, Rule]], source: Column, key: Column, price) -> Column:
+    """(cost, rule, place, form, level) of the forms that rules make of a form, if their
+    keys are related to its own.  The rules are data, so the expression stays small however many they are."""
+    listed = _listed([F.struct(F.lit(i).alias("place"), F.lit(r.name).alias("rule"), F.lit(r.level).alias("level"), F.lit(r.ending).alias("ending"), F.lit(r.put).alias("put"),
+                               F.array(*map(F.lit, r.unless)).cast("array<string>").alias("unless")) for i, r in rules], "place:int,rule:string,level:string,ending:string,put:string,unless:array<string>")
+    fits = F.filter(listed, lambda r: source.endswith(r["ending"]) & ~F.exists(r["unless"], lambda u: source.endswith(u)))
+    forms = F.filter(F.transform(fits, lambda r: F.struct(r.alias("r"), F.concat(F.substr(source, F.lit(1), F.length(source) - F.length(r["ending"])), r["put"]).alias("form"))), lambda c: c["form"] != source)
+    keyed = F.transform(forms, lambda c: F.struct(c["r"].alias("r"), c["form"].alias("form"), K.consonant_key(c["form"]).alias("key")))  # once for all tests of a key
+    return F.transform(F.filter(keyed, lambda c: _related(c["key"], key)), lambda c: F.struct(price(c["form"]).alias("cost"), c["r"]["rule"].alias("rule"), c["r"]["place"].alias("place"), c["form"].alias("form"), c["r"]["level"].alias("level")))
+
+
+def _with_options(pairs: DataFrame, inventory: Inventory, first: str, second: str, first_score: str, second_score: str) -> DataFrame:
+    """``pairs`` with what all configurations choose from: __held (the first is the
+    stronger), __odd, __agree, and the options by rules and by prefixes, which only
+    pairs have that neither are irregular nor belong together."""
+    a, b = F.col(first), F.col(second)
+    plain = lambda c: K.to_standard(F.lower(F.trim(c)))
+    keys = pairs.select("*", K.consonant_key(a).alias("__ka"), K.consonant_key(b).alias("__kb"), plain(a).alias("__na"), plain(b).alias("__nb"),
+                        (F.coalesce(F.col(first_score), F.lit(0.0)) >= F.coalesce(F.col(second_score), F.lit(0.0))).alias("__held"))
+    ka, kb, held = F.col("__ka"), F.col("__kb"), F.col("__held")
+    irregular = F.lit(None).cast("struct<x:string,y:string>")
+    for x, y in reversed(inventory.exceptions):
+        irregular = F.when((F.col("__na") == plain(F.lit(x))) | (F.col("__nb") == plain(F.lit(y))), F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))).otherwise(irregular)
+    judged = keys.select("*", irregular.alias("__odd"), F.coalesce(_related(ka, kb), F.lit(False)).alias("__agree"))
+    price = lambda old, score: lambda form: F.round(F.coalesce(K.normalized_edit_distance(form, old), F.lit(1.0)) + F.greatest(F.coalesce(F.col(score), F.lit(0.0)), F.lit(0.0)), 6)
+    of = lambda side: [(i, r) for i, r in enumerate(inventory.rules) if r.makes == side]
+    ruled = F.when(held, _made(of("second"), a, ka, price(b, second_score))).otherwise(_made(of("first"), b, kb, price(a, first_score)))
+    listed = _listed([F.struct(F.lit(p).alias("prefix"), F.lit(len(inventory.rules) + i).alias("place")) for i, p in enumerate(inventory.prefixes)], "prefix:string,place:int")
+    begun = F.filter(listed, lambda p: b.startswith(p["prefix"]) & ~a.startswith(p["prefix"]))
+    rest = F.filter(F.transform(begun, lambda p: F.struct(p.alias("p"), F.substr(b, F.length(p["prefix"]) + 1).alias("rest"))), lambda c: (c["rest"] != "") & (K.normalized_edit_distance(a, c["rest"]) <= inventory.near))
+    form = lambda c: F.concat(c["p"]["prefix"], a)
+    moved = F.transform(rest, lambda c: F.struct(price(b, second_score)(form(c)).alias("cost"), F.lit("prefix-perfectivization").alias("rule"), c["p"]["place"].alias("place"), form(c).alias("form"), F.lit("prefix").alias("level")))
+    open_ = F.col("__odd").isNull() & ~F.col("__agree")
+    return judged.select("*", F.when(open_, ruled).alias("__ruled"), F.when(open_ & held, moved).alias("__moved"))
+
+
+def _repaired(options: DataFrame, use: Column, columns: list[str], first: str, second: str) -> DataFrame:
+    """``columns``, and (fixed_first, fixed_second, rule) of rows ``_with_options`` under
+    the configuration of levels ``use``."""
+    a, b = F.col(first), F.col(second)
+    fits = options.withColumn("__fits", F.filter("__ruled", lambda o: F.array_contains(use, o["level"])))
+    # of equal forms the first rule's
+    first_of = F.filter("__fits", lambda o: ~F.exists("__fits", lambda q: (q["form"] == o["form"]) & (q["place"] < o["place"])))
+    moved = F.when(F.array_contains(use, "prefix"), F.col("__moved"))
+    best = fits.withColumn("__best", F.least(F.array_min(first_of), F.array_min(moved)))
+    choice = lambda x, y, rule: F.struct(x.alias("x"), y.alias("y"), rule.alias("rule"))
+    plain = lambda rule: choice(a, b, F.lit(rule))
+    made = F.col("__best.form")
+    chosen = (F.when(F.size(use) == 0, plain("independent-baseline")).when(F.col("__odd").isNotNull(), choice(F.col("__odd.x"), F.col("__odd.y"), F.lit("closed-suppletive-pair")))
+              .when(F.col("__agree"), plain("independent-roots-agree")).when(F.col("__best").isNull(), plain("unrepaired"))
+              .when(F.col("__held"), choice(a, made, F.col("__best.rule"))).otherwise(choice(made, b, F.col("__best.rule"))))
+    return best.select(*columns, chosen.alias("__c")).select(*columns, F.col("__c.x").alias("fixed_first"), F.col("__c.y").alias("fixed_second"), F.col("__c.rule").alias("rule"))
+
+
+def _levels(use: tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, use)).cast("array<string>")
 
 
 def repair(pairs: DataFrame, inventory: Inventory, use: tuple[str, ...], first: str = "first", second: str = "second", first_score: str = "first_score", second_score: str = "second_score") -> DataFrame:
     """``pairs`` with the repaired forms in (fixed_first, fixed_second) and the rule that
     decided: an irregular pair, "independent-roots-agree", a rule of the inventory,
     "prefix-perfectivization", or "unrepaired".  Without ``use`` all are "independent-baseline"."""
-    a, b = F.col(first), F.col(second)
-    if not use:
-        return pairs.select("*", a.alias("fixed_first"), b.alias("fixed_second"), F.lit("independent-baseline").alias("rule"))
-    held = F.coalesce(F.col(first_score), F.lit(0.0)) >= F.coalesce(F.col(second_score), F.lit(0.0))  # the first is the stronger
-    cost = lambda form, old, score: F.round(F.coalesce(K.normalized_edit_distance(form, old), F.lit(1.0)) + F.greatest(F.coalesce(F.col(score), F.lit(0.0)), F.lit(0.0)), 6)
-    option = lambda price, rule, place, x, y: F.struct(price.alias("cost"), rule.alias("rule"), place.alias("place"), x.alias("x"), y.alias("y"))
-    numbered = [(i, r) for i, r in enumerate(inventory.rules) if r.level in use]
-    of_first = F.transform(F.filter(_choices([n for n in numbered if n[1].makes == "first"], b), lambda c: ~held & belong(c["form"], b)), lambda c: option(cost(c["form"], a, first_score), c["rule"], c["place"], c["form"], b))
-    of_second = F.transform(F.filter(_choices([n for n in numbered if n[1].makes == "second"], a), lambda c: held & belong(a, c["form"])), lambda c: option(cost(c["form"], b, second_score), c["rule"], c["place"], a, c["form"]))
-    moved = []
-    for i, p in enumerate(inventory.prefixes if "prefix" in use else ()):
-        rest = F.substr(b, F.lit(len(p) + 1))
-        fits = held & b.startswith(p) & ~a.startswith(p) & (rest != "") & (K.normalized_edit_distance(a, rest) <= inventory.near)
-        form = F.concat(F.lit(p), a)
-        moved.append(F.when(fits, option(cost(form, b, second_score), F.lit("prefix-perfectivization"), F.lit(len(inventory.rules) + i), a, form)))
-    options = F.concat(of_first, of_second, F.filter(F.array(*moved), lambda x: x.isNotNull())) if moved else F.concat(of_first, of_second)
-    irregular = None
-    for x, y in inventory.exceptions:
-        hit = K.normalized_match(a, F.lit(x)) | K.normalized_match(b, F.lit(y))
-        pair = F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit("closed-suppletive-pair").alias("rule"))
-        irregular = F.when(hit, pair) if irregular is None else irregular.when(hit, pair)
-    plain = lambda rule: F.struct(a.alias("x"), b.alias("y"), F.lit(rule).alias("rule"))
-    out = pairs.select("*", F.array_min(options).alias("__best"), irregular.alias("__odd") if irregular is not None else F.lit(None).cast("struct<x:string,y:string,rule:string>").alias("__odd"))
-    best = F.col("__best")
-    chosen = F.coalesce(F.col("__odd"), F.when(belong(a, b), plain("independent-roots-agree")), F.when(best.isNotNull(), F.struct(best["x"].alias("x"), best["y"].alias("y"), best["rule"].alias("rule"))), plain("unrepaired"))
-    return out.select(*[F.col(c) for c in pairs.columns], chosen.alias("__c")).select(*pairs.columns, F.col("__c.x").alias("fixed_first"), F.col("__c.y").alias("fixed_second"), F.col("__c.rule").alias("rule"))
+    options = _with_options(pairs, inventory, first, second, first_score, second_score)
+    return _repaired(options, _levels(use), pairs.columns, first, second)
 
 
 def manifest_digest(pairs: DataFrame, group: str, left: str, right: str) -> DataFrame:
@@ -138,17 +164,17 @@ def manifest_digest(pairs: DataFrame, group: str, left: str, right: str) -> Data
 
 
 def score_ladder(pairs: DataFrame, inventory: Inventory, id_text: Column, gold_first: str, gold_second: str, ladder: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """One row per pair and configuration: both_right, either_right, consistent, held_out, rule."""
-    parts = []
-    held = pairs.select("*", K.is_holdout(id_text).alias("held_out"))
-    for name, use in (ladder or LADDER).items():
-        fixed = repair(held, inventory, use)
-        x, y = K.normalized_match(F.col("fixed_first"), F.col(gold_first)), K.normalized_match(F.col("fixed_second"), F.col(gold_second))
-        parts.append(fixed.select(*pairs.columns, "held_out", "rule", F.lit(name).alias("config"), (x & y).alias("both_right"), (x | y).alias("either_right"), belong(F.col("fixed_first"), F.col("fixed_second")).alias("consistent"), "fixed_first", "fixed_second"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """One row per pair and configuration: both_right, either_right, consistent, held_out, rule.
+
+    ``pairs`` are read once: their options are made once for all configurations, each of which
+    then takes the cheapest that it knows."""
+    options = _with_options(pairs.select("*", K.is_holdout(id_text).alias("held_out")), inventory, "first", "second", "first_score", "second_score")
+    steps = F.array(*[F.struct(F.lit(name).alias("config"), _levels(use).alias("use")) for name, use in (ladder or LADDER).items()])
+    each = options.select("*", F.inline(steps).alias("config", "__use"))
+    fixed = _repaired(each, F.col("__use"), [*pairs.columns, "held_out", "config"], "first", "second")
+    x, y = K.normalized_match(F.col("fixed_first"), F.col(gold_first)), K.normalized_match(F.col("fixed_second"), F.col(gold_second))
+    keyed = fixed.select("*", x.alias("__x"), y.alias("__y"), K.consonant_key(F.col("fixed_first")).alias("__kx"), K.consonant_key(F.col("fixed_second")).alias("__ky"))
+    return keyed.select(*pairs.columns, "held_out", "rule", "config", F.expr("__x and __y").alias("both_right"), F.expr("__x or __y").alias("either_right"), _related(F.col("__kx"), F.col("__ky")).alias("consistent"), "fixed_first", "fixed_second")
 
 
 def ladder_report(scored: DataFrame) -> DataFrame:
