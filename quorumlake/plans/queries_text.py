@@ -47,15 +47,17 @@ g(conv_id, turn, k, pos, n, stop, taken, token, t1) as (select conv_id, turn, k,
 
 
 def _phrases(spark, sf):
-    words = V.words(spark, sf)
-    nxt = F.lead("token").over(W.partitionBy("doc_id").orderBy("pos"))
-    two = words.withColumn("nxt", nxt).where("token in ('the', 'of', 'la', 'de') and nxt is not null").groupBy(F.concat("token", F.lit(" "), "nxt").alias("phrase")).count().where("count >= 5").select("phrase")
+    """Frequent words, and frequent pairs of an article and a word, made in the row of their document."""
+    pairs = lambda t: F.filter(F.transform(t, lambda x, i: F.when(x.isin("the", "of", "la", "de"), F.concat(x, F.lit(" "), F.get(t, i + 1)))), lambda p: p.isNotNull())
+    found = F.flatten(F.transform(F.array(K.tokens(F.col("text"))), pairs))
+    two = V.table(spark, sf, "documents").where("doc_id is not null").select(F.explode_outer(found).alias("phrase")).where("phrase is not null").groupBy("phrase").count().where("count >= 5").select("phrase")
     return V.lexicon(spark, sf).where("df >= 40").select(F.col("token").alias("phrase")).unionByName(two).distinct()
 
 
 @query("j22_longest_match", PH + "select conv_id, turn, pos::int as pos, n::int as n from g where taken")
 def j22(spark, sf):
-    return T.longest_matches(_conv(spark, sf), _phrases(spark, sf), ["conv_id", "turn"]).select("conv_id", "turn", "pos", "n")
+    words = V.table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode_outer(T.words_ahead(K.tokens(F.col("text")))).alias("pos", "w")).where("w is not null").select("conv_id", "turn", "pos", "w.*")
+    return T.longest_matches(words, _phrases(spark, sf), ["conv_id", "turn"]).select("conv_id", "turn", "pos", "n")
 
 
 KNOWN = V.sql("tok", "lex") + f", {CONV}, known as (select distinct token from lex where df >= 10) "
