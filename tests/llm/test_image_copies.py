@@ -139,3 +139,12 @@ def test_pairs_across_classes(monkeypatch):
     got = sorted(t for x in image_copies._across([batch]) for t in zip(*(c.to_pylist() for c in x.columns)))
     want = sorted((a, b, a % 5, b % 5, 9 + 5 * k > image_copies.BUCKET) for k in range(4) for _, a, *_ in [r for r in rows if r[0] == k] for _, b, *_ in [r for r in rows if r[0] == k] if a > b and of[a] != of[b])
     assert got == want
+
+
+def test_images_of_large_keys_are_told_once(monkeypatch):
+    """The images under a key of many leave the first meeting beside the pairs, so only they meet again."""
+    monkeypatch.setattr(image_copies, "BUCKET", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 7, 7, 8, 8, 9], pa.int64()), pa.array([1, 2, 3, 1, 1, 2, 5], pa.int64()), pa.array([4, 5, 6, 9, 0, 1, 2], pa.int32())], ["key", "node", "corner"])
+    rows = [r for b in image_copies._meetings_and_many([batch]) for r in b.to_pylist()]
+    assert sorted((r["key"], r["a"], r["i"]) for r in rows if r["b"] is None) == [(7, 1, 4), (7, 2, 5), (7, 3, 6)]
+    assert sorted((r["a"], r["b"]) for r in rows if r["b"] is not None) == sorted((a, b) for x in image_copies._meetings([batch]) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist()))
