@@ -1,5 +1,7 @@
 """Edited copies of images that the search must find."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -148,3 +150,77 @@ def test_images_of_large_keys_are_told_once(monkeypatch):
     rows = [r for b in image_copies._meetings_and_many([batch]) for r in b.to_pylist()]
     assert sorted((r["key"], r["a"], r["i"]) for r in rows if r["b"] is None) == [(7, 1, 4), (7, 2, 5), (7, 3, 6)]
     assert sorted((r["a"], r["b"]) for r in rows if r["b"] is not None) == sorted((a, b) for x in image_copies._meetings([batch]) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist()))
+
+
+def test_one_shared_key_of_many_makes_no_pairs(spark):
+    """400 images meet under a key by chance: only those that share a second key, of another corner of each, are compared."""
+    own = iter(range(1000, 100000))
+    rows = []
+    for n in range(400):
+        keys = [7, *(next(own) for _ in range(15))]  # four keys of each of four corners
+        if n in (300, 301):
+            keys[4] = 8
+        if n in (310, 311):
+            keys[1] = 9  # the same corner
+        if n in (320, 321):
+            keys[4] = 10  # of one class already
+        rows.append((n, keys))
+    shared = image_copies.shared_keys(spark.createDataFrame(rows, "node long, keys array<long>"))
+    labels = spark.createDataFrame([(320, 320), (321, 320)], "node long, component long")
+    assert [tuple(r) for r in image_copies.pairs_across(shared, labels).collect()] == [(301, 300)]
+
+
+@pytest.mark.parametrize("split", [4096, 3])
+def test_pairs_of_two_keys_against_all_pairs(monkeypatch, split):
+    monkeypatch.setattr(image_copies, "SPLIT", split)
+    monkeypatch.setattr(image_copies, "HELD", 50)
+    monkeypatch.setattr(image_copies, "ACROSS", 7)
+    rng = np.random.default_rng(8)
+    rows = {(int(k), n): int(rng.integers(0, 4)) for n in range(80) for k in rng.choice(np.concatenate([np.arange(8), np.arange(100, 260)]), 9, p=[0.04] * 8 + [0.68 / 160] * 160, replace=False)}
+    of = {n: n // 3 for n in range(80)}
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64()), pa.array(list(rows.values()), pa.int32())], ["key", "node", "corner"])
+    flat = pa.Table.from_batches(image_copies._flat(image_copies._shared([batch]))).to_pylist()
+    sizes = {k: sum(k == x for x, _ in rows) for k, _ in rows}
+    assert sorted((r["key"], r["node"], r["corner"], r["size"]) for r in flat) == sorted((k, n, c, sizes[k]) for (k, n), c in rows.items() if sizes[k] > 1)
+    hot = pa.RecordBatch.from_pylist([r | {"component": of[r["node"]]} for r in flat if r["size"] > image_copies.BUCKET])
+    few = pa.RecordBatch.from_pylist([r | {"size": 0, "component": 0} for r in flat if r["size"] <= image_copies.BUCKET], hot.schema)
+    beside = list(image_copies._beside([*image_copies._of_several([hot]), few]))
+    got = {t for x in image_copies._across_two(beside) for t in zip(*(c.to_pylist() for c in x.columns))}
+    want = {(a, b) for a in of for b in range(a) if of[a] != of[b] for k in sizes for m in sizes if sizes[k] > image_copies.BUCKET and all((x, n) in rows for x in (k, m) for n in (a, b))
+            and rows[k, a] != rows[m, a] and rows[k, b] != rows[m, b]}
+    assert got == want and len(want) > 100 and any(sizes[k] <= image_copies.BUCKET for k in sizes)
+
+
+def test_enough_matches_decide_as_all_do():
+    _, own = originals(12)
+    p = points(own + [image_copies.edited(own[i], 1 + i % 3, i) for i in range(12)])
+    for a in p:
+        for b in p:
+            n = image_copies.consent(p[a][0], p[b][0])
+            assert (n >= image_copies.CONSENT) == (image_copies.consent(p[a][0], p[b][0], image_copies.CONSENT) >= image_copies.CONSENT)
+    turn, level = np.random.default_rng(1).integers(0, 256, 700), np.random.default_rng(2).integers(-9, 9, 700)
+    alone = [image_copies._near_turns(np.append(turn[:400], x), np.append(level[:400], y))[-1] for x, y in zip(turn[:50], level[:50])]
+    many = image_copies._near_turns(np.concatenate([turn[:400], turn[400:] * 0 + 300 % 256]), np.concatenate([level[:400], level[400:] * 0 + 200]))
+    assert [n - 1 for n in alone] == many[:50].tolist()
+
+
+def test_keys_follow_from_points(spark):
+    _, own = originals(5)
+    found = image_copies.local_descriptors(frame(spark, list(enumerate(own))).selectExpr("image_id as node", "width", "height", "pixels"))
+    want = {r["node"]: r["keys"] for r in found.collect()}
+    assert {r["node"]: r["keys"] for r in image_copies._keyed(found.select("node", "points")).collect()} == want
+
+
+def test_shuffles_of_a_written_table_leave_the_disk(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    before = files()
+    table = image_copies._kept(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 7
+    assert spark.conf.get(image_copies.CLEANUP, "false") == "false"
